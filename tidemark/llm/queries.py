@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import table
 from .fertility import fertility_rules
+from .langid import languages
 from .packing import best_fit_packing
+from .quality import quality_scores
 from .substring import substring_dedup
 from .suffix_array import suffix_array_dedup
 
@@ -31,6 +33,14 @@ def op10_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility)}
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility, op2_quality_discriminant, op8_rank_order_language)}
 
 ORACLES: dict[str, str] = {}
