@@ -10,6 +10,8 @@ from .base import table
 from .fertility import fertility_rules
 from .jaccard import near_duplicates
 from .langid import languages
+from .mixing import ORACLE as MIXING_SQL
+from .mixing import mix_sources
 from .packing import best_fit_packing
 from .quality import quality_scores
 from .substring import substring_dedup
@@ -46,6 +48,10 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility, op2_quality_discriminant, op8_rank_order_language, op7_ngram_jaccard_join)}
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility, op2_quality_discriminant, op8_rank_order_language, op7_ngram_jaccard_join, op9_pfair_mixing)}
+
+ORACLES: dict[str, str] = {"op9_pfair_mixing": MIXING_SQL}
