@@ -12,6 +12,7 @@ from .jaccard import near_duplicates
 from .langid import languages
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mix_sources
+from .neighbours import nearest
 from .packing import best_fit_packing
 from .quality import quality_scores
 from .substring import substring_dedup
@@ -52,6 +53,10 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility, op2_quality_discriminant, op8_rank_order_language, op7_ngram_jaccard_join, op9_pfair_mixing)}
+def op3_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility, op2_quality_discriminant, op8_rank_order_language, op7_ngram_jaccard_join, op9_pfair_mixing, op3_multiprobe_neighbours)}
 
 ORACLES: dict[str, str] = {"op9_pfair_mixing": MIXING_SQL}
