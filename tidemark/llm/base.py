@@ -45,15 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def key_columns(id_col: str = "doc_id", text_col: str = "text") -> dict[str, Column]:
+    """_k1, _k2: they name a row by id and text, also where ids are null or repeated. Rows that share both are alike, so they share results."""
+    ident = F.col(id_col).cast("long")
+    return {"_k1": F.coalesce(ident, F.lit(-(2**63)).cast("long")), "_k2": F.xxhash64(F.col(text_col).cast("string"), ident.isNull())}
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, id, text). k1, k2 name a row by id and text, also where ids are null or repeated: rows that share both are alike, so they share results."""
-    ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(
-        F.coalesce(ident, F.lit(-(2**63)).cast("long")).alias("k1"),
-        F.xxhash64(text, ident.isNull()).alias("k2"),
-        ident.alias("id"),
-        text.alias("text"),
-    )
+    """(k1, k2, id, text): the key of each row, its id and its text."""
+    key = key_columns(id_col, text_col)
+    return docs.select(key["_k1"].alias("k1"), key["_k2"].alias("k2"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
 def crc32_mod(id_col: Column, n: int) -> Column:

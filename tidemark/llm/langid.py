@@ -78,8 +78,8 @@ def top(row: np.ndarray, key: np.ndarray, count: np.ndarray, size: int) -> tuple
     return row[fine], key[fine], rank[fine]
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
-    raw, off = text_buffer(batch.column("text"))
+def _runs(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list[str]]]:
+    raw, off = text_buffer(batch.column(column))
     for i, j in row_runs(off, 1 << 19):
         for a in range(i, j, ROWS):
             b = min(a + ROWS, j)
@@ -136,8 +136,8 @@ class Distances:
         return [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0)
 
 
-def languages(docs: DataFrame, folds: int = 4, held: int = 2, size: int = 300, most: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each document.
+def languages(docs: DataFrame, folds: int = 4, held: int = 2, size: int = 300, most: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each document; with `keep`, these columns of `docs` and lang_pred and score.
 
     Learned from the documents with a language whose crc32 of the id as text, modulo `folds`, is not `held`: about `most` of each
     language at most. `und` with score 0 where the text is null or has no letter, or nothing could be learned; a null id teaches nothing and
@@ -149,11 +149,18 @@ def languages(docs: DataFrame, folds: int = 4, held: int = 2, size: int = 300, m
     told = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold != held)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = Distances(profiles(told, size, most), size)
 
+    if keep is not None:
+        source = docs.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("_text"))
+    names, own = source.columns[:-1], source.columns[-1]
+
     def of(batches):
         for batch in batches:
-            for i, j, texts in _runs(batch):
+            for i, j, texts in _runs(batch, own):
                 lang, score = known.predict(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i:j], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in names), pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    found = source.mapInArrow(of, "doc_id long, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    found = source.mapInArrow(of, f"{schema}, lang_pred string, score double")
+    if keep is not None:
+        return found
     return found.select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -17,6 +17,7 @@ from .packing import best_fit_packing
 from .quality import quality_scores
 from .substring import substring_dedup
 from .suffix_array import suffix_array_dedup
+from .warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +58,10 @@ def op3_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility, op2_quality_discriminant, op8_rank_order_language, op7_ngram_jaccard_join, op9_pfair_mixing, op3_multiprobe_neighbours)}
+def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility, op2_quality_discriminant, op8_rank_order_language, op7_ngram_jaccard_join, op9_pfair_mixing, op3_multiprobe_neighbours, op4_warc_bundles)}
 
 ORACLES: dict[str, str] = {"op9_pfair_mixing": MIXING_SQL}

@@ -14,6 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import base, repeats
 from .suffix_array import _span_arrays, neighbour_prefixes, packed, sort_directly
@@ -98,3 +99,26 @@ def cut_words(text: np.ndarray, marks, size: int) -> tuple[int, int, str, str]:
     for a, b in zip(*repeats.runs(gone, np.zeros(0, np.int64)), strict=True):
         keep[starts[a] : starts[b] if b < len(starts) else ends[b - 1]] = False
     return len(starts), int(gone.sum()), hashlib.sha256(b" ".join(words)).hexdigest(), text[keep].tobytes().decode()
+
+
+def kept_texts(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+    """`docs` with the repeated windows removed from its texts. Rows that lose all their words go; null and blank texts stay as they are."""
+    named = docs.withColumns(base.key_columns(id_col, text_col))
+    found = repeats.spans(base.keyed(docs, id_col, text_col), repeats.Units("words", size, width), resolve, hot)
+    joined = named.join(found.withColumnsRenamed({"k1": "_k1", "k2": "_k2", "spans": "_spans"}), ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    names = docs.columns
+
+    def of(batches):
+        for batch in batches:
+            raw, off = base.text_buffer(batch.column("_text"))
+            marks = _span_arrays(batch.column("_spans"))
+            text, fine = batch.column(text_col).to_pylist(), [True] * batch.num_rows
+            for i in range(batch.num_rows):
+                if (mark := marks(i)) is not None:
+                    words, gone, _, text[i] = cut_words(raw[off[i] : off[i + 1]], mark, size)
+                    fine[i] = gone < words
+            arrays = [pa.array(text, pa.string()) if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(fine))
+
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema.fields)
+    return joined.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(of, schema)
