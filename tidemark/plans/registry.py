@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("text_queries",)
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -23,11 +25,19 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Modules register their queries when they are imported."""
+    for name in MODULES:
+        import_module(f".{name}", __package__)
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
