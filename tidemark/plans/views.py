@@ -32,6 +32,11 @@ def path_of() -> Column:
     return F.concat(F.lit("src/"), F.lower(F.replace(F.col("p_type"), F.lit(" "), F.lit("/"))), F.lit("/"), F.lower(F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))), F.lit("_"), F.col("p_partkey"), F.lit(".py"))
 
 
+def seconds(ts: str) -> Column:
+    """Seconds since 1970 of a time without zone, whatever the session's zone."""
+    return F.unix_date(F.to_date(ts)).cast("long") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts))
+
+
 def v_files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(path_of().alias("path"), F.col("p_partkey").alias("key"))
 
@@ -52,12 +57,12 @@ def v_lines(spark: SparkSession, sf: str) -> DataFrame:
 def v_events(spark: SparkSession, sf: str) -> DataFrame:
     """A history of paths: `epoch` counts seconds, a view is a modification, an error a deletion, a signup an addition."""
     kind = F.when(F.col("event_type") == "error", "D").when(F.col("event_type") == "signup", "A").otherwise("M")
-    return table(spark, sf, "events").select(F.concat(F.lit("src/u"), F.col("user_id"), F.lit(".py")).alias("path"), F.unix_seconds("ts").alias("epoch"), F.col("event_id").alias("commit"), kind.alias("kind"))
+    return table(spark, sf, "events").select(F.concat(F.lit("src/u"), F.col("user_id"), F.lit(".py")).alias("path"), seconds("ts").alias("epoch"), F.col("event_id").alias("commit"), kind.alias("kind"))
 
 
 def v_blame(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that name such a path, and when they were written."""
-    return table(spark, sf, "events").filter("event_type = 'purchase'").select(F.concat(F.lit("docs/d"), F.pmod("event_id", F.lit(97)), F.lit(".md")).alias("doc"), F.col("event_id").alias("line"), F.concat(F.lit("src/u"), F.pmod(F.col("user_id") * 7, F.lit(151)), F.lit(".py")).alias("path"), F.unix_seconds("ts").alias("written"))
+    return table(spark, sf, "events").filter("event_type = 'purchase'").select(F.concat(F.lit("docs/d"), F.pmod("event_id", F.lit(97)), F.lit(".md")).alias("doc"), F.col("event_id").alias("line"), F.concat(F.lit("src/u"), F.pmod(F.col("user_id") * 7, F.lit(151)), F.lit(".py")).alias("path"), seconds("ts").alias("written"))
 
 
 def v_decisions(spark: SparkSession, sf: str) -> DataFrame:
