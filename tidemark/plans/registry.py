@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text_queries", "join_queries", "rule_queries")
+MODULES = ("text_queries", "join_queries", "rule_queries", "page_queries")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -42,4 +42,5 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(0)
+    """Links, files, findings: how many claims of each document lead nowhere."""
+    return queries()["link_findings"](spark, sf_dir)
