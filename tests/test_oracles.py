@@ -1,11 +1,13 @@
 """Each registered query of the library against its SQL, and without it for running at all."""
 
+import os
+
 import duckdb
 import pytest
 
 from tidemark.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
