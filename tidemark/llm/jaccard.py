@@ -9,7 +9,8 @@ prefix, so nearly all prefixes lie inside. A document whose zone has too few n-g
 hash buckets, exactly those that its prefix still needs. Frequent n-grams by the bucket counts are not part of the zone, so none of them gathers the corpus in a task.
 
 N-grams that only one set has lead the order and can match nothing: a document with a prefix of such ones drops out here. The others meet
-at their shared prefix n-grams. Groups that are connected by these are compared, in tiles of bounded size: at the first n-gram that a
+at their shared prefix n-grams, where length, position and the number of shared zone n-grams rule most pairs out. Groups that the rest
+connect are compared, in tiles of bounded size: at the first n-gram that a
 pair has in common, length and positional filters apply, then the suffix filter (overlap bounded by how many hashes
 fall into each of some ranges), then the sets themselves are compared, once for each pair. Links leave a tile as one label for each class, so
 large groups of near copies make no rows for pairs.
@@ -21,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +77,16 @@ def sketch(rows: DataFrame, k: int) -> np.ndarray:
             for i, j in base.row_runs(off):
                 total += np.bincount(_buckets(shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)[1]), minlength=len(total))
         parts = total.reshape(-1, 1 << BLOCK_BITS)
-        used = [(b, np.flatnonzero(p)) for b, p in enumerate(parts)]
-        used = [(b, at) for b, at in used if len(at)]
+        used = [(b, np.flatnonzero(p)) for b, p in enumerate(parts) if p.any()]
+        used = [(b, at if 3 * len(at) < parts.shape[1] else None) for b, at in used]  # None: all counts of the block, in order
         if used:
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in used], pa.int32()), pa.array([at.astype(np.uint16).tobytes() for _, at in used], pa.binary()), pa.array([parts[b][at].astype(np.uint32).tobytes() for b, at in used], pa.binary())], ["block", "at", "n"])
+            where = [None if at is None else at.astype(np.uint16).tobytes() for _, at in used]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in used], pa.int32()), pa.array(where, pa.binary()), pa.array([(parts[b] if at is None else parts[b][at]).astype(np.uint32).tobytes() for b, at in used], pa.binary())], ["block", "at", "n"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
         for at, n in zip(group["at"].to_pylist(), group["n"].to_pylist(), strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+            total[slice(None) if at is None else np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
         return pa.table({"block": group["block"][:1], "n": pa.array([total.tobytes()], pa.binary())})
 
     found = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, 1 << BLOCK_BITS)
@@ -92,13 +95,15 @@ def sketch(rows: DataFrame, k: int) -> np.ndarray:
     return found.ravel()
 
 
-ENTRIES = "token long, node long, light boolean, pos int, rough long, k1 long, k2 long, id long, d1 long, d2 long, n int, prefix int, zone int"
+ENTRIES = "token long, node long, aux long"
+MEMBERS = "k1 long, k2 long, id long, d1 long, d2 long, n int, prefix int, zone int"
+LIGHT = -1  # aux of an n-gram of the zone; else bucket count and place in the prefix, in one number
 
 
-def entries(rows: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
-    """Two kinds of rows. With a token: an n-gram of the set `node` that is in the zone (light), or that its prefix needs besides (with its place).
-    Without: a row of the table with its set's digests, size, prefix length and number of n-grams in the zone."""
-    share = min(1.0, 1.4 * (den - num) / den + 0.01)
+def entries(rows: DataFrame, k: int, num: int, den: int, counts, members: bool) -> DataFrame:
+    """With `members`, each row of the table with its set's digests, size, prefix length and number of n-grams in the zone. Without, (token, node, aux):
+    the n-grams of each set, its first digest as node, that are in the zone, and those that its prefix needs besides."""
+    share = min(1.0, 1.15 * (den - num) / den + 0.01)
     limit = U64(int(share * ((1 << 32) - 1)))
 
     def of(batches):
@@ -107,7 +112,6 @@ def entries(rows: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             raw, off = base.text_buffer(batch.column("text"))
-            k1, k2 = (batch.column(c).to_numpy() for c in ("k1", "k2"))
             for i, j in base.row_runs(off):
                 row, h = shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 n, d1, d2 = digests(row, h, j - i)
@@ -115,10 +119,14 @@ def entries(rows: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
                 rough = rough_of[_buckets(h)]
                 light = ((h & U64(0xFFFFFFFF)) <= limit) & (rough <= heavy)
                 zone = np.bincount(row[light], minlength=j - i)
+                if members:
+                    arrays = [batch.column(c)[i:j] for c in ("k1", "k2", "id")] + [pa.array(signed(d1)), pa.array(signed(d2))]
+                    yield pa.RecordBatch.from_arrays(arrays + [pa.array(v.astype(np.int32)) for v in (n, prefix, zone)], [x.split()[0] for x in MEMBERS.split(", ")])
+                    continue
                 order = np.lexsort((h, rough, light, row))  # in each row the others, then the zone
                 place = np.arange(len(row)) - np.searchsorted(row, row, "left")
-                more = order[(place < np.maximum(prefix - zone, 0)[row[order]]) & ~light[order]]
-                more_pos = zone[row[more]] + place[(place < np.maximum(prefix - zone, 0)[row[order]]) & ~light[order]]
+                needed = (place < np.maximum(prefix - zone, 0)[row[order]]) & ~light[order]
+                more, more_pos = order[needed], zone[row[order[needed]]] + place[needed]
                 if len(seen) > 1_000_000:
                     seen.clear()
                 fresh = np.zeros(j - i, bool)  # copies within a partition are entered once
@@ -126,22 +134,66 @@ def entries(rows: DataFrame, k: int, num: int, den: int, counts) -> DataFrame:
                     if d not in seen:
                         seen.add(d)
                         fresh[x] = True
-                a, b = np.flatnonzero(light & fresh[row]), more[fresh[row[more]]]
-                more_pos = more_pos[fresh[row[more]]]
-                at = np.concatenate([a, b])
-                yield _entry_batch(
-                    len(at),
-                    token=signed(h[at]), node=signed(d1[row[at]]), light=np.arange(len(at)) < len(a), pos=np.concatenate([np.full(len(a), -1), more_pos]).astype(np.int32), rough=rough[at],
-                )
-                yield _entry_batch(j - i, k1=k1[i:j], k2=k2[i:j], id=batch.column("id")[i:j], d1=signed(d1), d2=signed(d2), n=n.astype(np.int32), prefix=prefix.astype(np.int32), zone=zone.astype(np.int32))
+                a, keep = np.flatnonzero(light & fresh[row]), fresh[row[more]]
+                at = np.concatenate([a, more[keep]])
+                aux = np.concatenate([np.full(len(a), LIGHT), np.minimum(rough[more[keep]], 1 << 38) << 24 | more_pos[keep]])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(signed(d1[row[at]])), pa.array(aux.astype(np.int64))], ["token", "node", "aux"])
 
-    return rows.select("k1", "k2", "id", "text").mapInArrow(of, ENTRIES)
+    return rows.select("k1", "k2", "id", "text").mapInArrow(of, MEMBERS if members else ENTRIES)
 
 
-def _entry_batch(size: int, **given) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    fields = [x.split() for x in ENTRIES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(given[name], kinds[kind]) if name in given and not isinstance(given[name], pa.Array) else given.get(name, pa.nulls(size, kinds[kind])) for name, kind in fields], [name for name, _ in fields])
+MEETING = 1024  # members of an n-gram's group whose pairs are looked at; of larger groups all are joined
+
+
+def _meet(batches, num: int, den: int):
+    """Edges between sets that meet at an n-gram (rows token, node, n, pos, rest, known; sorted) and that filters leave possible, as one label for each.
+
+    A pair overlaps by at most what is left of the shorter one from the n-gram on, and by at most the zone n-grams that either shares with
+    any set plus its n-grams outside of the zone.
+    """
+    names = ("token", "node", "n", "pos", "rest", "known")
+    held: list[np.ndarray] | None = None
+
+    def settle(cols: list[np.ndarray]):
+        token, node, n, pos, rest, known = cols
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(head, len(token)))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            need = -(-num * (n[x] + n[y]) // (den + num))
+            similar = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+            left = np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need
+            zone = np.minimum(known[x], known[y]) + np.minimum(rest[x], rest[y]) >= need
+            return (similar & left & zone) | (n[x] < 0) | (n[y] < 0)
+
+        two = head[size == 2]
+        two = two[fine(two, two + 1)]
+        out.append((node[two], node[two + 1]))
+        for h, k in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if k > MEETING:
+                out.append((node[h + 1 : h + k], np.full(k - 1, node[h])))
+                continue
+            i = np.arange(h, h + k)
+            a, b = np.nonzero(np.triu(fine(i[:, None], i[None, :]), 1))
+            label = local_labels(k, a, b)
+            moved = np.flatnonzero(label != np.arange(k))
+            out.append((node[h + moved], node[h + label[moved]]))
+        a, b = (np.concatenate(v) for v in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        cols = [pc.fill_null(batch.column(c), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+        if held is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last n-gram may go on in the next batch
+        if cut:
+            yield settle([c[:cut] for c in cols])
+        held = [c[cut:] for c in cols]
+    if held is not None and len(held[0]):
+        yield settle(held)
 
 
 VERIFIED = "d1 long, d2 long, to1 long, to2 long, links long"
@@ -259,28 +311,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     rows = base.keyed(docs, id_col, text_col)
     counts = spark.sparkContext.broadcast(sketch(rows, k))  # of fixed size
-    found = stage(entries(rows, k, num, den, counts), "ngrams")
-    members = found.filter("token is null").select("k1", "k2", "id", "d1", "d2", "n", "prefix", "zone")
+    members = stage(entries(rows, k, num, den, counts, members=True), "members")
     last = F.lit(2**63 - 1).cast("long")
-    classes = stage(members.filter("n > 0").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("id", last)).alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.first("prefix").alias("prefix"), F.first("zone").alias("zone")), "classes")
+    classes = stage(members.filter("n > 0").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("id", last)).alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.first("prefix").alias("prefix"), F.first("zone").alias("zone"), F.first("n").alias("n")), "classes")
 
-    # n-grams that two sets have, in the order (tier, c, token)
+    # n-grams that two sets have, in the order (tier, c, token); of each set, those in its prefix
     at_token = Window.partitionBy("token")
-    shared = found.filter("token is not null").select("token", "node", "light", "pos", "rough").withColumns({"lo": F.min("node").over(at_token), "hi": F.max("node").over(at_token), "c": F.count(F.lit(1)).over(at_token)}).filter("lo <> hi")
-    shared = shared.select("node", "token", "light", "pos", "lo", F.when(F.col("light"), 0).otherwise(1).alias("tier"), F.when(F.col("light"), F.col("c")).otherwise(F.col("rough")).alias("c")).distinct()
-    of_node = classes.groupBy(F.col("d1").alias("node")).agg(F.max("prefix").alias("prefix"), F.max("zone").alias("zone"))
-    ranked = shared.join(of_node, "node").withColumns({"rank": F.row_number().over(Window.partitionBy("node").orderBy("tier", "c", "token")) - 1, "known": F.count(F.when(F.col("light"), 1)).over(Window.partitionBy("node"))})
-    placed = ranked.withColumn("pos", F.when(F.col("light"), F.col("rank") + F.col("zone") - F.col("known")).otherwise(F.col("pos")).cast("int")).filter("pos < prefix")
-    placed = stage(placed.select("node", "token", "tier", "c", "pos"), "prefixes")
-
-    hubs = placed.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
-    groups = stage(components(placed.join(hubs, "token").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "groups")
+    shared = entries(rows, k, num, den, counts, members=False).withColumns({"lo": F.min("node").over(at_token), "hi": F.max("node").over(at_token), "c": F.count(F.lit(1)).over(at_token)}).filter("lo <> hi")
+    light = F.col("aux") == LIGHT
+    item = F.struct(F.when(light, 0).otherwise(1).alias("tier"), F.when(light, F.col("c")).otherwise(F.shiftright("aux", 24)).alias("c"), "token", F.when(light, -1).otherwise(F.col("aux").bitwiseAND((1 << 24) - 1)).cast("int").alias("pos"))
+    lists = shared.groupBy("node").agg(F.sort_array(F.collect_set(item)).alias("tokens"))
+    # should two classes ever share the first digest, n is null and no filter applies to them
+    of_node = classes.groupBy(F.col("d1").alias("node")).agg(F.max("prefix").alias("prefix"), F.max("zone").alias("zone"), F.when(F.count(F.lit(1)) == 1, F.max("n")).alias("n"))
+    known = F.size(F.filter("tokens", lambda t: t["tier"] == 0))
+    placing = F.transform("tokens", lambda t, i: F.struct(t["tier"].alias("tier"), t["c"].alias("c"), t["token"].alias("token"), F.when(t["tier"] == 0, i + F.col("zone") - known).otherwise(t["pos"]).cast("int").alias("pos")))
+    placed = lists.join(of_node, "node").select("node", "prefix", "zone", "n", known.alias("known"), placing.alias("tokens")).select("node", "zone", "n", "known", F.filter("tokens", lambda t: t["pos"] < F.col("prefix")).alias("tokens")).filter(F.size("tokens") > 0)
+    placed = stage(placed, "prefixes")
+
+    each = placed.select("node", "zone", "n", "known", F.explode("tokens").alias("t")).select("t.token", "node", "n", "t.pos", (F.col("n") - F.col("zone")).alias("rest"), "known")
+    edges = each.repartition("token").sortWithinPartitions("token", "node").mapInArrow(partial(_meet, num=num, den=den), "a long, b long")
+    groups = stage(components(edges), "groups")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    prefix_of = placed.groupBy("node").agg(F.collect_list(F.struct("tier", "c", "token", "pos")).alias("tokens"))
     tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(tile))).cast("int")
-    work = groups.join(sizes, "root").join(classes, groups["node"] == classes["d1"]).join(prefix_of, "node")
+    work = groups.join(sizes, "root").join(classes, groups["node"] == classes["d1"]).join(placed.select("node", "tokens"), "node")
     work = work.select("root", "d1", "d2", "copies", "tokens", "one.k1", "one.k2", tiles.alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("d2"), F.col("tiles")).cast("int"))
-    dealt = work.join(rows.select("k1", "k2", "text").withColumn("nth", F.lit(1)), ["k1", "k2"]).dropDuplicates(["d1", "d2"])
+    once = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("d1", "d2"))  # rows that are alike stand here together
+    dealt = work.join(rows.select("k1", "k2", "text"), ["k1", "k2"]).withColumn("nth", once).filter("nth = 1")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "d1", "d2", "copies", "tokens", "text")
     verified = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(partial(_verify, k=k, num=num, den=den), VERIFIED)
     verified = stage(verified, "links")
