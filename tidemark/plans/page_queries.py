@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def _folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tidemark-stream-')).rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(object())}"
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='tidemark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT sha1(CAST(replace(text, chr(13) || chr(10), chr(10)) AS VARCHAR)) AS digest, min(CAST(doc_id AS VARCHAR)) AS path, count(*) AS copies FROM documents GROUP BY 1")
