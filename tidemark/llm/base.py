@@ -41,6 +41,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Deletes all stage tables of the shared folder. Results that are not written yet may still read theirs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stages")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_side(df: DataFrame, name: str, most: int = 10_000) -> DataFrame:
+    """`df` written to a stage table, and marked for broadcast if it has at most `most` rows; beyond that Spark joins it as any other."""
+    written = stage(df, name)
+    return F.broadcast(written) if written.limit(most + 1).count() <= most else written
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .base import BASE_A, U64, mix, stage, text_buffer
+from .base import BASE_A, U64, mix, small_side, stage, text_buffer
 from .tokens import byte_pieces, piece_bpe, public_path
 
 SYMBOLS = np.zeros(256, bool)
@@ -130,7 +130,7 @@ def fertility_rules(docs: DataFrame, path: str | None = None, reach: float = 4.0
     empty table gives an empty result; other columns are ignored.
     """
     measured = stage(fertility(docs, path, id_col, text_col, lang_col), "fertility").withColumn("base_failed", base_failed())
-    limits = bands(measured)
+    limits = small_side(bands(measured), "bands")
     inside, far = F.lit(True), reach * (1 + short / F.sqrt(F.greatest("n_tokens", F.lit(1))))
     for m in MEASURES:
         inside = inside & F.col(m).between(F.col(f"{m}_low") - far * F.col(f"{m}_unit"), F.col(f"{m}_high") + far * F.col(f"{m}_unit"))

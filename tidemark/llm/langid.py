@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import crc32_mod, row_runs, text_buffer
+from .base import crc32_mod, row_runs, small_side, text_buffer
 
 ROWS = 4096  # rows looked at together
 CODE_BITS = 21  # of a code point
@@ -90,7 +90,7 @@ def _runs(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, in
 def profiles(told: DataFrame, size: int, most: int) -> dict[str, np.ndarray]:
     """Each language's most frequent n-grams, learned from about `most` documents of it at most (fewer if it has fewer), chosen by a hash of the text."""
     per = told.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = told.join(per, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) * F.col("n") < F.lit(1_000_003) * F.lit(most)).select("lang", "text")
+    chosen = told.join(small_side(per, "languages"), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) * F.col("n") < F.lit(1_000_003) * F.lit(most)).select("lang", "text")
 
     def of(batches):
         for batch in batches:
