@@ -277,7 +277,9 @@ def spans(rows: DataFrame, units: Units, resolve: Resolver, hot: int = 50_000) -
     """
     entries = stage(anchors(rows, units), "anchors")
     counts = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("c >= 2")
-    occ = stage(entries.join(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "occurrences")
+    # written first, so that both sides of the join are plain exchanges and Spark can split an anchor that many chunks have
+    counts = stage(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "repeated")
+    occ = stage(entries.join(counts, "anchor"), "occurrences")
     kinds = stage(occ.filter("mixed").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")), "kinds")
     crowded = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("anchor")
     is_hot = bool(crowded.take(1))
