@@ -87,3 +87,16 @@ def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 1, 2)], "doc_id long, text string, node long, n int")
     assert {r.component_id for r in near_duplicates(odd).collect()} == {1}
+
+
+def test_links_at_the_threshold_of_equally_frequent_ngrams(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):  # six of eight words in common: 6 / 10, exactly the threshold
+        words = [f"p{i}x{rng.randrange(10**9)}x{j}" for j in range(10)]
+        rows += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words[:6] + words[8:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    exact = jaccard.sketch
+    monkeypatch.setattr(jaccard, "sketch", lambda rows, k: np.where(exact(rows, k) > 0, 10**9, 0))  # all n-grams are frequent, with the same count
+    got = {r.doc_id: r.n_links for r in near_duplicates(df, 1, 60, 100).collect()}
+    assert sum(n == 0 for n in got.values()) == 0

@@ -123,7 +123,7 @@ def entries(rows: DataFrame, k: int, num: int, den: int, counts, members: bool)
                     arrays = [batch.column(c)[i:j] for c in ("k1", "k2", "id")] + [pa.array(signed(d1)), pa.array(signed(d2))]
                     yield pa.RecordBatch.from_arrays(arrays + [pa.array(v.astype(np.int32)) for v in (n, prefix, zone)], [x.split()[0] for x in MEMBERS.split(", ")])
                     continue
-                order = np.lexsort((h, rough, light, row))  # in each row the others, then the zone
+                order = np.lexsort((signed(h), rough, light, row))  # in each row the others, in the order in which compare() visits them, then the zone
                 place = np.arange(len(row)) - np.searchsorted(row, row, "left")
                 needed = (place < np.maximum(prefix - zone, 0)[row[order]]) & ~light[order]
                 more, more_pos = order[needed], zone[row[order[needed]]] + place[needed]
