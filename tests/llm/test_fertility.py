@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 from tidemark.llm.fertility import fertility, fertility_rules, script_of
@@ -79,3 +80,13 @@ def test_bands_reject_the_odd_text(spark):
     assert not got[99].kept and not got[99].base_failed and all(got[i].kept for i in range(60))
     assert got[98].band == "script:latin"
     assert [script_of(x) for x in ("Привет мир", "123", "日本 a", "한국")] == ["cyrillic", "none", "han", "hangul"]
+
+
+def test_bands_reject_junk_and_keep_prose_of_labelled_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(16)
+    held = [(labels[r.doc_id], r.kept) for r in fertility_rules(docs).collect() if labels.get(r.doc_id) in (0, 1) and not r.base_failed and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    junk, good = ([kept for q, kept in held if q == y] for y in (0, 1))
+    assert len(junk) > 50 and len(good) > 500
+    assert junk.count(False) > len(junk) / 2 and good.count(False) < len(good) / 100
