@@ -125,6 +125,23 @@ def test_context_pack_is_greedy(spark):
     assert [r.section for r in sorted(got, key=lambda r: r.place)] == ["a", "b", "e"]
 
 
+def test_context_pack_goes_on_behind_the_first_page(spark):
+    args = "section string, score double, tokens long, body string"
+    best = [("a", 2000.0, 1000, "best")]
+    rows = best + [(f"l{i}", 1000.0 - i, 1500, f"long {i}") for i in range(600)] + [("z", 1.0, 900, "fits")]
+    assert [tuple(r) for r in documents.context_pack(spark.createDataFrame(rows, args), 2000).collect()] == [(1, "a", 1000), (2, "z", 900)]
+    rows = [(f"s{i:04d}", 1000.0 - i, 1, f"short {i}") for i in range(1300)]
+    assert documents.context_pack(spark.createDataFrame(rows, args), 1200).count() == 1140
+
+
+def test_a_best_section_larger_than_the_budget_is_cut(spark):
+    body = "\n".join("abcd" * 10 for _ in range(50))
+    ranked = spark.createDataFrame([("a", 2.0, 512, body), ("b", 1.0, 5, "small")], "section string, score double, tokens long, body string")
+    packed = documents.context_pack(ranked, 110)
+    assert [tuple(r) for r in packed.collect()] == [(1, "a", 110)]
+    assert [r.text for r in documents.context_texts(packed, ranked).collect()] == ["\n".join(body.split("\n")[:10])]
+
+
 def test_baseline_empties_and_downgrades(spark):
     rows = [("path-gone", "error", "a.md", 1, 1, "c", "it was previously here", "live"), ("table-shape", "warning", "p.md", 2, 1, "c", "x", "plan"), ("link-broken", "error", "p.md", 3, 1, "c", "x", "plan")]
     f = findings.with_fingerprints(findings.downgraded(spark.createDataFrame(rows, "rule string, severity string, path string, line int, col int, claim string, text string, kind string")))

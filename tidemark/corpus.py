@@ -93,7 +93,7 @@ class Corpus:
         return told.select("repo", "path", "line", "col", "rule", "severity", "claim", message.alias("message"), "fingerprint")
 
     def context(self, query: str, budget: int = 2000) -> DataFrame:
-        """Sections that answer `query` best, as many as fit into `budget` tokens."""
+        """(place, section, tokens, text): sections that answer `query` best, as many as fit into `budget` tokens; a best one larger than that is cut."""
         pages = self.pages()
         lines = self.documents().select("doc", "text").select("doc", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc", (F.col("p") + 1).cast("long").alias("line"), "text")
         heads = markdown.exploded(pages, "headings").filter("level <= 3").select("doc", F.col("line").cast("long").alias("line"), "title")
@@ -103,7 +103,7 @@ class Corpus:
         weight = F.create_map(*(F.lit(x) for kv in documents.WEIGHTS.items() for x in kv))
         weighted = body.join(self.kinds(pages), "doc").select("section", "text", weight[F.col("doc_kind")].alias("weight"))
         ranked = documents.bm25(weighted, query).join(weighted.select("section", F.col("text").alias("body")), "section").withColumn("tokens", token_estimate(F.col("body")))
-        return documents.context_pack(ranked, budget)
+        return documents.context_texts(documents.context_pack(ranked, budget), ranked)
 
     def cost(self) -> DataFrame:
         return documents.agent_cost(self.files.filter("text IS NOT NULL"))

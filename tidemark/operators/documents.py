@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import basename, dirname, matches_any
 from ..functions.text import NUMBER, number_shape, terms, token_estimate
+from .guards import within_budget
 from .inventory import is_agent_file
 
 # Names, folders and status words that tell what a document is for.
@@ -89,17 +90,39 @@ def bm25(sections: DataFrame, query: str, k1: float = 1.5, b: float = 0.75) -> D
     return scored.groupBy("section").agg((F.sum(part) * F.first("weight")).alias("score"))
 
 
-def context_pack(ranked: DataFrame, budget: int, most: int = 500) -> DataFrame:
-    """Sections (section, score, tokens, body) in order of score, as many as fit: one too large is skipped, equal bodies come once, near the budget it ends. The best `most` are looked at, as a list folded in one row."""
-    best = ranked.groupBy("body").agg(F.min(F.struct((-F.col("score")).alias("s"), "section", "tokens")).alias("x")).select("x.*").orderBy("s", "section").limit(most)
-    row = best.agg(F.sort_array(F.collect_list(F.struct("s", "section", "tokens"))).alias("all"))
-
-    def step(state: Column, x: Column) -> Column:
-        fits = (state["used"] + x["tokens"] <= budget) & (state["used"] < budget * 0.95)
-        return F.struct(F.when(fits, state["used"] + x["tokens"]).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).alias("kept"))
-
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<s:double,section:string,tokens:bigint>>").alias("kept"))
-    return row.select(F.posexplode(F.aggregate("all", start, step, lambda s: s["kept"])).alias("place", "k")).select((F.col("place") + 1).cast("long").alias("place"), "k.section", "k.tokens")
+def context_pack(ranked: DataFrame, budget: int, page: int = 500) -> DataFrame:
+    """(place, section, tokens) of sections (section, score, tokens, body) in order of score, as many as fit: one too large is skipped, equal bodies come
+    once, near the budget it ends. A best section larger than the budget is cut to it and stands alone (see `context_texts`).
+
+    Sections are read in pages of `page`, of those that still fit, until the budget is used or none is left. Each page fills at least one place.
+    """
+    best = ranked.groupBy("body").agg(F.min(F.struct((-F.col("score")).alias("s"), "section", "tokens")).alias("x")).select("x.*").persist()
+    kept: list[tuple[int, str, int]] = []
+    used, last = 0, None
+    while used < budget * 0.95:
+        left = best.filter(F.col("tokens") <= budget - used) if kept else best
+        if last is not None:
+            left = left.filter((F.col("s") > last["s"]) | ((F.col("s") == last["s"]) & (F.col("section") > last["section"])))
+        rows = left.orderBy("s", "section").limit(page).collect()
+        for r in rows:
+            tokens = budget if not kept and r["tokens"] > budget else r["tokens"]
+            if used < budget * 0.95 and used + tokens <= budget:
+                used += tokens
+                kept.append((len(kept) + 1, r["section"], tokens))
+        if len(rows) < page:
+            break
+        last = rows[-1]
+    best.unpersist()
+    return ranked.sparkSession.createDataFrame(kept, "place long, section string, tokens long")  # at most `budget` rows
+
+
+def context_texts(packed: DataFrame, ranked: DataFrame) -> DataFrame:
+    """`packed` (see `context_pack`) with the text of each section; of one that was cut, the first lines that fit."""
+    whole = packed.join(ranked.select("section", "body", F.col("tokens").alias("all")), "section")
+    lines = whole.select("*", F.posexplode(F.split("body", "\n")).alias("line", "of"))
+    cut = within_budget(lines.filter("tokens < all"), token_estimate(F.col("of")), F.col("tokens")).groupBy("section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "of"))), lambda x: x["of"]), "\n").alias("cut"))
+    text = F.when(F.col("tokens") < F.col("all"), F.coalesce("cut", F.lit(""))).otherwise(F.col("body"))
+    return whole.join(cut, "section", "left").select("place", "section", "tokens", text.alias("text"))
 
 
 def stale_marks(sections: DataFrame, findings: DataFrame) -> DataFrame:
