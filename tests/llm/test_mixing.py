@@ -37,6 +37,15 @@ def test_every_document_once_and_weights_hold(spark):
     assert mix_sources(df.limit(0)).count() == 0
 
 
+def test_more_sources_than_slots(spark):
+    rows = [(i, f"s{i % 45}", "x" * 60) for i in range(180)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), block=50, period=20).collect()
+    assert sorted(r.doc_id for r in got) == list(range(180))
+    assert all(r.release <= r.slot < r.due for r in got)
+    first = {r.source for r in got if r.slot < 60}
+    assert len(first) == 45
+
+
 def test_sql_agrees(spark):
     from tidemark.llm.queries import op9_pfair_mixing
 

@@ -74,16 +74,21 @@ def scheduled(docs: DataFrame, weights: dict[str | None, int] | None = None, blo
     belongs to the block in which it starts, and the blocks that a longer one runs through stay empty. Every document is placed
     once; when a source ends, the others keep their slots. A null source is a source of its own; null texts have no bytes; null ids come
     together in the order; an empty table gives an empty result. `docs` must not have columns of these names.
+
+    With more than `period` sources the period is the smallest multiple of `period` with a slot for each of them; making its schedule takes
+    work of sources times slots, in one task.
     """
     blocks = block_of(docs, block, id_col, source_col, text_col)
     source, size = F.col(source_col).cast("string"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
+    sources = docs.select(source.alias("source")).distinct().count()
+    period *= max(1, -(-sources // period))
     if weights is None:
         shares = docs.groupBy(source.alias("source")).agg(F.floor(F.sqrt(F.sum(size))).cast("long").alias("share"))
     else:
         given = F.coalesce(*(F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(v)) for k, v in weights.items()), F.lit(0)).cast("long")
         shares = docs.select(source.alias("source")).distinct().withColumn("share", given)
     plan = schedule(quotas(shares, period), period).select(F.col("source").alias("_of"), F.col("nth").alias("_nth"), F.col("quota").alias("_quota"), F.col("slot").alias("_s"), F.col("release").alias("_r"), F.col("due").alias("_d"))
-    # the plan has `period` rows, whatever the corpus
+    # the plan has `period` rows, a number that follows the sources, not the rows
     per_source = F.broadcast(plan.select(F.col("_of").alias("_q"), F.col("_quota").alias("_a")).distinct())
     turned = blocks.join(per_source, blocks["_source"].eqNullSafe(F.col("_q"))).withColumns({"_turn": F.expr("_block div _a"), "_k": F.expr("_block % _a")}).drop("_q", "_a")
     out = turned.join(F.broadcast(plan), turned["_source"].eqNullSafe(F.col("_of")) & (F.col("_k") == F.col("_nth")))
