@@ -235,6 +235,17 @@ def copies_diverged(spark: SparkSession, sf: str) -> DataFrame:
     return documents.diverged_copies(e.select(F.concat(F.lit("d"), F.pmod("event_id", F.lit(7))).alias("doc"), F.col("event_id").alias("line"), t.alias("text"), seconds("ts").alias("epoch")))
 
 
+@query("""WITH l AS (SELECT concat('d', event_id % 7) AS doc, event_id AS line, user_id, event_type, event_id % 2 AS v, epoch(ts)::BIGINT AS epoch FROM events),
+ g AS (SELECT user_id, event_type, arg_max((doc, line, v, epoch), (epoch, doc, line)) AS nw FROM l GROUP BY user_id, event_type HAVING count(DISTINCT doc) >= 2 AND count(DISTINCT v) = 2)
+ SELECT l.doc, l.line, nw[1] AS other, nw[2] AS other_line FROM l JOIN g USING (user_id, event_type) WHERE l.v <> nw[3] AND l.epoch < nw[4] AND l.doc <> nw[1]""")
+def copies_diverged_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all events: the user stands in letters, so that a line's shape names it and its only number is the value."""
+    e = table(spark, sf, "events")
+    user = F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij")
+    t = F.concat(F.lit("the user "), user, F.lit(" of this table had an event of the kind "), "event_type", F.lit(" and value "), F.pmod("event_id", F.lit(2)))
+    return documents.diverged_copies(e.select(F.concat(F.lit("d"), F.pmod("event_id", F.lit(7))).alias("doc"), F.col("event_id").alias("line"), t.alias("text"), seconds("ts").alias("epoch")))
+
+
 _IMPACT = with_views("SELECT 1 FROM v_md, v_code").rsplit(" SELECT 1", 1)[0]
 
 
