@@ -64,6 +64,17 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in five} == {r.doc_id for r in four}
 
 
+def test_unlinked_rows_without_an_id_of_their_own_stay(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    one, two, three, four = (prose(rng, words, 40) for _ in range(4))
+    rows = [(None, one), (None, two), (5, three), (5, four), (None, one), (6, four), (7, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], ARGS).repartition(3)
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id == 5) == sorted([(5, three), (5, four)])
+    assert sorted(repr((r.doc_id, r.text)) for r in got) == sorted(map(repr, [(None, one), (None, two), (5, three), (5, four), (7, None), (None, None)]))
+
+
 def test_run_and_empty(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns[:3] == ["doc_id", "piece", "start"] and got.count() > 100

@@ -300,13 +300,14 @@ def _verify(batches, k: int, num: int, den: int):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, k1, k2) for each row of `docs`.
+    """(doc_id, n_shingles, component_id, n_links, k1, k2, r1, r2) for each row of `docs`.
 
     Two documents are linked when den * |intersection| >= num * |union| of their word `k`-grams (A-Z in lower case). component_id is the
     smallest doc_id that links reach, n_links the number of documents directly linked. A null, empty or blank text has an empty set and no
     links; with fewer than `k` words all words are the one n-gram; rows that are alike are linked; null ids count as larger than all
     others, and a component of such alone has a null component_id; an empty table gives an empty result; other columns are ignored.
-    k1, k2 name the row (see base.keyed).
+    k1, k2 name the row (see base.keyed). r1, r2 name its group, the rows that links reach, which component_id does not where ids are null or
+    repeated: they are the digests of one of its sets, null for an empty set.
     """
     spark = docs.sparkSession
     rows = base.keyed(docs, id_col, text_col)
@@ -346,8 +347,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     links = verified.groupBy("d1", "d2").agg(F.sum("links").alias("links"))
     joined = classes.join(labels.select("node.d1", "node.d2", "root"), ["d1", "d2"])
     least = joined.groupBy("root").agg(F.min("least").alias("reached"))
-    linked = joined.join(least, "root").join(links, ["d1", "d2"]).select("d1", "d2", "reached", "links")
-    verdicts = classes.join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("reached", "least").alias("reached"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    linked = joined.join(least, "root").join(links, ["d1", "d2"]).select("d1", "d2", "reached", "links", F.col("root.d1").alias("r1"), F.col("root.d2").alias("r2"))
+    verdicts = classes.join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("r1", "d1").alias("r1"), F.coalesce("r2", "d2").alias("r2"), F.coalesce("reached", "least").alias("reached"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = members.join(verdicts, ["d1", "d2"], "left")
     return out.select(
         F.col("id").alias("doc_id"),
@@ -356,4 +357,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
         "k1",
         "k2",
+        "r1",
+        "r2",
     )
