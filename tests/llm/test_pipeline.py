@@ -5,6 +5,8 @@ import re
 
 import corpus_pipeline
 from tests.llm.test_jaccard import brute
+from tidemark.llm.mixing import scheduled
+from tidemark.llm.packing import best_fit_by_slot
 
 ARGS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -75,6 +77,42 @@ def test_unlinked_rows_without_an_id_of_their_own_stay(spark):
     assert sorted(repr((r.doc_id, r.text)) for r in got) == sorted(map(repr, [(None, one), (None, two), (5, three), (5, four), (7, None), (None, None)]))
 
 
+def test_sequences_follow_the_mixture(spark):
+    rng = random.Random(5)
+    words = ["the", "river", "and", "a", "lake", "of", "hill", "is"]
+    rows = [(i, prose(rng, words, rng.randint(50, 900)), "en", "aaab"[i % 4], None) for i in range(1600)]
+    rows += [(None, "no id", "en", "a", None), (None, "no id", "en", "a", None), (3, "again", "en", None, None), (1700, prose(rng, words, 9000), "en", "b", None)]
+    docs = spark.createDataFrame(rows, ARGS).repartition(3)
+    slot = {}
+    for r in scheduled(docs).collect():
+        slot.setdefault((r.doc_id, r.text), r._slot)
+    pieces, text_of = corpus_pipeline.pack(spark, docs, "").collect(), {d: t for d, t, *_ in rows if d is not None and d != 3}
+    total = sum(r.length for r in pieces)
+    assert sorted(repr(r.doc_id) for r in pieces if r.piece == 0) == sorted(repr(r[0]) for r in rows)
+    sequences = {}
+    for r in pieces:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert sorted(sequences) == list(range(len(sequences)))
+    for own in sequences.values():
+        ends = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == ends
+            ends += r.length
+        assert ends <= 4096
+    assert len(sequences) <= 1.1 * total / 4096 + 2
+    # the earliest slot of a sequence never falls with its number
+    least = [min((slot[r.doc_id, text_of[r.doc_id]] for r in sequences[s] if r.doc_id in text_of), default=None) for s in range(len(sequences))]
+    least = [x for x in least if x is not None]
+    assert least == sorted(least) and len(set(least)) > 3
+    narrow = best_fit_by_slot(scheduled(docs), fill=10).collect()  # several ranges
+    mean = {}
+    for r in narrow:
+        if r.doc_id in text_of:
+            mean.setdefault(r.sequence_id // 20, []).append(slot[r.doc_id, text_of[r.doc_id]])
+    means = [sum(v) / len(v) for _, v in sorted(mean.items())]
+    assert len(narrow) == len(pieces) and len(means) > 4 and means == sorted(means)
+
+
 def test_run_and_empty(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns[:3] == ["doc_id", "piece", "start"] and got.count() > 100

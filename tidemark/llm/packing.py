@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import stage, text_buffer
+from .base import small_side, stage, text_buffer
 from .tokens import public_path, word_bpe
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -129,8 +129,8 @@ def slots(plan: Plan) -> dict[str, np.ndarray]:
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, capacity: int, path: str, end_id: int, ids: bool, id_col: str, text_col: str) -> DataFrame:
-    """Each document's ids, cut after every `capacity`."""
+def pieces(docs: DataFrame, capacity: int, path: str, end_id: int, ids: bool, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each document's ids, cut after every `capacity`, with its whole numbers in the columns `keep`."""
 
     def of(batches):
         words = word_bpe(path)
@@ -145,9 +145,11 @@ def pieces(docs: DataFrame, capacity: int, path: str, end_id: int, ids: bool, id
                     for kept, v in zip(out, (i, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if ids else None), strict=True):
                         kept.append(v)
             arrays = [batch.column("id").take(pa.array(out[0], pa.int64())), *(pa.array(v, t) for v, t in zip(out[1:5], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[5], pa.list_(pa.int32()))] * ids, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids)
+            more = [batch.column(c).take(pa.array(out[0], pa.int64())) for c in keep]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[5], pa.list_(pa.int32()))] * ids + more, ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids + list(keep))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(of, PIECES + ", ids array<int>" * ids)
+    needed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).cast("long").alias(c) for c in keep))
+    return needed.mapInArrow(of, PIECES + ", ids array<int>" * ids + "".join(f", {c} long" for c in keep))
 
 
 def best_fit_packing(docs: DataFrame, capacity: int = 4096, path: str | None = None, end_id: int = 1, ids: bool = False, buckets: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,3 +183,48 @@ def best_fit_packing(docs: DataFrame, capacity: int = 4096, path: str | None = N
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(table["sequence"][k] + rank - table["first"][k]), pa.array(table["offset"][k])], [*names, "sequence_id", "offset"])
 
     return ranked.select(*names, (F.col("own") + F.col("before")).alias("rank")).mapInArrow(place, PIECES + ", ids array<int>" * ids + ", sequence_id long, offset long")
+
+
+PLACED = PIECES + ", sequence long, offset long, range long"
+
+
+def pack_range(table: pa.Table, capacity: int) -> pa.Table:
+    """Packs the pieces of one range. Those of a length take their places in the order of slots, and sequences are numbered by their earliest piece."""
+    slot, begin, doc, piece = (table[c].cast(pa.int64()).fill_null(-(2**63)).to_numpy() for c in ("_slot", "_start", "doc_id", "piece"))
+    table = table.take(pa.array(np.lexsort((piece, doc, begin, slot))))
+    length = table["length"].to_numpy()
+    where = slots(plan_sequences(np.bincount(length, minlength=capacity + 1), capacity))
+    by_length = np.argsort(length, kind="stable")
+    rank = np.empty(len(length), np.int64)
+    rank[by_length] = np.arange(len(length)) - np.searchsorted(length[by_length], length[by_length], "left")
+    span = int(where["first"].max() + where["times"].max() + 1)
+    k = np.searchsorted(where["length"] * span + where["first"], length * span + rank, "right") - 1
+    _, first, which = np.unique(where["sequence"][k] + rank - where["first"][k], return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    return pa.table([*(table[c] for c in names), pa.array(number[which]), pa.array(where["offset"][k]), table["range"]], [*names, "sequence", "offset", "range"])
+
+
+def best_fit_by_slot(docs: DataFrame, capacity: int = 4096, path: str | None = None, end_id: int = 1, unit: int = 10, fill: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Packs documents that have a place in a mixture (_slot, _start; see `mixing.scheduled`), so that the sequences follow it. Columns as of `best_fit_packing`.
+
+    Slots are cut into ranges of whole units of `unit` slots and about `fill` sequences. Each range is packed for itself, and ranges are
+    numbered in their order, so sequences hold the mixture range by range. A range costs at most a few sequences that are not full.
+    Null and repeated ids, null texts and empty tables are handled as there; texts without a byte share the slot of their neighbours and
+    come to one range, whatever their number.
+    """
+    cut = stage(pieces(docs, capacity, path or public_path("word_bpe_49k.json"), end_id, False, id_col, text_col, ("_slot", "_start")), "pieces")
+    cut = cut.withColumn("unit", F.expr(f"_slot div {unit}"))
+    in_order = Window.orderBy("unit")  # a row for each `unit` slots
+    sums = cut.groupBy("unit").agg(F.sum("length").alias("n"))
+    ranges = small_side(sums.select("unit", F.floor((F.sum("n").over(in_order) - F.col("n")) / (fill * capacity)).cast("long").alias("range")), "ranges")
+
+    def of(table: pa.Table) -> pa.Table:
+        return pack_range(table, capacity)
+
+    placed = stage(cut.join(ranges, "unit").drop("unit").groupBy("range").applyInArrow(of, PLACED), "placed")
+    ends = placed.groupBy("range").agg((F.max("sequence") + 1).alias("n"))
+    before = small_side(ends.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before")), "before")
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    return placed.join(before, "range").select(*names, (F.col("sequence") + F.col("before")).alias("sequence_id"), "offset")
