@@ -140,9 +140,14 @@ def diverged_copies(lines: DataFrame) -> DataFrame:
     return old.select("doc", "line", F.col("new.doc").alias("other"), F.col("new.line").alias("other_line"))
 
 
+def lost_terms(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Terms that a change removes and nothing defines any more."""
+    return before.select("term").distinct().join(after.select("term"), "term", "left_anti")
+
+
 def impact(lost: DataFrame, alive: DataFrame, lines: DataFrame) -> DataFrame:
     """(doc, line, term): document lines that name what a change removed and nothing else defines."""
-    gone = lost.join(alive, "term", "left_anti").distinct()
+    gone = lost_terms(lost, alive)
     tokens = lines.select("doc", "line", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias("term"))
     return tokens.join(gone, "term").select("doc", "line", "term")
 

@@ -57,8 +57,25 @@ def near_names(claims: DataFrame, files: DataFrame, least: float = 0.84, most: i
 
 
 def edit_near(claims: DataFrame, files: DataFrame, most: int = 2) -> DataFrame:
-    """The nearest sibling by edit distance, at most `most`; ties go to the first name."""
-    d = siblings(claims.select("target").distinct(), files).withColumn("distance", F.levenshtein("wanted", "name").cast("long")).filter(F.col("distance") <= most)
+    """The nearest sibling by edit distance, at most `most`; ties go to the first name.
+
+    A name is cut into `most` + 1 pieces. `most` edits leave one of them whole, moved by `most` places at most, so both sides meet at (folder, length,
+    number of the piece, piece), however many names a folder has.
+    """
+    count = most + 1
+
+    def pieces(length: str) -> str:
+        """SQL array of (nth, start, size) of the pieces of a name of `length` letters."""
+        return f"transform(sequence(0, {most}), i -> struct(i AS nth, i * ({length} div {count}) AS start, if(i = {most}, {length} - i * ({length} div {count}), {length} div {count}) AS size))"
+
+    here = files.select(dirname(F.col("path")).alias("_dir"), basename(F.col("path")).alias("name")).withColumn("_l", F.length("name"))
+    there = here.select("_dir", "name", "_l", F.explode(F.expr(pieces("_l"))).alias("p")).select("_dir", "name", "_l", F.col("p.nth").alias("_nth"), F.expr("substring(name, p.start + 1, p.size)").alias("_piece"))
+    asked = claims.select("target").distinct().withColumns({"_dir": dirname(F.col("target")), "wanted": basename(F.col("target"))})
+    each = asked.select("*", F.explode(F.expr(f"sequence(greatest(length(wanted) - {most}, 0), length(wanted) + {most})")).alias("_l"))
+    each = each.select("*", F.explode(F.expr(pieces("_l"))).alias("p")).select("*", F.explode(F.expr(f"sequence(p.start - {most}, p.start + {most})")).alias("_at")).filter("_at >= 0 AND _at + p.size <= length(wanted)")
+    probes = each.select("target", "wanted", "_dir", "_l", F.col("p.nth").alias("_nth"), F.expr("substring(wanted, _at + 1, p.size)").alias("_piece")).distinct()
+    pairs = probes.join(there, ["_dir", "_l", "_nth", "_piece"]).select("target", "wanted", "name").distinct()
+    d = pairs.withColumn("distance", F.levenshtein("wanted", "name", most).cast("long")).filter("distance >= 0")
     return d.groupBy("target").agg(F.min(F.struct("distance", "name")).alias("b")).select("target", F.col("b.name").alias("name"), F.col("b.distance").alias("distance"))
 
 
@@ -71,9 +88,24 @@ def deepest(rows: DataFrame, path_col: str, holders: DataFrame, folder_col: str)
     return rows.join(hit, keys, "left").select(*keys, "_best.*")
 
 
-def template_hits(names: DataFrame, templates: DataFrame) -> DataFrame:
-    """Names that a format string of the code builds. `templates` (pattern, prefix): patterns are looked at only for names with the same first three letters."""
-    return names.withColumn("prefix", F.substring("name", 1, 3)).join(templates, "prefix").filter(F.expr("name RLIKE concat('^(?:', pattern, ')$')")).select("name", "pattern").distinct()
+EDGE = 12  # letters of a pattern's ends that are joined on
+
+
+def template_hits(names: DataFrame, templates: DataFrame, least: int = 3) -> DataFrame:
+    """(name, pattern): names that a format string of the code builds. `templates` (pattern) are regular expressions of literal text and holes, without alternatives.
+
+    What stands before the first hole and after the last one, `EDGE` letters of each at most, is compared by an equi-join; there are at most
+    (EDGE + 1)**2 pairs of lengths of such ends, so that is the most rows that a name becomes. Only what meets there is matched. Patterns that begin
+    with fewer than `least` literal letters vouch for nothing.
+    """
+    letter = "A-Za-z0-9_ /-"
+    head = F.regexp_extract("pattern", rf"^((?:[{letter}](?![?*+{{]))*)", 1)
+    tail = F.regexp_extract("pattern", rf"(?:^|[^\\{letter}])([{letter}]*)$", 1)
+    ends = templates.select("pattern", F.substring(head, 1, EDGE).alias("_head"), F.right(tail, F.lit(EDGE)).alias("_tail")).filter(F.length("_head") >= least).distinct()
+    shapes = ends.agg(F.collect_set(F.struct(F.length("_head").alias("h"), F.length("_tail").alias("t"))).alias("_shapes"))  # one row
+    asked = names.crossJoin(F.broadcast(shapes)).select("name", F.explode("_shapes").alias("s")).filter(F.length("name") >= F.greatest("s.h", "s.t"))
+    keyed = asked.select("name", F.expr("left(name, s.h)").alias("_head"), F.expr("right(name, s.t)").alias("_tail"))
+    return keyed.join(ends, ["_head", "_tail"]).filter(F.expr("name RLIKE concat('^(?:', pattern, ')$')")).select("name", "pattern").distinct()
 
 
 def unknown_symbols(claims: DataFrame, idents: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def symbol_anti(spark: SparkSession, sf: str) -> DataFrame:
 def template_match(spark: SparkSession, sf: str) -> DataFrame:
     claims = table(spark, sf, "orders").select(F.concat(F.lit("build_"), F.pmod("o_orderkey", F.lit(40)), F.lit("_"), "o_custkey").alias("name")).distinct()
     made = v_code(spark, sf).filter("line = 1").select(F.replace(F.regexp_extract("text", "f.(build[^']*).", 1), F.lit("{x}"), F.lit("[0-9]+")).alias("pattern")).distinct()
-    return resolve.template_hits(claims, made.withColumn("prefix", F.substring("pattern", 1, 3)))
+    return resolve.template_hits(claims, made)
 
 
 @query(f"{_CODE} SELECT rule, path, line, text FROM (SELECT 'todo' AS rule, path, line, text, row_number() OVER (ORDER BY path, line) AS n FROM v_code WHERE regexp_matches(text, 'TODO .*7') UNION ALL SELECT 'flag', path, line, text, row_number() OVER (ORDER BY path, line) FROM v_code WHERE regexp_matches(path, '(?i)^src/promo/.*') AND regexp_matches(text, '--flag3')) WHERE n <= 50")
@@ -119,12 +119,13 @@ def mirror_vote(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT url AS target, lower(regexp_replace(unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)), '[^\\p{L}\\p{N}]', '', 'g')) AS s FROM pages),
- l AS (SELECT doc_id AS doc, p.url AS target, regexp_extract(text, '^(\\S+)', 1) AS anchor FROM documents JOIN pages p ON p.page_id = doc_id % 50)
+ l AS (SELECT doc_id AS doc, p.url AS target, regexp_extract(text, '^(\\S+)', 1) AS anchor FROM documents JOIN pages p ON p.page_id = doc_id % (SELECT count(*) FROM pages))
  SELECT doc, target, anchor FROM l WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.target = l.target AND s = lower(regexp_replace(anchor, '[^\\p{L}\\p{N}]', '', 'g')))""")
 def anchor_check(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
     anchors = pages.select(F.col("url").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("anchor"))
-    links = table(spark, sf, "documents").join(pages, F.col("page_id") == F.pmod("doc_id", F.lit(50))).select(F.col("doc_id").alias("doc"), F.col("url").alias("target"), F.regexp_extract("text", r"^(\S+)", 1).alias("anchor"))
+    counted = table(spark, sf, "documents").join(F.broadcast(pages.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    links = counted.join(pages, F.col("page_id") == F.pmod("doc_id", F.col("n"))).select(F.col("doc_id").alias("doc"), F.col("url").alias("target"), F.regexp_extract("text", r"^(\S+)", 1).alias("anchor"))
     return resolve.anchor_findings(links, anchors)
 
 

@@ -226,20 +226,11 @@ def stale_marks(spark: SparkSession, sf: str) -> DataFrame:
     return documents.stale_marks(lines.sections(md), md.filter("line % 3 = 0").withColumn("rule", F.lit("x")))
 
 
-@query("""WITH l AS (SELECT concat('d', event_id % 7) AS doc, event_id AS line, concat('the user ', user_id, ' of this table had an event of the kind ', event_type, ' and value ', CAST(event_id % 2 AS VARCHAR)) AS text, user_id, event_type, event_id % 2 AS v, epoch(ts)::BIGINT AS epoch FROM events),
- g AS (SELECT event_type, count(DISTINCT doc) AS docs, count(DISTINCT (user_id, v)) AS variants, arg_max((doc, line, user_id, v, epoch), (epoch, doc, line)) AS nw FROM l WHERE user_id % 40 = 3 GROUP BY event_type HAVING docs >= 2 AND variants = 2)
- SELECT l.doc, l.line, nw[1] AS other, nw[2] AS other_line FROM l JOIN g USING (event_type) WHERE user_id % 40 = 3 AND (l.user_id, l.v) <> (nw[3], nw[4]) AND l.epoch < nw[5] AND l.doc <> nw[1]""".replace("user_id % 40 = 3", "user_id = 3"))
-def copies_diverged(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").filter("user_id = 3")
-    t = F.concat(F.lit("the user "), "user_id", F.lit(" of this table had an event of the kind "), "event_type", F.lit(" and value "), F.pmod("event_id", F.lit(2)))
-    return documents.diverged_copies(e.select(F.concat(F.lit("d"), F.pmod("event_id", F.lit(7))).alias("doc"), F.col("event_id").alias("line"), t.alias("text"), seconds("ts").alias("epoch")))
-
-
 @query("""WITH l AS (SELECT concat('d', event_id % 7) AS doc, event_id AS line, user_id, event_type, event_id % 2 AS v, epoch(ts)::BIGINT AS epoch FROM events),
  g AS (SELECT user_id, event_type, arg_max((doc, line, v, epoch), (epoch, doc, line)) AS nw FROM l GROUP BY user_id, event_type HAVING count(DISTINCT doc) >= 2 AND count(DISTINCT v) = 2)
  SELECT l.doc, l.line, nw[1] AS other, nw[2] AS other_line FROM l JOIN g USING (user_id, event_type) WHERE l.v <> nw[3] AND l.epoch < nw[4] AND l.doc <> nw[1]""")
-def copies_diverged_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Over all events: the user stands in letters, so that a line's shape names it and its only number is the value."""
+def copies_diverged(spark: SparkSession, sf: str) -> DataFrame:
+    """The user stands in letters, so that a line's shape names it and its only number is the value."""
     e = table(spark, sf, "events")
     user = F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij")
     t = F.concat(F.lit("the user "), user, F.lit(" of this table had an event of the kind "), "event_type", F.lit(" and value "), F.pmod("event_id", F.lit(2)))
@@ -249,15 +240,16 @@ def copies_diverged_all(spark: SparkSession, sf: str) -> DataFrame:
 _IMPACT = with_views("SELECT 1 FROM v_md, v_code").rsplit(" SELECT 1", 1)[0]
 
 
-@query(_IMPACT + ", defs AS (SELECT DISTINCT regexp_extract(text, 'def (\\w+)', 1) AS term, path FROM v_code WHERE line = 1) SELECT DISTINCT term FROM defs WHERE path LIKE 'src/economy/%' AND term NOT IN (SELECT term FROM defs WHERE regexp_matches(path, '_[12]\\.py$'))")
+@query(with_views("SELECT DISTINCT term FROM (SELECT concat('call_', key // 2) AS term, key FROM v_files) WHERE key % 3 < 2 AND term NOT IN (SELECT concat('call_', key // 2) FROM v_files WHERE key % 3 = 2)"))
 def impact_lost_defs(spark: SparkSession, sf: str) -> DataFrame:
-    d = v_code(spark, sf).filter("line = 1").select(F.regexp_extract("text", r"def (\w+)", 1).alias("term"), "path")
-    return d.filter("path LIKE 'src/economy/%'").select("term").distinct().join(d.filter(F.col("path").rlike(r"_[12]\.py$")).select("term"), "term", "left_anti")
+    """Two files define each name; two thirds of the files go."""
+    d = v_files(spark, sf).select(F.concat(F.lit("call_"), F.expr("key div 2")).alias("term"), "key")
+    return documents.lost_terms(d.filter("key % 3 < 2"), d.filter("key % 3 = 2"))
 
 
-@query(_IMPACT + ", lost AS (SELECT DISTINCT regexp_extract(text, 'def (\\w+)', 1) AS term FROM v_code WHERE line = 1 AND path LIKE '%_1%'), alive AS (SELECT 'call_3' AS term), tok AS (SELECT DISTINCT doc, line, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS term FROM v_md) SELECT doc, line, term FROM tok WHERE term IN (SELECT term FROM lost) AND term NOT IN (SELECT term FROM alive)")
+@query(_IMPACT + ", lost AS (SELECT DISTINCT regexp_extract(text, 'def (\\w+)', 1) AS term FROM v_code WHERE line = 1), alive AS (SELECT 'call_3' AS term), tok AS (SELECT DISTINCT doc, line, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS term FROM v_md) SELECT doc, line, term FROM tok WHERE term IN (SELECT term FROM lost) AND term NOT IN (SELECT term FROM alive)")
 def impact_hits(spark: SparkSession, sf: str) -> DataFrame:
-    lost = v_code(spark, sf).filter("line = 1 AND path LIKE '%_1%'").select(F.regexp_extract("text", r"def (\w+)", 1).alias("term"))
+    lost = v_code(spark, sf).filter("line = 1").select(F.regexp_extract("text", r"def (\w+)", 1).alias("term"))
     return documents.impact(lost, spark.range(1).select(F.lit("call_3").alias("term")), v_md(spark, sf))
 
 

@@ -75,7 +75,7 @@ def v_md(spark: SparkSession, sf: str) -> DataFrame:
     """Markdown lines (doc, line, text): a front matter, headings, lists, fences, tables with odd rows, directives, links."""
     n = F.col("o_orderkey")
     by = lambda k: F.pmod(n, F.lit(k))
-    doc = F.concat(F.lit("docs/g"), F.pmod(F.col("o_custkey"), F.lit(50)), F.lit(".md"))
+    doc = F.concat(F.lit("docs/g"), F.expr("o_custkey div 20"), F.lit(".md"))
     text = (
         F.when(by(13) == 0, F.concat(F.lit("## Order "), F.col("o_orderpriority")))
         .when(by(13) == 1, F.concat(F.lit("| "), n, F.lit(" | "), F.col("o_orderstatus"), F.lit(" |")))
@@ -91,7 +91,7 @@ def v_md(spark: SparkSession, sf: str) -> DataFrame:
         .when(by(13) == 11, F.concat(F.lit("### Part "), by(4)))
         .otherwise(F.concat(F.lit("It was removed in v1."), by(6), F.lit("; the key token = abcdef"), n))
     )
-    line = F.expr("row_number() OVER (PARTITION BY pmod(o_custkey, 50) ORDER BY o_orderkey)").cast("long")
+    line = F.expr("row_number() OVER (PARTITION BY o_custkey div 20 ORDER BY o_orderkey)").cast("long")
     return table(spark, sf, "orders").select(doc.alias("doc"), line.alias("line"), text.alias("text"))
 
 
@@ -116,7 +116,7 @@ VIEWS: dict[str, str] = {
     "v_events": "SELECT concat('src/u', user_id, '.py') AS path, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, event_id AS \"commit\", CASE event_type WHEN 'error' THEN 'D' WHEN 'signup' THEN 'A' ELSE 'M' END AS kind FROM events",
     "v_blame": "SELECT concat('docs/d', event_id % 97, '.md') AS doc, event_id AS line, concat('src/u', (user_id * 7) % 151, '.py') AS path, CAST(floor(epoch(ts)) AS BIGINT) AS written FROM events WHERE event_type = 'purchase'",
     "v_decisions": "SELECT concat('c', o_custkey % 20, '/decisions.md') AS log, o_orderkey AS number, CASE o_orderstatus WHEN 'F' THEN 'superseded' WHEN 'P' THEN 'amended' ELSE 'active' END AS status, o_custkey AS owner FROM orders",
-    "v_md": """SELECT concat('docs/g', o_custkey % 50, '.md') AS doc, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS line,
+    "v_md": """SELECT concat('docs/g', o_custkey // 20, '.md') AS doc, row_number() OVER (PARTITION BY o_custkey // 20 ORDER BY o_orderkey) AS line,
       CASE o_orderkey % 13 WHEN 0 THEN concat('## Order ', o_orderpriority) WHEN 1 THEN concat('| ', o_orderkey, ' | ', o_orderstatus, ' |') WHEN 2 THEN concat('| ', o_orderkey, ' |')
         WHEN 3 THEN '| id | status |' WHEN 4 THEN '|---|---|' WHEN 5 THEN '```' WHEN 6 THEN concat('See [order ', o_orderkey, '](../src/o', o_orderkey, '.py#L', o_orderkey % 7, ') and `src/o', o_orderkey, '.py`.')
         WHEN 7 THEN '' WHEN 8 THEN '<!-- tidemark: ignore-start -->' WHEN 9 THEN '<!-- tidemark: ignore-end -->'
