@@ -1,22 +1,22 @@
 """Operator 6 against the tokenizer itself and the rules of a packing."""
 
+import itertools
 import math
 import zlib
 
 import numpy as np
 import pytest
 
-from tidemark.llm.packing import best_fit, best_fit_packing, plan_sequences, slots
+from tidemark.llm.packing import Complements, best_fit, best_fit_packing, plan_sequences, slots
 from tidemark.llm.tokens import public_path, word_bpe
 
-ODD = ["Don't STOP!!", "naïve café — Ünïcode", "Σίσυφος ΟΔΟΣ", "한국어 日本語", "a b\x85c\x1cd", "éclair ﬁ İstanbul", "<|endoftext|> x<|startoftext|>", "x&&& 123 4a5 $$$ we'll", "\x00 \x7f", "ÿþ"]
+ODD = ["Don't STOP!!", "naïve café — Ünïcode", "Σίσυφος ΟΔΟΣ", "한국어 日本語", "a b\x85c\x1cd", "éclair ﬁ İstanbul", "<|endoftext|> x<|startoftext|>", "hello <|endoftext|> world", "a<|endoftext|>b <|EndOfText|> <| endoftext |>", "x&&& 123 4a5 $$$ we'll", "\x00 \x7f", "ÿþ"]
 
 
 def test_word_ids_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     words = word_bpe(public_path("word_bpe_49k.json"))
     for t in texts:
@@ -39,6 +39,40 @@ def test_plan_uses_each_piece_once_and_few_sequences(seed):
     assert sum(t for _, t in plan) <= 1.001 * lengths.sum() / capacity + 1
 
 
+def brute_complement(counts, gap, held):
+    """Whether one, two or three available lengths sum to `gap`."""
+    free = counts.copy()
+    for x in held:
+        free[x] -= 1
+    have = [x for x in range(1, len(free)) for _ in range(min(free[x], 3))]
+    sums = {0: {0}}
+    for n in (1, 2, 3):
+        sums[n] = {sum(c) for c in itertools.combinations(have, n)}
+    return [gap in sums[n] for n in (1, 2, 3)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_complements_are_found_whenever_there_are_any(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(31, np.int64)
+    for x in rng.integers(1, 31, 12):
+        counts[x] += rng.integers(1, 3)
+    left = Complements(counts)
+    for _ in range(60):
+        gap, held = int(rng.integers(1, 31)), ()
+        there = np.flatnonzero(left.counts)
+        if len(there) and rng.random() < 0.7:
+            held = (int(rng.choice(there)),)
+        got = [left.single(gap, held), left.pair(gap, held), left.triple(gap, held)]
+        assert [x is not None for x in got] == brute_complement(left.counts, gap, held)
+        for x in got:
+            if x:
+                assert sum(x) == gap and left.most((*held, *x)) >= 1
+        taken = next((x for x in got if x), None)
+        if taken and rng.random() < 0.5:
+            left.take(taken, 1)
+
+
 def test_best_fit_alone_and_slots():
     counts = np.bincount([3, 3, 3, 5, 7, 7], minlength=11)
     plan = best_fit(counts, 10)

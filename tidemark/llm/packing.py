@@ -1,7 +1,7 @@
 """Operator 6: best-fit packing with exact complements.
 
 Packing sees only how many pieces there are of each length, at most `capacity` numbers whatever the corpus. Lengths are
-taken from the longest down. What is missing to a full sequence is looked up as a single length, as a sum of two and as a sum of three
+taken from the longest down. What is missing to a full sequence is looked up in an index of single lengths, of sums of two and of sums of three
 lengths, and combinations that fill it exactly are used as often as their counts allow. What is left goes, longest first,
 into the open sequence with the smallest sufficient gap. The plan is a short list of (pieces of a sequence, times); each piece
 then finds its place by its rank among the pieces of its length.
@@ -23,34 +23,56 @@ Plan = list[tuple[tuple[int, ...], int]]
 
 
 class Complements:
-    """Counts of lengths, with look-up of one, two or three available lengths of a given sum."""
+    """Counts of lengths under an index of sums: for each sum asked for, the lengths that begin a pair or a triple with it, longest first.
+
+    Counts only fall, so what has run out never comes back: an entry of the index keeps the place from which combinations may still be there.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts.astype(np.int64).copy()
+        self._pairs: dict[int, list] = {}  # sum: [first lengths, place]
+        self._triples: dict[int, list] = {}
 
-    def single(self, gap: int) -> tuple[int, ...] | None:
-        return (gap,) if gap > 0 and self.counts[gap] > 0 else None
+    def _there(self, lengths: tuple[int, ...], held: tuple[int, ...] = ()) -> bool:
+        """Whether the lengths are available besides those held."""
+        return all(self.counts[x] >= lengths.count(x) + held.count(x) for x in lengths)
 
-    def pair(self, gap: int) -> tuple[int, ...] | None:
-        """The pair with the longest first length."""
+    def single(self, gap: int, held: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        return (gap,) if gap > 0 and self._there((gap,), held) else None
+
+    def pair(self, gap: int, held: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """Two available lengths of this sum, the first as long as can be."""
         if gap < 2:
             return None
-        have = self.counts[: gap + 1] > 0
-        both = have[1:gap] & have[1:gap][::-1]  # a and gap - a
-        if gap % 2 == 0 and self.counts[gap // 2] < 2:
-            both[gap // 2 - 1] = False
-        at = np.flatnonzero(both)
-        return (int(at[-1]) + 1, gap - int(at[-1]) - 1) if len(at) else None
-
-    def triple(self, gap: int, tries: int = 64) -> tuple[int, ...] | None:
-        """A triple, its longest length as long as can be; `tries` longest lengths are looked at."""
-        have = np.flatnonzero(self.counts[1:gap] > 0) + 1
-        for a in have[have >= (gap + 2) // 3][::-1][:tries].tolist():
-            self.counts[a] -= 1
-            rest = self.pair(gap - a)
-            self.counts[a] += 1
-            if rest and max(rest) <= a:
-                return (a, *rest)
+        entry = self._pairs.get(gap)
+        if entry is None:
+            have = self.counts[: gap + 1] > 0
+            both = np.flatnonzero(have[1:gap] & have[1:gap][::-1]) + 1
+            entry = self._pairs[gap] = [both[2 * both >= gap][::-1].tolist(), 0]
+        first = entry[0]
+        while entry[1] < len(first) and not self._there((first[entry[1]], gap - first[entry[1]])):
+            entry[1] += 1
+        for k in range(entry[1], len(first)):
+            if self._there((first[k], gap - first[k]), held):
+                return (first[k], gap - first[k])
+        return None
+
+    def triple(self, gap: int, held: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """Three available lengths of this sum. The longest of them is at least a third of it."""
+        if gap < 3:
+            return None
+        entry = self._triples.get(gap)
+        if entry is None:
+            have = np.flatnonzero(self.counts[1 : gap - 1] > 0) + 1
+            entry = self._triples[gap] = [have[3 * have >= gap][::-1].tolist(), 0]
+        first = entry[0]
+        for k in range(entry[1], len(first)):
+            x = first[k]
+            rest = self.pair(gap - x, (*held, x)) if self._there((x,), held) else None
+            if rest:
+                return (x, *rest)
+            if k == entry[1] and (not self.counts[x] or not self.pair(gap - x, (x,))):
+                entry[1] += 1
         return None
 
     def most(self, lengths: tuple[int, ...]) -> int:
@@ -67,13 +89,8 @@ def plan_sequences(counts: np.ndarray, capacity: int) -> Plan:
     left, plan = Complements(counts), []
     for length in range(capacity, 0, -1):
         while left.counts[length] > 0:
-            gap = capacity - length
-            if gap == 0:
-                fill: tuple[int, ...] | None = ()
-            else:
-                left.counts[length] -= 1
-                fill = left.single(gap) or left.pair(gap) or left.triple(gap)
-                left.counts[length] += 1
+            gap, own = capacity - length, (length,)
+            fill = () if gap == 0 else left.single(gap, own) or left.pair(gap, own) or left.triple(gap, own)
             if fill is None:
                 break
             lengths = (length, *fill)

@@ -50,7 +50,7 @@ def word_bpe(path: str) -> WordIds:
     """Ids of a `tokenizers` file with word ends, lower case and dropped white space.
 
     Latin words go through a byte-pair coder in which the byte FF, which no UTF-8 text has, stands for the word end; all others
-    through the tokenizer itself. Strings of special tokens in a text are ordinary text.
+    through the tokenizer itself, as do words that hold the string of a special token, which the tokenizer reads as that token.
     """
     if ("word", path) in _made:
         return _made["word", path]
@@ -58,7 +58,6 @@ def word_bpe(path: str) -> WordIds:
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     byte_of = _byte_of_char()
@@ -72,7 +71,7 @@ def word_bpe(path: str) -> WordIds:
 
     def encode(word: bytes) -> list[int]:
         text = word.decode("utf-8", "replace")
-        if max(text) >= "ɐ" or "\x1c" <= min(text) <= "\x1f" or "\x85" in text or "\xa0" in text:
+        if "<|" in text or max(text) >= "ɐ" or "\x1c" <= min(text) <= "\x1f" or "\x85" in text or "\xa0" in text:
             return whole.encode(text, add_special_tokens=False).ids
         out: list[int] = []
         for piece in pieces(text.lower()):
