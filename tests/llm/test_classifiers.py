@@ -94,3 +94,17 @@ def test_language_odd_rows(spark):
     assert got == sorted([(1, "en"), (4, "fr"), (None, "en"), (5, "und"), (6, "und"), (7, "und"), (8, "en"), (8, "en")], key=repr)
     assert {r.lang_pred for r in langid.languages(df.withColumn("lang", df.lang.substr(9, 0))).collect()} <= {"", "und"}
     assert langid.languages(df.limit(0)).count() == 0
+
+
+def test_many_kinds_of_letters_in_one_run_of_rows():
+    from tidemark.llm.langid import grams
+
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    assert len(letters) > 66_000
+    texts = ["ab a"] * 3000 + ["".join(letters)] + ["b a"] * 5
+    row, key, count, has = grams(texts)
+    assert has.all() and (np.diff(row) >= 0).all() and row.max() == len(texts) - 1
+    one = grams(["ab a"])
+    for i in (0, 1499, 2999):
+        assert key[row == i].tolist() == one[1].tolist() and count[row == i].tolist() == one[2].tolist()
+    assert len(key[row == 3000]) >= 3 * len(letters) - 2

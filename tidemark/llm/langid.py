@@ -49,8 +49,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     code, row, letter = np.where(letter, code, 32)[keep], row[keep], letter[keep]
     alphabet, small = np.unique(code, return_inverse=True)
     bits = max(int(len(alphabet)).bit_length(), 1)
-    if 3 * bits + max(len(texts), 1).bit_length() > 62:
-        raise ValueError("too many letters for one run of rows")
+    if 3 * bits + len(texts).bit_length() > 62:  # many kinds of letters: half of the texts at a time; those of one text always fit
+        half = len(texts) // 2
+        one, two = grams(texts[:half]), grams(texts[half:])
+        return (np.concatenate([one[0], two[0] + half]), *(np.concatenate([x, y]) for x, y in zip(one[1:], two[1:], strict=True)))  # type: ignore[return-value]
     small = small.astype(np.int64) + 1
     owner = row.astype(np.int64) << (3 * bits)
     n = len(small)
