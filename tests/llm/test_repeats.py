@@ -7,7 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import repeats, substring, suffix_array
+from pyspark.sql import functions as F
+
+from tidemark.llm import base, repeats, substring, suffix_array
 from tidemark.llm.substring import substring_dedup
 from tidemark.llm.suffix_array import suffix_array_dedup
 
@@ -59,11 +61,11 @@ def key(rows):
     return sorted(rows, key=repr)
 
 
-@pytest.mark.parametrize("seed,size,hot", [(1, 24, 50_000), (2, 40, 2), (3, 9, 50_000)])
-def test_bytes_match_brute_force(spark, seed, size, hot):
+@pytest.mark.parametrize("seed,size,crowd", [(1, 24, 256), (2, 40, 2), (3, 9, 256)])
+def test_bytes_match_brute_force(spark, seed, size, crowd):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = suffix_array_dedup(df, size=size, width=6, hot=hot).collect()
+    got = suffix_array_dedup(df, size=size, width=6, crowd=crowd).collect()
     assert key([tuple(r)[:5] for r in got]) == key(brute_bytes(rows, size))
     assert any(r.n_removed for r in got)
     for r in got:
@@ -71,11 +73,11 @@ def test_bytes_match_brute_force(spark, seed, size, hot):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
-@pytest.mark.parametrize("seed,size,hot", [(4, 5, 50_000), (5, 8, 1), (6, 4, 50_000)])
-def test_words_match_brute_force(spark, seed, size, hot):
+@pytest.mark.parametrize("seed,size,crowd", [(4, 5, 256), (5, 8, 1), (6, 4, 256)])
+def test_words_match_brute_force(spark, seed, size, crowd):
     rows = corpus(seed, alphabet="ab \n")
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = substring_dedup(df, size=size, width=3, hot=hot).collect()
+    got = substring_dedup(df, size=size, width=3, crowd=crowd).collect()
     assert key([tuple(r)[:4] for r in got]) == key(brute_words(rows, size))
     assert any(r.n_removed for r in got)
     for r in got:
@@ -118,3 +120,32 @@ def test_empty_table_and_other_columns(spark):
     odd = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 1, 2, 3)], "doc_id long, text string, k1 long, spans long, anchor long")
     assert {r.n_removed for r in substring_dedup(odd, size=4, width=2).collect()} == {6}
     assert {r.n_removed for r in suffix_array_dedup(odd, size=4, width=2).collect()} == {11}
+
+
+def test_rows_that_are_alike_cost_in_proportion(spark):
+    """Contexts of rows that share id and text are sent once, whatever their number."""
+    rng = random.Random(9)
+    one, two = ("".join(rng.choices("abcd ", k=60)) for _ in range(2))
+    made = {}
+    for n in (50, 400):
+        rows = [(None, one + two)] * n + [(1, one + "x" + two[5:]), (2, "y" + one[3:] + two)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        keyed = base.keyed(df)
+        units = repeats.Units("bytes", 24, 6)
+        entries = repeats.anchors(keyed, units).cache()
+        kinds = entries.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
+        made[n] = repeats.contexts(keyed, kinds, units).count() - kinds.count()
+        got = suffix_array_dedup(df, size=24, width=6).collect()
+        assert key([tuple(r)[:5] for r in got]) == key(brute_bytes(rows, 24))
+    assert made[50] == made[400] == 0
+
+
+def test_crowded_anchors_are_widened(spark):
+    """One passage in many surroundings: more kinds of contexts than `crowd` at its edges."""
+    rng = random.Random(10)
+    passage = "".join(rng.choices("abcdef ", k=50))
+    rows = [(i, "".join(rng.choices("ghijkl ", k=30)) + passage[rng.randint(0, 9) :] + "".join(rng.choices("mnopq ", k=30))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowd in (3, 20, 256):
+        got = suffix_array_dedup(df, size=24, width=6, crowd=crowd).collect()
+        assert key([tuple(r)[:5] for r in got]) == key(brute_bytes(rows, 24))

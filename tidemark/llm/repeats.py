@@ -9,14 +9,15 @@ consecutive windows with the same anchor are *chunks*; a chunk's *context* is al
    window in it is repeated. That settles copies, however many, with map-side combination alone.
 3. Where an anchor has different contexts, one context of each kind, with its number of copies, goes to a *resolver*
    (suffix array or suffix trees), which says which windows of it are repeated. All equal windows meet there.
-4. An anchor with more than `hot` different contexts (the edge of a passage that a large share of the corpus holds) is cut
-   further: its windows go by themselves to the key that is their whole content, which combines map-side.
+4. The windows of an anchor with more than `crowd` different contexts (the edge of a passage that a large share of the corpus holds) are
+   dealt again by wider anchors, from step 1 on, until no anchor is crowded. The widest is the whole window: such groups are of one content.
 5. `spans`: by row, the stretches of windows that are repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,7 +145,22 @@ def _stretches(batches, units: Units, emit):
             u, first = units.of(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             item = np.arange(ends[i], ends[j])
             row = np.searchsorted(ends, item, "right") - 1
-            yield from emit(batch, raw[off[i] : off[j]], u, row, first[row - i], {k: v[item] for k, v in cols.items()})
+            if len(item):
+                yield from emit(batch, raw[off[i] : off[j]], u, row, first[row - i], {k: v[item] for k, v in cols.items()})
+
+
+def _one_of_alike(batches):
+    """Batches without the rows that have the k1 and k2 of the row before. A join on these brings rows that are alike together."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2"))
+        new = np.ones(len(k1), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        new[0] = last != (k1[0], k2[0])
+        last = (k1[-1], k2[-1])
+        yield batch if new.all() else batch.filter(pa.array(new))
 
 
 def contexts(rows: DataFrame, kinds: DataFrame, units: Units) -> DataFrame:
@@ -160,7 +176,7 @@ def contexts(rows: DataFrame, kinds: DataFrame, units: Units) -> DataFrame:
             s = slice(k, k + step)
             yield pa.RecordBatch.from_arrays([pa.array(w["anchor"][s]), pa.array(w["digest"][s]), pa.array(w["copies"][s]), pa.array(w["n"][s].astype(np.int32)), pa.array(cut[s], pa.binary())], ["anchor", "digest", "copies", "n", "units"])
 
-    return rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(lambda b: _stretches(b, units, emit), CONTEXTS)
+    return rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(lambda b: _stretches(_one_of_alike(b), units, emit), CONTEXTS)
 
 
 def compared(found: DataFrame, units: Units, resolve: Resolver, limit: int = 1 << 21) -> DataFrame:
@@ -181,6 +197,7 @@ def compared(found: DataFrame, units: Units, resolve: Resolver, limit: int = 1 <
             yield from settle(held)
 
     def settle(held):
+        held = list({item[:2]: item for item in held}.values())  # a context that rows which are alike have each sent counts once
         marks = repeated(units_of := [np.frombuffer(x[4], kind) for x in held], np.array([x[3] for x in held]), np.array([x[2] for x in held]), units.size, resolve)
         del units_of
         if len(marks[0]):
@@ -249,50 +266,54 @@ def _distinct(content: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.n
     return order[new], back
 
 
-def _by_content(rows: DataFrame, occ: DataFrame, units: Units) -> DataFrame:
-    """(k1, k2, first, n): the repeated windows of `occ`, each window by itself under two hashes of its content."""
+def rewidened(rows: DataFrame, occ: DataFrame, units: Units, width: int) -> DataFrame:
+    """The windows of the chunks `occ` as chunks by anchors of `width` units."""
     wanted = occ.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
 
     def emit(batch, raw, u, row, at, w):
         k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2"))
-        one, two = Poly(u, BASE_A), Poly(u, BASE_B)
-        for lo in range(0, len(row), 500):
-            s = slice(lo, lo + 500)
-            n = w["n"][s]
-            start = np.repeat(w["start"][s], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            a = np.repeat(at[s], n) + start
-            r = np.repeat(row[s], n)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h.of(a, a + units.size))) for h in (one, two)] + [pa.array(k1[r]), pa.array(k2[r]), pa.array(start.astype(np.int64))], ["h1", "h2", "k1", "k2", "start"])
-
-    each = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(lambda b: _stretches(b, units, emit), "h1 long, h2 long, k1 long, k2 long, start long")
-    each = stage(each, "windows")
-    twice = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).filter("c >= 2").select("h1", "h2")
-    return each.join(twice, ["h1", "h2"]).select("k1", "k2", F.col("start").cast("int").alias("first"), F.lit(1).alias("n"))
-
-
-def spans(rows: DataFrame, units: Units, resolve: Resolver, hot: int = 50_000) -> DataFrame:
+        length = w["n"] + units.size - 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(length) // BLOCK, prepend=-1))  # stretches taken together
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(length)], strict=True):
+            first = np.concatenate([[0], np.cumsum(length[lo:hi])])
+            places = np.repeat((at + w["start"])[lo:hi] - first[:-1], length[lo:hi]) + np.arange(first[-1])
+            got = chunks_of(u[places], first, units.size, width)
+            which = got["row"] + lo
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(got["anchor"])), pa.array(signed(got["digest"])), pa.array(k1[row[which]]), pa.array(k2[row[which]]), pa.array(w["start"][which] + got["start"]), pa.array(got["n"].astype(np.int32))],
+                ["anchor", "digest", "k1", "k2", "start", "n"],
+            )
+
+    return rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(lambda b: _stretches(b, units, emit), ANCHORS)
+
+
+def spans(rows: DataFrame, units: Units, resolve: Resolver, crowd: int = 256) -> DataFrame:
     """(k1, k2, spans: array of (first, n)): stretches of repeated windows of each row of `rows` (k1, k2, text) that has any. Stretches may overlap or touch.
 
     Rows that are alike in k1 and k2 count as so many copies.
     """
-    entries = stage(anchors(rows, units), "anchors")
-    counts = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("c >= 2")
-    # written first, so that both sides of the join are plain exchanges and Spark can split an anchor that many chunks have
-    counts = stage(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "repeated")
-    occ = stage(entries.join(counts, "anchor"), "occurrences")
-    kinds = stage(occ.filter("mixed").groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")), "kinds")
-    crowded = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot).select("anchor")
-    is_hot = bool(crowded.take(1))
-    if is_hot:
-        crowded = stage(crowded, "crowded")
-        hot_kinds, kinds = kinds.join(crowded, "anchor", "left_semi"), kinds.join(crowded, "anchor", "left_anti")
-    marks = compared(contexts(rows, kinds, units), units, resolve)
-    found = occ.filter("not mixed").select("k1", "k2", F.col("start").cast("int").alias("first"), "n").unionByName(
-        occ.filter("mixed").join(marks.withColumnRenamed("n", "m"), ["anchor", "digest"]).select("k1", "k2", (F.col("start") + F.col("first")).cast("int").alias("first"), F.col("m").alias("n"))
-    )
-    if is_hot:
-        hot_occ = occ.filter("mixed").join(hot_kinds.select("anchor").distinct(), "anchor", "left_semi")
-        found = found.unionByName(_by_content(rows, hot_occ, units))
+    entries, width, parts = stage(anchors(rows, units), "anchors"), units.width, []
+    while True:
+        counts = entries.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("c >= 2")
+        # written first, so that both sides of the join are plain exchanges and Spark can split an anchor that many chunks have
+        counts = stage(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "repeated")
+        occ = stage(entries.join(counts, "anchor"), "occurrences")
+        parts.append(occ.filter("not mixed").select("k1", "k2", F.col("start").cast("int").alias("first"), "n"))
+        mixed = occ.filter("mixed")
+        kinds = stage(mixed.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")), "kinds")
+        crowded = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowd).select("anchor")
+        again = width < units.size and bool(crowded.take(1))
+        if again:
+            crowded = stage(crowded, "crowded")
+            kinds = kinds.join(crowded, "anchor", "left_anti")
+        marks = compared(contexts(rows, kinds, units), units, resolve)
+        met = mixed.join(marks.withColumnRenamed("n", "m"), ["anchor", "digest"])
+        parts.append(met.select("k1", "k2", (F.col("start") + F.col("first")).cast("int").alias("first"), F.col("m").alias("n")))
+        if not again:
+            break
+        width = units.size - (units.size - width) // 8
+        entries = stage(rewidened(rows, mixed.join(crowded, "anchor", "left_semi"), units, width), "anchors")
+    found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
 
 

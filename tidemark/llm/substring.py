@@ -2,8 +2,8 @@
 
 A window of `size` words goes to the group of its *variable-length prefix*: the words up to the end of its anchor, between the
 anchor's width and the whole window. Windows of equal content have equal prefixes, so each group holds whole subtrees.
-Groups that share an anchor are kept together while they fit into memory; a crowded anchor's prefixes are lengthened to
-the whole window, where a group is one node. In each group the sorted suffixes and their common prefixes give the internal
+Groups that share an anchor are kept together while they fit into memory; a crowded anchor is widened step by step, which lengthens its
+windows' prefixes up to the whole window, where a group is one node. In each group the sorted suffixes and their common prefixes give the internal
 nodes of the subtree; nodes at least `size` words deep are the repeats.
 """
 
@@ -60,7 +60,7 @@ def resolve(parts: list[np.ndarray], n: np.ndarray, copies: np.ndarray, size: in
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def substring_dedup(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "doc_id", text_col: str = "text", crowd: int = 256, texts: bool = True) -> DataFrame:
     """Removes from each text all words that a window of `size` consecutive words covers which also starts anywhere else in the corpus.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; windows do not cross documents and are judged on the input. Returns one row
@@ -70,7 +70,7 @@ def substring_dedup(docs: DataFrame, size: int = 35, width: int = 6, id_col: str
     copies; a null id stays null; an empty table gives an empty result; other columns are ignored.
     """
     rows = base.keyed(docs, id_col, text_col)
-    found = repeats.with_spans(rows, repeats.spans(rows, repeats.Units("words", size, width), resolve, hot))
+    found = repeats.with_spans(rows, repeats.spans(rows, repeats.Units("words", size, width), resolve, crowd))
 
     def of(batches):
         for batch in batches:
@@ -101,10 +101,10 @@ def cut_words(text: np.ndarray, marks, size: int) -> tuple[int, int, str, str]:
     return len(starts), int(gone.sum()), hashlib.sha256(b" ".join(words)).hexdigest(), text[keep].tobytes().decode()
 
 
-def kept_texts(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+def kept_texts(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "doc_id", text_col: str = "text", crowd: int = 256) -> DataFrame:
     """`docs` with the repeated windows removed from its texts. Rows that lose all their words go; null and blank texts stay as they are."""
     named = docs.withColumns(base.key_columns(id_col, text_col))
-    found = repeats.spans(base.keyed(docs, id_col, text_col), repeats.Units("words", size, width), resolve, hot)
+    found = repeats.spans(base.keyed(docs, id_col, text_col), repeats.Units("words", size, width), resolve, crowd)
     joined = named.join(found.withColumnsRenamed({"k1": "_k1", "k2": "_k2", "spans": "_spans"}), ["_k1", "_k2"], "left").drop("_k1", "_k2")
     names = docs.columns
 
