@@ -21,6 +21,7 @@ from .base import shared_dir, stage
 from .bundles import BundleReader, BundleWriter
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+NO_ID = -(2**63)  # stands for a null id in joins
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "record_id string, page_id long, bundle string, frame long, offset long, length long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -68,9 +69,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, bundle_byte
     """Writes the records of `pages` to bundles under `folder` and returns their index (record_id, page_id, bundle, frame, offset, length)."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    long_ones = rows.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    dealt = rows.join(long_ones, ["digest", "size"], "left").select("page_id", "url", "digest", "size", revisit.alias("revisit"), "winner", F.when(~revisit, F.col("html")).alias("html"))
+    # payloads stay where they are: only digests and ids are compared, and what leaves is a row for each revisit
+    keys = stage(rows.filter(F.col("size") >= least).select("page_id", "digest", "size"), "digests")
+    # written first, so that Spark can split a payload that many pages have
+    shared = stage(keys.groupBy("digest", "size").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1 and winner is not null").drop("n"), "shared")
+    told = keys.join(shared, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("winner")))
+    # an id and a digest name a revisit; rows that are alike in both are alike here
+    revisits = stage(told.groupBy(F.coalesce("page_id", F.lit(NO_ID)).alias("_id"), "digest").agg(F.max("winner").alias("winner")), "revisits")
+    long_ones = rows.filter(F.col("size") >= least).withColumn("_id", F.coalesce("page_id", F.lit(NO_ID))).join(revisits, ["_id", "digest"], "left").drop("_id")
+    short_ones = rows.filter(F.col("size") < least).withColumn("winner", F.lit(None).cast("long"))
+    revisit = F.col("winner").isNotNull()
+    dealt = long_ones.unionByName(short_ones).select("page_id", "url", "digest", "size", revisit.alias("revisit"), "winner", F.when(~revisit, F.col("html")).alias("html"))
 
     def of(batches):
         fs, root = pafs.FileSystem.from_uri(folder)
