@@ -32,7 +32,7 @@ from .components import components
 
 SKETCH_BITS, BLOCK_BITS = 20, 12
 RANGES = 32  # of the suffix filter
-TILE = 1024  # classes of a side of a tile
+TILE, TILE_GRAMS = 1024, 1 << 21  # classes and n-grams of a side of a tile, about
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,10 +332,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     each = placed.select("node", "zone", "n", "known", F.explode("tokens").alias("t")).select("t.token", "node", "n", "t.pos", (F.col("n") - F.col("zone")).alias("rest"), "known")
     edges = each.repartition("token").sortWithinPartitions("token", "node").mapInArrow(partial(_meet, num=num, den=den), "a long, b long")
     groups = stage(components(edges), "groups")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(tile))).cast("int")
+    of_root = groups.join(classes.select(F.col("d1").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams"))
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(tile)), F.ceil(F.col("grams") / F.lit(TILE_GRAMS))).cast("int")
+    # written first, so that Spark can split a root that many classes have
+    sizes = stage(of_root.select("root", tiles.alias("tiles")), "sizes")
     work = groups.join(sizes, "root").join(classes, groups["node"] == classes["d1"]).join(placed.select("node", "tokens"), "node")
-    work = work.select("root", "d1", "d2", "copies", "tokens", "one.k1", "one.k2", tiles.alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("d2"), F.col("tiles")).cast("int"))
+    work = work.select("root", "d1", "d2", "copies", "tokens", "one.k1", "one.k2", "tiles").withColumn("tile", F.pmod(F.xxhash64("d2"), F.col("tiles")).cast("int"))
     once = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("d1", "d2"))  # rows that are alike stand here together
     dealt = work.join(rows.select("k1", "k2", "text"), ["k1", "k2"]).withColumn("nth", once).filter("nth = 1")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "d1", "d2", "copies", "tokens", "text")
@@ -349,7 +351,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     least = joined.groupBy("root").agg(F.min("least").alias("reached"))
     linked = joined.join(least, "root").join(links, ["d1", "d2"]).select("d1", "d2", "reached", "links", F.col("root.d1").alias("r1"), F.col("root.d2").alias("r2"))
     verdicts = classes.join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("r1", "d1").alias("r1"), F.coalesce("r2", "d2").alias("r2"), F.coalesce("reached", "least").alias("reached"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = members.join(verdicts, ["d1", "d2"], "left")
+    # written first, so that Spark can split a class that many rows share; empty sets, however many, need no verdict
+    verdicts = stage(verdicts, "verdicts")
+    alone = members.filter("n = 0").select("*", *(F.lit(None).cast("long").alias(c) for c in ("r1", "r2", "reached", "links")))
+    out = members.filter("n > 0").join(verdicts, ["d1", "d2"], "left").unionByName(alone)
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
