@@ -77,7 +77,7 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Means, Cholesky factors and log terms of the two classes; `plain` is the score where there was nothing to learn."""
+    """Means, inverted Cholesky factors and log terms of the two classes; `plain` is the score where there was nothing to learn."""
 
     means: tuple[np.ndarray, np.ndarray] | None
     factors: tuple[np.ndarray, np.ndarray] | None
@@ -100,14 +100,14 @@ class Discriminant:
             own = within[k] / (n[k] - 1)
             mixed = (1 - ridge) * ((1 - shrink) * own + shrink * pooled) + ridge * unit
             factor = np.linalg.cholesky(mixed)
-            factors.append(factor)
+            factors.append(np.linalg.solve(factor, np.eye(d)))  # once, so that a batch is a product
             constants.append(float(np.log(n[k] / n.sum()) - np.log(np.diag(factor)).sum()))
         return Discriminant((means[0], means[1]), (factors[0], factors[1]), (constants[0], constants[1]), plain)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.means is None or self.factors is None:
             return np.full(len(x), self.plain)
-        density = [c - 0.5 * (np.linalg.solve(f, (x - m).T) ** 2).sum(0) for m, f, c in zip(self.means, self.factors, self.constants, strict=True)]
+        density = [c - 0.5 * ((x - m) @ f.T) ** 2 @ np.ones(x.shape[1]) for m, f, c in zip(self.means, self.factors, self.constants, strict=True)]
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
