@@ -2,7 +2,7 @@
 
 All distinct directions go into some tables of cells (p-stable Gaussian projections of the unit vectors, cut to cells). A query visits in each
 table its own cell and then perturbed ones in the order of their estimated success. In each cell that queries visit, all of its vectors
-are ranked exactly and the best leave it; the candidates of all cells are merged. Queries that find too few visit all cells of one table.
+are ranked exactly and the best leave it; the candidates of all cells are merged. Queries that find too few are compared with all vectors.
 
 On unit vectors the Euclidean distance orders as the cosine does.
 """
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import stage
+from .base import small_side, stage
 from .probing import Tables, probes
 
-CELL_ROWS = 4096  # vectors of a cell compared in one group
+CELL_ROWS = 4096  # vectors, and queries, of a cell compared in one group
 
 
 def _vectors(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
@@ -82,10 +82,33 @@ FOUND = "q long, kind long, score double"
 
 
 def search(indexed: DataFrame, visited: DataFrame, dimension: int, keep: int) -> DataFrame:
-    """The best `keep` kinds of each visited cell for each of its queries. Crowded cells are dealt out to several groups, each of which all the cell's queries visit."""
-    crowd = indexed.groupBy("t", "cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("parts"))
-    there = indexed.join(crowd, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("kind"), F.col("parts")).cast("int")).select("t", "cell", "part", "kind", "v")
-    asked = visited.join(crowd, ["t", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("t", "cell", "part", "q", "v")
+    """The best `keep` kinds of each visited cell for each of its queries.
+
+    A crowded cell is dealt out to groups of about CELL_ROWS of its vectors and CELL_ROWS of its queries, each part of the one meeting each part of
+    the other, so that no group grows with the table.
+    """
+    at = ["t", "cell"]
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / CELL_ROWS)).cast("int")
+    here = indexed.groupBy(*at).agg(parts(F.count(F.lit(1))).alias("parts"))
+    crowd = small_side(here.join(visited.groupBy(*at).agg(parts(F.count(F.lit(1))).alias("asks")), at), "crowds", 200_000)
+    spread = lambda df, own, other: df.join(crowd, at).withColumn(own[0], F.pmod(F.xxhash64(own[1]), F.col(own[2])).cast("int")).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1)))
+    there = spread(indexed, ("part", "kind", "parts"), ("ask", "asks")).select(*at, "part", "ask", "kind", "v")
+    asked = spread(visited, ("ask", "q", "asks"), ("part", "parts")).select(*at, "part", "ask", "q", "v")
+    return ranked(there, asked, [*at, "part", "ask"], dimension, keep)
+
+
+def everywhere(kinds: DataFrame, queries: DataFrame, dimension: int, keep: int) -> DataFrame:
+    """The best `keep` kinds of all for each query, exactly: both are dealt out to groups of bounded size, and each part of the one meets each part of the other."""
+    parts, asks = (max(1, -(-df.count() // CELL_ROWS)) for df in (kinds, queries))
+    deal = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    there = kinds.select(deal("kind", parts).alias("part"), every(asks).alias("ask"), "kind", "v")
+    asked = queries.select(deal("q", asks).alias("ask"), every(parts).alias("part"), "q", "v")
+    return ranked(there, asked, ["part", "ask"], dimension, keep)
+
+
+def ranked(there: DataFrame, asked: DataFrame, group: list[str], dimension: int, keep: int) -> DataFrame:
+    """The best `keep` kinds (kind, v) of a group for each of its queries (q, v)."""
 
     def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -104,7 +127,7 @@ def search(indexed: DataFrame, visited: DataFrame, dimension: int, keep: int) ->
             out.append((np.repeat(queries[i : i + 256], take.shape[1]), kinds[take].ravel(), np.take_along_axis(score, order, 1).ravel()))
         return pa.table({name: pa.array(np.concatenate(v)) for name, v in zip(("q", "kind", "score"), zip(*out, strict=True), strict=True)})
 
-    return there.groupBy("t", "cell", "part").cogroup(asked.groupBy("t", "cell", "part")).applyInArrow(rank, FOUND)
+    return there.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(rank, FOUND)
 
 
 def best(found: DataFrame, keep: int) -> DataFrame:
@@ -129,16 +152,13 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     query_kinds = stage(asked.groupBy("v").agg(F.min("id").alias("q")), "queries")
     found = stage(best(search(indexed, visits(query_kinds, tables, dimension, most), dimension, k + 1), k + 1), "found")
 
-    # queries that found less than there is: exactly, in all cells of one table
+    # queries that found less than there is: exactly, among all vectors
     enough = min(k + 1, kinds.count())
     got = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     few = query_kinds.join(got, "q", "left").filter(F.coalesce("n", F.lit(0)) < enough).select("q", "v")
     if few.take(1):
         few = stage(few, "few")
-        one_table = indexed.filter("t = 0")
-        cells = one_table.select("t", "cell").distinct()
-        spread = stage(few.withColumn("t", F.lit(0)).join(cells, "t").select("t", "cell", "q", "v"), "spread")
-        found = found.join(few.select("q"), "q", "left_anti").unionByName(best(search(one_table, spread, dimension, k + 1), k + 1))
+        found = found.join(few.select("q"), "q", "left_anti").unionByName(best(everywhere(kinds, few, dimension, k + 1), k + 1))
 
     # back from kinds to ids: a kind's smallest ids, and all ids that ask
     members = all_.distinct().withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("nth") <= k + 1)
