@@ -49,12 +49,12 @@ def schedule(quota: DataFrame, period: int) -> DataFrame:
     return out.withColumns({"release": F.floor(F.col("nth") * period / F.col("quota")).cast("int"), "due": F.ceil((F.col("nth") + 1) * period / F.col("quota")).cast("int")})
 
 
-def block_of(docs: DataFrame, block: int, id_col: str, source_col: str, text_col: str, buckets_hex: int = 3) -> DataFrame:
-    """All columns of `docs` with _source, _order, _start (bytes of the source before it) and _block. The order within a source is that of the md5 of the ids.
+def block_of(docs: DataFrame, block: int, id_col: str, source_col: str, text_col: str, buckets_hex: int = 4) -> DataFrame:
+    """All columns of `docs` with _source, _order, _start (bytes of the source before it) and _block. The order within a source is that of the md5 of the ids, and of the texts where ids are null.
 
     Running sums are taken within parts of a source (first hex digits of the md5), then over the parts, so that a source may hold any share of the rows.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("")).cast("binary"))
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
     rows = docs.withColumns({"_source": F.col(source_col).cast("string"), "_order": key, "_size": size}).withColumn("_part", F.substring("_order", 1, buckets_hex))
     sums = rows.groupBy("_source", "_part").agg(F.sum("_size").alias("_sum"))
@@ -72,8 +72,8 @@ def scheduled(docs: DataFrame, weights: dict[str | None, int] | None = None, blo
     `weights` gives a whole number for each source; sources that it lacks get the weight 0, which still means one slot of a period. Without it
     a source weighs the root of its bytes, which draws large and small sources together. Blocks hold `block` bytes of UTF-8; a document
     belongs to the block in which it starts, and the blocks that a longer one runs through stay empty. Every document is placed
-    once; when a source ends, the others keep their slots. A null source is a source of its own; null texts have no bytes; null ids come
-    together in the order; an empty table gives an empty result. `docs` must not have columns of these names.
+    once; when a source ends, the others keep their slots. A null source is a source of its own; null texts have no bytes; rows without
+    an id are ordered by their texts; an empty table gives an empty result. `docs` must not have columns of these names.
 
     With more than `period` sources the period is the smallest multiple of `period` with a slot for each of them; making its schedule takes
     work of sources times slots, in one task.
