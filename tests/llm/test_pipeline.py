@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_jaccard import brute
 from tidemark.llm.mixing import scheduled
@@ -120,3 +122,23 @@ def test_run_and_empty(spark):
     for _, apply in corpus_pipeline.STAGES:
         docs = apply(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Names that the stages use themselves, or that need quotes, keep the user's values."""
+    rows, _ = documents(2)
+    names = ["score", "_text", "blank", "_spans", "_s", "_slot", "_source", "_start", "_k1", "_nth", "others", "k1", "r1", "lang_pred", "a.b", "x y", "_order", "_size", "n", "root"]
+    docs = spark.createDataFrame(rows, ARGS).repartition(2)
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat_ws("-", F.lit(k), F.col("doc_id")))
+    docs = docs.withColumn("m", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("_a", F.array(F.struct("doc_id")))
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        out = apply(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        got = out.collect()
+        assert got
+        for r in got:
+            for k, c in enumerate(names):
+                assert r[c] == (f"{k}-{r.doc_id}" if r.doc_id is not None else f"{k}"), (name, c)
+            assert r["m"] == {"a": r.doc_id} and r["_a"][0].doc_id == r.doc_id
+    assert corpus_pipeline.pack(spark, docs, "").count() > 0

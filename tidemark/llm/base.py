@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,21 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(key["_k1"].alias("k1"), key["_k2"].alias("k2"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def set_aside(docs: DataFrame, known: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with all columns but the `known` ones in one column, and what turns a table with these columns back to the columns of `docs`.
+
+    So an operator that keeps all columns may use names of its own without meeting one of the user's.
+    """
+    own = [c for c in docs.columns if c in known]
+    others = [c for c in docs.columns if c not in known]
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    if not others:
+        return docs, lambda done: done.select(*own)
+    packed = docs.select(*own, F.struct(*(name(c).alias(f"c{k}") for k, c in enumerate(others))).alias("others"))
+    place = {c: k for k, c in enumerate(others)}
+    return packed, lambda done: done.select(*(F.col("others")[f"c{place[c]}"].alias(c) if c in place else F.col(c) for c in docs.columns))
+
+
 def crc32_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % n

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .base import crc32_mod, row_runs, small_side, text_buffer
 
@@ -161,8 +162,8 @@ def languages(docs: DataFrame, folds: int = 4, held: int = 2, size: int = 300, m
                 lang, score = known.predict(texts)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in names), pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    found = source.mapInArrow(of, f"{schema}, lang_pred string, score double")
+    schema = StructType([*source.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    found = source.mapInArrow(of, schema)
     if keep is not None:
         return found
     return found.select("doc_id", F.coalesce(crc32_mod(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import base, repeats
 from .suffix_array import _span_arrays, neighbour_prefixes, packed, sort_directly
@@ -120,5 +121,5 @@ def kept_texts(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "d
             arrays = [pa.array(text, pa.string()) if c == text_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(fine))
 
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = StructType([StructField(f.name, StringType()) if f.name == text_col else f for f in docs.schema.fields])
     return joined.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(of, schema)
