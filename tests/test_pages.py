@@ -62,6 +62,29 @@ def test_heading_text(raw, want):
     assert markdown.heading_text(raw) == want
 
 
+@pytest.mark.parametrize(
+    "line,want",
+    [
+        ("[a](b) ![c](d 'e') [f [g] h](<i j> \"k\")", [("a", "b", False), ("c", "d", True), ("f [g] h", "i j", False)]),
+        ("[![x](y.png)](z(1).md) [n]() [m](a b)", [("![x](y.png)", "z(1).md", False), ("x", "y.png", True)]),
+        (r"\[a](b) [c\]](d", [("a", "b", False)]),
+    ],
+)
+def test_inline_links(line, want):
+    assert [(label, dest, image) for _, image, label, dest in markdown.inline_links(line)] == want
+
+
+def test_kinds_of_lines():
+    assert markdown.atx_heading("## a # ##") == (2, "a #") and markdown.atx_heading("####### a") is None and markdown.atx_heading("#a") is None and markdown.atx_heading("# C#") == (1, "C#")
+    assert markdown.fence_open("~~~ py x") == ("~~~", "py") and markdown.fence_open("``` a`b") is None and markdown.fence_open("    ```") is None
+    assert [markdown.underline(x) for x in ("===", " -", "-=", "", "    =")] == [1, 2, 0, 0, 0]
+    assert markdown.is_delimiter("|:-|--:|") and not markdown.is_delimiter("| a |") and markdown.row_cells(r"| a \| b | c |") == [r" a \| b ", " c "]
+    assert [markdown.begins_block(x) for x in ("> q", "- i", "12) i", "<div>", "    code", "text", "1234567890. x", "-x")] == [True] * 5 + [False] * 3
+    assert [markdown.after_prompt(x) for x in ("$ ls", "PS C:\\x> dir", ">>> f()", "PSX> a", "$x", "%")] == ["ls", "dir", "f()", None, None, ""]
+    assert markdown.definition("[a]: <b>") == ("a", "b") and markdown.definition("[^1]: b") is None
+    assert markdown.tag_names('<a name="x"><b id=y>') == ["x", "y"] and markdown.attribute_ids("{: .c #d} {#e} {f}") == ["d", "e"]
+
+
 def test_anchors():
     assert markdown.page_slug("Build & *Target* 2.0") == "build--target-20"
     assert markdown.skeleton("Éàbuild.target") == "eabuildtarget"
@@ -90,6 +113,9 @@ def test_commands():
         ("```py\na<b\n```", '<figure class="code"><figcaption>py</figcaption><pre><code>a&lt;b</code></pre></figure>'),
         ("# T\n## T", '<h1 id="t">T</h1>\n<h2 id="t-1">T</h2>'),
         ("---", "<hr>"),
+        ('![a" onerror="alert(1)](x.png "t\'<")', '<figure><img src="x.png" alt="a&quot; onerror=&quot;alert(1)" title="t&#x27;&lt;"></figure>'),
+        ('[x](u" onclick="y)', '<p><a href="u&quot; onclick=&quot;y">x</a></p>'),
+        ("**a *b* c** 2*3*4 [**l** `k`](u(1)) ![no t](a b)", "<p>**a <em>b</em> c** 2*3*4 <a href=\"u(1)\"><strong>l</strong> <code>k</code></a> !<a href=\"a b\">no t</a></p>"),
         ("![a](b.png)", '<figure><img src="b.png" alt="a"></figure>'),
     ],
 )

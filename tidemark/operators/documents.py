@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,17 +13,36 @@ from .guards import within_budget
 from .inventory import is_agent_file
 
 # Names, folders and status words that tell what a document is for.
-HISTORY_NAME = r"(?i)(?:^|[_\-. ])(?:changelog|changes|history|releases?|release[-_ ]?notes|news|decisions?|decision[-_ ]?log|lessons?(?:[-_ ]learned)?|postmortem|post[-_]mortem|retro(?:spective)?|journal|diary|devlog|handover|results?|reports?)(?:[_\-. ]|$)"
-HISTORY_FOLDER = r"(?i)(?:^|/)(?:archive|archived|_archive|attic|old|legacy|deprecated|history|adr|adrs|decisions|decision-records|research|pinned|vendor|third[-_]?party|jobs|runs|experiments?|fixtures?|testdata|templates?|scaffold|boilerplate|prompts?|\d{4}-\d{2}-\d{2}[^/]*|done|completed|complete|implemented|shipped|superseded|obsolete|finished|release[-_]?notes|versioned_docs[^/]*)/"
-POST_FOLDER = r"(?i)(?:^|/)(?:blogs?|news|posts|_posts|articles|announcements?)/"
-PLAN_NAME = r"(?i)(?:^|[_\-. ])(?:plan|plans|proposal|rfc|draft|todo|ideas?|spike|brainstorm|wip|brief)(?:[_\-. \d]|$)"
-PLAN_FOLDER = r"(?i)(?:^|/)(?:tasks?|tickets?|plans?|proposals?|rfcs?|drafts?|ideas?|backlog|todos?|wip|in[-_]?progress|planned|upcoming)/"
-STATUS = r"(?i)^\s{0,3}(?:\|\s*)?(?:\*\*|__)?status(?:\*\*|__)?\s*(?:[:—–-]|\|)\s*(?:\*\*|__)?\s*[\"']?(done|implemented|completed|shipped|superseded|obsolete|deprecated|archived|rejected|withdrawn|accepted|draft|proposed|planned|in\s+progress|wip|approved)\b"
+HISTORY_NAMES = (
+    "changelog changes history release releases release-notes releasenotes news decision decisions decision-log decisionlog lesson lessons lesson-learned lessons-learned postmortem post-mortem retro retrospective "
+    "journal diary devlog handover result results report reports"
+).split()
+HISTORY_FOLDERS = (
+    "archive archived _archive attic old legacy deprecated history adr adrs decisions decision-records research pinned vendor third-party third_party thirdparty jobs runs experiment experiments fixture fixtures "
+    "testdata template templates scaffold boilerplate prompt prompts done completed complete implemented shipped superseded obsolete finished release-notes release_notes releasenotes"
+).split()
+POST_FOLDERS = "blog blogs news posts _posts articles announcement announcements".split()
+PLAN_NAMES = "plan plans proposal rfc draft todo idea ideas spike brainstorm wip brief".split()
+PLAN_FOLDERS = "task tasks ticket tickets plan plans proposal proposals rfc rfcs draft drafts idea ideas backlog todo todos wip in-progress in_progress inprogress planned upcoming".split()
 PLAN_STATUS = ["draft", "proposed", "planned", "in progress", "wip", "approved"]
-VERSION_FOLDER = r"(?i)^(?:v|version[-_]?)?(\d+(?:\.\d+)*)(?:\.x)?$"
+PAST_STATUS = ["done", "implemented", "completed", "shipped", "superseded", "obsolete", "deprecated", "archived", "rejected", "withdrawn", "accepted"]
 WEIGHTS = {"live": 1.0, "plan": 0.7, "history": 0.4}
 
 
+def has_word(name: Column, words: list[str]) -> Column:
+    """Whether one of `words` stands in a name, apart from the rest by hyphens, underscores, dots, spaces or the name's ends."""
+    return F.translate(F.lower(name), "_. ", "---").rlike("(?:^|-)(?:" + "|".join(words) + ")(?:-|$)")
+
+
+def in_folder(path: Column, names: list[str], more: Callable[[Column], Column] = lambda x: F.lit(False)) -> Column:
+    """Whether a folder above the path has one of these names, or is one that `more` says."""
+    return F.exists(F.split(F.lower(dirname(path)), "/"), lambda x: x.isin(names) | more(x))
+
+
+def is_dated(name: Column) -> Column:
+    return F.try_to_date(F.substring(name, 1, 10), "yyyy-MM-dd").isNotNull() & name.rlike(r"^[\d-]{10}")
+
+
 def document_kind(path: Column, mark: Column, status: Column, old: Column, live: list[str] = (), history: list[str] = (), plans: list[str] = ()) -> Column:
     """live, plan or history: by mark, by settings, by status line, by older version folder, by folder and name, in this order."""
     name = basename(path)
@@ -35,26 +56,39 @@ def document_kind(path: Column, mark: Column, status: Column, old: Column, live:
         .when(word.isin(PLAN_STATUS), "plan")
         .when(word != "", "history")
         .when(old, "history")
-        .when(path.rlike(HISTORY_FOLDER), "history")
-        .when(name.rlike(r"^\d{4}-\d{2}-\d{2}") & ~path.rlike(POST_FOLDER), "plan")
-        .when(stem.rlike(HISTORY_NAME), "history")
-        .when(stem.rlike(PLAN_NAME) | path.rlike(PLAN_FOLDER), "plan")
+        .when(in_folder(path, HISTORY_FOLDERS, lambda x: is_dated(x) | x.startswith("versioned_docs")), "history")
+        .when(is_dated(name) & ~in_folder(path, POST_FOLDERS), "plan")
+        .when(has_word(stem, HISTORY_NAMES), "history")
+        .when(has_word(F.regexp_replace(stem, r"\d+", "-"), PLAN_NAMES) | in_folder(path, PLAN_FOLDERS), "plan")
         .otherwise("live")
     )
 
 
+def status_of(text: Column) -> Column:
+    """The word of a status line: "status", marks of emphasis aside, then a colon, dash or bar, then one of the words; else null."""
+    flat = F.lower(F.translate(text, "*_\"'", ""))
+    parts = F.filter(F.transform(F.split(flat, "[:|—–]|(?<=status)\\s*-"), lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")), lambda x: x != "")
+    word = F.get(F.filter(F.array(*(F.lit(w) for w in [*PLAN_STATUS, *PAST_STATUS])), lambda w: F.concat(F.get(parts, F.lit(1)), F.lit(" ")).startswith(F.concat(w, F.lit(" ")))), F.lit(0))
+    return F.when((F.get(parts, F.lit(0)) == "status") & ~text.startswith("    "), word)
+
+
 def status_words(lines: DataFrame, within: int = 20) -> DataFrame:
     """(doc, status): the first status line among the first lines of a document."""
-    word = F.regexp_extract("text", STATUS, 1)
-    return lines.filter(F.col("line") <= within).withColumn("_w", word).filter("_w <> ''").groupBy("doc").agg(F.min_by("_w", "line").alias("status"))
+    return lines.filter(F.col("line") <= within).withColumn("_w", status_of(F.col("text"))).filter("_w IS NOT NULL").groupBy("doc").agg(F.min_by("_w", "line").alias("status"))
+
+
+def folder_version(name: Column) -> Column:
+    """The numbers of a version folder: v1, 1.2, version-3.x; null for others."""
+    core = F.regexp_replace(F.regexp_replace(F.lower(name), r"^v(?:ersion[-_]?)?", ""), r"\.x$", "")
+    numbers = F.split(core, r"\.")
+    return F.when(F.forall(numbers, lambda x: x.rlike(r"^\d{1,9}$")), F.transform(numbers, lambda x: x.cast("int")))
 
 
 def old_versions(docs: DataFrame) -> DataFrame:
     """Paths below a version folder that has a sibling of a later version."""
     part = F.split(dirname(F.col("path")), "/")
     each = docs.select("path", F.posexplode(part).alias("i", "name")).withColumn("parent", F.array_join(F.slice(F.split("path", "/"), 1, F.col("i")), "/"))
-    number = F.transform(F.split(F.regexp_extract("name", VERSION_FOLDER, 1), r"\."), lambda x: x.cast("int"))
-    versioned = each.filter(F.col("name").rlike(VERSION_FOLDER)).withColumn("version", number)
+    versioned = each.withColumn("version", folder_version(F.col("name"))).filter("version IS NOT NULL")
     newest = versioned.withColumn("top", F.max("version").over(Window.partitionBy("parent")))
     return newest.filter("version < top").select("path").distinct()
 

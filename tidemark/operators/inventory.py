@@ -16,7 +16,7 @@ CODE = (
 CONF = ".json .jsonc .json5 .toml .yaml .yml .ini .cfg .conf .txt .html .htm .css .scss .less .xml .proto .graphql .gql .tf .hcl .mk .cmake .properties .in .spec".split()
 CODE_NAMES = "makefile gnumakefile dockerfile justfile procfile rakefile gemfile vagrantfile jenkinsfile cmakelists.txt build workspace".split()
 LOCK_NAMES = "package-lock.json yarn.lock pnpm-lock.yaml poetry.lock uv.lock cargo.lock composer.lock gemfile.lock go.sum pipfile.lock".split()
-GENERATED = "node_modules __pycache__ .venv venv site-packages graphify-out .mypy_cache .pytest_cache .ruff_cache .tox dist .next .nuxt coverage htmlcov .eggs".split()
+GENERATED = "node_modules __pycache__ .venv venv site-packages .mypy_cache .pytest_cache .ruff_cache .tox dist .next .nuxt coverage htmlcov .eggs".split()
 PRIVATE_NAMES = ".env .npmrc .pypirc .netrc id_rsa id_ed25519 id_ecdsa credentials.json cookies.txt cookies.json cookies.sqlite".split()
 PRIVATE_ENDINGS = ".pem .key .p12 .pfx .keystore .jks .kdbx .cookies".split()
 COOKIE_ENDINGS = ".txt .json .sqlite .db .pkl".split()

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FENCE = r"^\s{0,3}(?:```|~~~)"
-DELIMITER = r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$"
 
 
 def by_doc() -> Window:
@@ -64,7 +63,7 @@ def tables(lines: DataFrame) -> DataFrame:
     rows = with_fences(lines).filter("fence IS NULL").filter(F.col("text").rlike(r"^\s*\|")).drop("fence").withColumn("_gap", (F.col("line") - F.lag("line", 1, -1).over(by_doc()) > 1).cast("long"))
     run = rows.withColumn("block", F.sum("_gap").over(so_far()))
     inside = Window.partitionBy("doc", "block").orderBy("line")
-    delimiter = F.col("text").rlike(DELIMITER)
+    delimiter = F.forall(cells(F.col("text")), lambda c: F.trim(c).rlike("^:?-+:?$"))
     numbered = run.withColumns({"cells": F.size(cells(F.col("text"))).cast("long"), "delimiter": delimiter, "nth": F.row_number().over(inside).cast("long"), "_two": F.row_number().over(inside) == 2})
     whole = Window.partitionBy("doc", "block")
     headed = F.max(F.col("_two") & F.col("delimiter")).over(whole)

@@ -15,7 +15,7 @@ def _doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     return v_lines(spark, sf).withColumnRenamed("doc_id", "doc")
 
 
-_PARAGRAPHS = with_views("SELECT 1 FROM v_lines").rsplit(" SELECT 1", 1)[0] + r""", runs AS (SELECT *, sum(CASE WHEN trim(before) = '' OR regexp_matches(text, '^\s*(#|>|\||```|~~~|[-*+]\s|\d+[.)]\s)') OR regexp_matches(before, '^\s*(#|\||```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS paragraph
+_PARAGRAPHS = with_views("SELECT 1 FROM v_lines").rsplit(" SELECT 1", 1)[0] + r""", runs AS (SELECT *, sum(CASE WHEN trim(before) = '' OR left(ltrim(text), 1) IN ('#', '>', '|') OR left(ltrim(text), 3) IN ('```', '~~~') OR left(ltrim(text), 2) IN ('- ', '* ', '+ ') OR regexp_matches(ltrim(text), '^[0-9]+[.)] ') OR left(ltrim(before), 1) IN ('#', '|') OR left(ltrim(before), 3) IN ('```', '~~~') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS paragraph
  FROM (SELECT *, lag(text, 1, '') OVER (PARTITION BY doc_id ORDER BY line) AS before FROM v_lines)) """
 
 
