@@ -192,3 +192,14 @@ def agent_cost(files: DataFrame) -> DataFrame:
     loaded = F.when((folder == "") | folder.isin(".github", ".claude"), F.lit("every session")).otherwise(F.concat(F.lit("when working in "), folder, F.lit("/")))
     lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     return files.filter(is_agent_file(F.col("path"))).select("path", token_estimate(F.col("text")).alias("tokens"), lines.alias("lines"), loaded.alias("loaded"))
+
+
+def impact_order(hits: DataFrame) -> DataFrame:
+    """Hits (doc, line, term, kind) with `place`: plans last, then by document, line and term."""
+    by_kind = F.row_number().over(Window.partitionBy(F.col("kind") == "plan").orderBy("doc", "line", "term"))
+    return hits.withColumns({"late": F.col("kind") == "plan", "place": by_kind.cast("long")})
+
+
+def cost_order(costs: DataFrame) -> DataFrame:
+    """Costs (path, tokens, loaded): what every session reads first, then the largest."""
+    return costs.orderBy(F.col("loaded") != "every session", F.desc("tokens"), "path")

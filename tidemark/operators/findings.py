@@ -52,11 +52,16 @@ def at_least(findings: DataFrame, floor: str) -> DataFrame:
 
 
 def in_focus(findings: DataFrame, focus: list[str]) -> DataFrame:
-    """Findings whose path is, or lies below, a focus path."""
-    hit = F.lit(False)
-    for f in focus:
-        hit = hit | (F.col("path") == f) | F.col("path").startswith(f.rstrip("/") + "/")
-    return findings.filter(hit)
+    """Findings whose path is, or lies below, a focus path; where they carry `evidence` (documents that prove them), also those with one there."""
+
+    def inside(path: Column) -> Column:
+        hit = F.lit(False)
+        for f in focus:
+            hit = hit | (path == f) | path.startswith(f.rstrip("/") + "/")
+        return hit
+
+    kept = inside(F.col("path"))
+    return findings.filter(kept | F.exists("evidence", inside) if "evidence" in findings.columns else kept)
 
 
 def document_stats(claims: DataFrame, findings: DataFrame) -> DataFrame:

@@ -51,16 +51,22 @@ def cache_decide(spark: SparkSession, sf: str) -> DataFrame:
     return render.cache_state(o, made).select("doc", "state")
 
 
+@query("SELECT o_orderkey AS doc, substr(sha1(o_orderkey::VARCHAR || chr(0) || coalesce(nullif(o_orderstatus, 'P'), chr(1)) || chr(0) || o_orderpriority), 1, 16) AS key FROM orders")
+def settings_key(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), render.settings_key(F.col("o_orderkey"), F.nullif("o_orderstatus", F.lit("P")), F.col("o_orderpriority")).alias("key"))
+
+
 def _polls(spark: SparkSession, sf: str) -> DataFrame:
-    """Polls of a file for each user: time and size change with every third event, content with every seventh."""
+    """Polls of a file for each user: time and size change with every third event, content with every seventh; at the tenth and eleventh of each eleven the file is missing."""
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
     p = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("path"), nth.alias("poll"))
-    return p.select("path", "poll", F.expr("poll div 3").alias("mtime"), F.expr("poll div 3").alias("size"), F.expr("concat('c', poll div 7)").alias("digest"))
+    return p.select("path", "poll", F.expr("if(poll % 11 < 2, NULL, poll div 3)").alias("mtime"), F.expr("poll div 3").alias("size"), F.expr("concat('c', poll div 7)").alias("digest"))
 
 
-_SETTLED = """WITH p AS (SELECT concat('u', user_id) AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS poll FROM events), q AS (SELECT *, poll // 3 AS mtime, concat('c', poll // 7) AS digest FROM p),
- seen AS (SELECT * FROM (SELECT *, mtime = lag(mtime) OVER (PARTITION BY path ORDER BY poll) AS twice FROM q) WHERE twice), fresh AS (SELECT * FROM (SELECT *, lag(digest) OVER (PARTITION BY path ORDER BY poll) AS b FROM seen) WHERE b IS NULL OR b <> digest)
- SELECT path, poll, digest, row_number() OVER (PARTITION BY path ORDER BY poll) AS revision FROM fresh"""
+_SETTLED = """WITH p AS (SELECT concat('u', user_id) AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS poll FROM events), q AS (SELECT *, CASE WHEN poll % 11 < 2 THEN NULL ELSE poll // 3 END AS mtime, concat('c', poll // 7) AS digest FROM p),
+ seen AS (SELECT * FROM (SELECT *, mtime = lag(mtime) OVER (PARTITION BY path ORDER BY poll) AS twice FROM q WHERE mtime IS NOT NULL) WHERE twice), fresh AS (SELECT * FROM (SELECT *, lag(digest) OVER (PARTITION BY path ORDER BY poll) AS b FROM seen) WHERE b IS NULL OR b <> digest),
+ told AS (SELECT path, poll, digest FROM fresh UNION ALL SELECT path, poll, NULL FROM (SELECT *, lag(mtime) OVER (PARTITION BY path ORDER BY poll) AS b, lag(poll) OVER (PARTITION BY path ORDER BY poll) AS n FROM q) WHERE mtime IS NULL AND (b IS NOT NULL OR n IS NULL))
+ SELECT path, poll, digest, count(digest) OVER (PARTITION BY path ORDER BY poll) AS revision FROM told"""
 
 
 @query(_SETTLED)

@@ -171,6 +171,48 @@ def markdown_summary(spark: SparkSession, sf: str) -> DataFrame:
     return reports.markdown_summary(_printed(spark, sf))
 
 
+@query(_RAISED + """, o AS (SELECT *, string_split(path, '/')[1] AS area FROM printed) SELECT area, '{"tool":"tidemark","version":"1","stats":{"errors":' || count(*) FILTER (severity = 'error') || ',"warnings":' || count(*) FILTER (severity = 'warning') || ',"infos":' || count(*) FILTER (severity = 'info') || '},"findings":[' ||
+ string_agg('{"path":"' || path || '","line":' || line || ',"col":' || col || ',"rule":"' || rule || '","severity":"' || severity || '","message":' || to_json(message) || ',"fingerprint":"' || fingerprint || '"}', ',' ORDER BY CASE severity WHEN 'error' THEN -2 WHEN 'warning' THEN -1 ELSE 0 END, path, line, rule) || ']}' AS json FROM o GROUP BY area""")
+def json_document(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.json_documents(_printed(spark, sf))
+
+
+@query(_RAISED + """SELECT 'docs' AS area, '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"tidemark","version":"1"}},"results":[' || string_agg('{"ruleId":"' || rule || '","level":"' || CASE severity WHEN 'info' THEN 'note' ELSE severity END || '","message":{"text":' || to_json(message) || '},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || path || '"},"region":{"startLine":' || line || ',"startColumn":' || col || '}}}],"partialFingerprints":{"tidemark/v1":"' || fingerprint || '"}}', ',' ORDER BY path, line, rule) || ']}]}' AS json FROM printed""")
+def sarif_log(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.sarif_logs(_printed(spark, sf))
+
+
+@query(_RAISED + "SELECT count(*) FILTER (severity = 'error') || ' errors, ' || count(*) FILTER (severity = 'warning') || ' warnings, ' || count(*) FILTER (severity = 'info') || ' notes in ' || count(DISTINCT path) || ' documents' AS summary FROM printed")
+def summary_line(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.summary_line(_printed(spark, sf))
+
+
+@query(_RAISED + "SELECT path, line, rule FROM printed ORDER BY CASE severity WHEN 'error' THEN -2 WHEN 'warning' THEN -1 ELSE 0 END, path, line, col, rule LIMIT 50 OFFSET 20")
+def findings_listed(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.listed(_printed(spark, sf), 50, 20).select("path", "line", "rule")
+
+
+@query(_RAISED + """, st AS (SELECT path, CASE WHEN path LIKE '%7.md' THEN 'plan' ELSE 'live' END AS kind, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM printed GROUP BY path), t AS (SELECT *, CASE kind WHEN 'live' THEN 0 ELSE 1 END AS tier FROM st)
+ SELECT path, tier, row_number() OVER (PARTITION BY tier ORDER BY errors DESC, warnings DESC, infos DESC, path) AS place FROM t""")
+def document_order(spark: SparkSession, sf: str) -> DataFrame:
+    per = _printed(spark, sf).groupBy("path").agg(*(F.count_if(F.col("severity") == x).alias(f"{x}s") for x in findings.RANKS))
+    return reports.document_order(per.withColumn("kind", F.when(F.col("path").endswith("7.md"), "plan").otherwise("live"))).select("path", "tier", "place")
+
+
+@query(_RAISED + "SELECT path, line, rule FROM printed WHERE path NOT IN (SELECT doc FROM v_md WHERE doc LIKE '%3.md')")
+def findings_outside(spark: SparkSession, sf: str) -> DataFrame:
+    docs = v_md(spark, sf).filter("doc LIKE '%3.md'").select(F.col("doc").alias("path"))
+    return reports.outside_documents(_printed(spark, sf), docs).select("path", "line", "rule")
+
+
+@query(_RAISED + "SELECT path, line, rule FROM printed WHERE path LIKE '%1.md' OR line % 5 = 0")
+def focus_by_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth line is proved by a document in focus; others, also those in focus by their own path, lie under folders named by their last digit."""
+    f = _printed(spark, sf).withColumns({"own": F.col("path"), "evidence": F.when(F.col("line") % 5 == 0, F.array(F.lit("x/a.md"), F.lit("guide/b.md"))).otherwise(F.array(F.lit("guides/c.md")))})
+    placed = f.withColumn("path", F.when(F.col("own").endswith("1.md"), F.concat(F.lit("guide/"), "own")).otherwise(F.col("own")))
+    return findings.in_focus(placed, ["guide/"]).select(F.col("own").alias("path"), "line", "rule")
+
+
 _DOCS = "CASE p_partkey % 9 WHEN 0 THEN 'docs/plan-x.md' WHEN 1 THEN 'archive/a.md' WHEN 2 THEN 'docs/CHANGELOG.md' WHEN 3 THEN 'blog/2026-01-01-x.md' WHEN 4 THEN '2026-01-01-notes.md' WHEN 5 THEN 'rfcs/1/x.md' WHEN 6 THEN 'guide/v1/x.md' WHEN 7 THEN 'guide/v2/x.md' ELSE 'README.md' END"
 
 
@@ -253,6 +295,13 @@ def impact_hits(spark: SparkSession, sf: str) -> DataFrame:
     return documents.impact(lost, spark.range(1).select(F.lit("call_3").alias("term")), v_md(spark, sf))
 
 
+@query(_IMPACT + ", tok AS (SELECT DISTINCT doc, line, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS term FROM v_md) SELECT doc, line, term, doc LIKE '%7.md' AS late, row_number() OVER (PARTITION BY doc LIKE '%7.md' ORDER BY doc, line, term) AS place FROM tok WHERE term = 'call_3'")
+def impact_order(spark: SparkSession, sf: str) -> DataFrame:
+    lost = spark.range(1).select(F.lit("call_3").alias("term"))
+    hits = documents.impact(lost, spark.range(0).select(F.lit("").alias("term")), v_md(spark, sf)).withColumn("kind", F.when(F.col("doc").endswith("7.md"), "plan").otherwise("live"))
+    return documents.impact_order(hits).select("doc", "line", "term", "late", "place")
+
+
 @query("""SELECT path, CAST(round_even(length(text) / 4.0, 0) AS BIGINT) AS tokens, 2::BIGINT AS lines, CASE WHEN path LIKE '%/%' THEN 'when working in ' || regexp_extract(path, '^(.*)/', 1) || '/' ELSE 'every session' END AS loaded
  FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN 'AGENTS.md' WHEN 1 THEN concat('pkg', p_size, '/CLAUDE.md') ELSE 'docs/x.md' END AS path, concat(p_name, chr(10), p_type) AS text FROM part) WHERE path <> 'docs/x.md'""")
 def agent_cost(spark: SparkSession, sf: str) -> DataFrame:

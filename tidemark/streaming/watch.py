@@ -1,7 +1,7 @@
 """Watching files: polls as a stream, state by path, renders as the result.
 
-A change counts when two polls in a row see the same new time and size, and renders only if the content differs from what was last rendered; a
-file that goes missing is told once. `settled_changes` says the same over a finished table of polls with windows.
+A change counts when two polls in a row see the same new time and size, and renders only if the content differs from what was last rendered. A
+file that goes missing is told once, with a null digest, until it is back. `settled_changes` says the same over a finished table of polls with windows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 POLLS = "path string, poll long, mtime long, size long, digest string"
 RENDERS = "path string, poll long, digest string, revision long"
-STATE = "mtime long, size long, digest string, revision long"
+STATE = "mtime long, size long, digest string, revision long, missing boolean"
 
 
 def settled_changes(polls: DataFrame) -> DataFrame:
@@ -23,21 +23,25 @@ def settled_changes(polls: DataFrame) -> DataFrame:
     at = Window.partitionBy("path").orderBy("poll")
     twice = (F.col("mtime") == F.lag("mtime").over(at)) & (F.col("size") == F.lag("size").over(at))
     seen = polls.filter("mtime IS NOT NULL").withColumn("_twice", twice).filter("_twice")
-    fresh = seen.withColumn("_before", F.lag("digest").over(at)).filter("_before IS NULL OR _before <> digest")
-    return fresh.select("path", "poll", "digest", F.row_number().over(at).cast("long").alias("revision"))
+    fresh = seen.withColumn("_before", F.lag("digest").over(at)).filter("_before IS NULL OR _before <> digest").select("path", "poll", "digest")
+    left = polls.withColumn("_there", F.coalesce(F.lag("mtime").over(at).isNotNull() | F.lag("poll").over(at).isNull(), F.lit(True))).filter("mtime IS NULL AND _there").select("path", "poll", F.lit(None).cast("string").alias("digest"))
+    return fresh.unionByName(left).select("path", "poll", "digest", F.count("digest").over(at).alias("revision"))
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    mtime, size, digest, revision = state.get if state.exists else (-1, -1, "", 0)
+    mtime, size, digest, revision, missing = state.get if state.exists else (-1, -1, "", 0, False)
     out = []
     for p in pd.concat(list(batches)).sort_values("poll").itertuples(index=False):
         if pd.isna(p.mtime):
+            if not missing:
+                out.append((key[0], p.poll, None, revision))
+            missing = True
             continue
         if (p.mtime, p.size) == (mtime, size) and p.digest != digest:
             digest, revision = p.digest, revision + 1
             out.append((key[0], p.poll, digest, revision))
-        mtime, size = int(p.mtime), int(p.size)
-    state.update((mtime, size, digest, revision))
+        mtime, size, missing = int(p.mtime), int(p.size), False
+    state.update((mtime, size, digest, revision, missing))
     yield pd.DataFrame(out, columns=["path", "poll", "digest", "revision"])
 
 
