@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import os
 import subprocess
 
 import pytest
@@ -190,8 +191,13 @@ def test_manifests(spark):
 
 @pytest.fixture
 def repository(tmp_path):
+    day = 0
+
     def run(*args):
-        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True)
+        nonlocal day
+        day += args[0] == "commit"
+        date = f"2026-01-{day + 1:02d}T12:00:00Z"
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True, env=os.environ | {"GIT_COMMITTER_DATE": date, "GIT_AUTHOR_DATE": date})
 
     run("init", "-q")
     (tmp_path / "src").mkdir()
@@ -218,7 +224,83 @@ def test_git_source(spark, repository):
 def test_corpus_check(spark, repository):
     corpus = Corpus.from_folders(spark, {"r": repository})
     assert {r.path for r in corpus.files.collect()} == {"README.md", "src/engine.py"}
-    got = {(r.rule, r.severity, r.claim) for r in corpus.check().collect()}
-    assert got == {("path-missing", "warning", "src/motor.py"), ("link-broken", "error", "gone.md"), ("flag-missing", "warning", "--slow"), ("symbol-gone", "info", "stop_engine()")}
+    rows = corpus.check().collect()
+    got = {(r.rule, r.severity, r.claim) for r in rows}
+    assert got == {("path-missing", "info", "src/motor.py"), ("link-broken", "error", "gone.md"), ("flag-missing", "warning", "--slow"), ("symbol-gone", "info", "stop_engine()")}
+    assert {r.message for r in rows if r.rule == "link-broken"} == {"the link gone.md leads nowhere"}
     assert {r.kind for r in corpus.claims().collect()} == {"path", "flag", "link", "symbol"}
     assert corpus.context("engine", 500).count() == 1 and corpus.cost().count() == 0
+
+
+def test_corpus_check_with_history(spark, repository, tmp_path):
+    """Two trees: what one has proves nothing for the other."""
+
+    day = 10
+
+    def run(*args):
+        nonlocal day
+        day += args[0] == "commit"
+        date = f"2026-01-{day + 1:02d}T12:00:00Z"
+        subprocess.run(["git", "-C", repository, "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True, env=os.environ | {"GIT_COMMITTER_DATE": date, "GIT_AUTHOR_DATE": date})
+
+    (tmp_path / "src/old.py").write_text("x = 1\n")
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/log.md").write_text("# Log\n\n| id | status |\n|---|---|\n| D-1 | superseded by D-2 |\n| D-2 | active |\n")
+    (tmp_path / "docs/use.md").write_text("# v1.2.3\n\nAs D-1 and D-9 say, see [a](../README.md#nowhere) and `src/old.py`.\n\n```sh\npython src/gone.py\nmake all\nnpm run build\n```\n\n| a | b |\n|---|---|\n| 1 |\n")
+    (tmp_path / "docs/package.json").write_text('{"version": "1.2.4", "scripts": {"test": "x"}}')
+    (tmp_path / "docs/Makefile").write_text("one:\n\techo\n")
+    run("add", "."), run("commit", "-qm", "docs"), run("rm", "-q", "src/old.py"), run("commit", "-qm", "gone")
+    (tmp_path / "src/engine.py").write_text("def begin():\n    return '--fast'\n")
+    run("add", "."), run("commit", "-qm", "renamed")
+    corpus = Corpus.from_folders(spark, {"r": repository}, history=True)
+    other = spark.createDataFrame([("s", "src/old.py", "code", "def stop_engine(): '--slow'"), ("s", "x.md", "doc", "fine `src/old.py`")], "repo string, path string, kind string, text string")
+    corpus.files = corpus.files.select("repo", "path", "kind", "text").unionByName(other)
+    got = {(r.repo, r.path, r.rule, r.severity, r.claim) for r in corpus.check().collect()}
+    assert got == {
+        ("r", "README.md", "path-missing", "info", "src/motor.py"), ("r", "README.md", "link-broken", "error", "gone.md"), ("r", "README.md", "flag-missing", "warning", "--slow"), ("r", "README.md", "symbol-gone", "warning", "start_engine()"),
+        ("r", "docs/use.md", "path-moved", "error", "src/old.py"), ("r", "docs/use.md", "anchor-missing", "warning", "../README.md#nowhere"), ("r", "docs/use.md", "decision-superseded", "warning", "D-1"), ("r", "docs/use.md", "decision-unknown", "error", "D-9"),
+        ("r", "docs/use.md", "command-missing", "warning", "python src/gone.py"), ("r", "docs/use.md", "npm-script-missing", "error", "npm build"), ("r", "docs/use.md", "make-target-missing", "error", "make all"), ("r", "docs/use.md", "table-shape", "info", "1 cells, not 2"),
+        ("r", "docs/use.md", "version-mismatch", "warning", "1.2.3"), ("r", "README.md", "stale-risk", "info", "src/engine.py"),
+    }
+
+
+def test_git_files_and_blobs(spark, repository, tmp_path):
+    git.register(spark)
+    (tmp_path / ".gitignore").write_text("*.log\n")
+    (tmp_path / "a.log").write_text("x")
+    (tmp_path / "new.py").write_text("y = 1\n")
+    read = lambda table: spark.read.format("git_history").option("repos", repository).option("table", table).load().collect()
+    assert {(r.path, r.dirty) for r in read("files")} == {("README.md", False), ("src/engine.py", False), (".env", False), (".gitignore", True), ("new.py", True)}
+    assert [r.path for r in read("ignored")] == ["a.log"]
+    assert {(r.pos, r.path, r.text[:4]) for r in read("blobs") if r.text} == {(2, "src/engine.py", "def "), (1, "src/core.py", "def "), (0, "src/engine.py", "def ")}
+    one = git.Repository(repository)
+    assert one.is_ancestor("HEAD~1", "HEAD") and not one.is_ancestor("HEAD", "HEAD~1") and one.show("HEAD", "src/engine.py").startswith("def")
+
+
+def test_clone_and_cd():
+    got = shell.commands(["git clone https://x/y/app.git", "cd app", "python run.py", "cd sub && python a.py"])
+    assert [(c["target"], c["folder"]) for c in got] == [("run.py", ""), ("a.py", "sub")]
+
+
+def test_config(tmp_path):
+    from tidemark import config
+
+    assert config.load(str(tmp_path)) == config.Settings()
+    (tmp_path / "pyproject.toml").write_text("[tool.tidemark]\nlive = ['a']\nlang = 3\n")
+    assert config.load(str(tmp_path)) == config.Settings(live=["a"])
+    (tmp_path / "tidemark.toml").write_text("lang = [")
+    assert config.load(str(tmp_path)).live == ["a"]
+
+
+def test_baseline_file_and_html(spark, tmp_path):
+    from tidemark.operators import reports
+
+    rows = [("docs/a.md", 1, 1, "r", "error", "</script><b>", "f1"), ("b.md", 2, 1, "r", "info", "m", "f2")]
+    f = spark.createDataFrame(rows, "path string, line int, col int, rule string, severity string, message string, fingerprint string")
+    assert reports.read_baseline(spark, str(tmp_path / "none")).count() == 0
+    reports.write_baseline(f, str(tmp_path / "base"))
+    assert {r.fingerprint for r in reports.read_baseline(spark, str(tmp_path / "base")).collect()} == {"f1", "f2"}
+    pages = {r.area: r.html for r in reports.html_pages(f).collect()}
+    assert set(pages) == {"docs", "."} and pages["docs"].count("</script>") == 2 and "\\u003c/script>\\u003cb>" in pages["docs"]
+    data = pages["docs"].split('id="d">')[1].split("</script>")[0]
+    assert json.loads(data)[0]["message"] == "</script><b>"

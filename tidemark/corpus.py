@@ -1,54 +1,81 @@
 """A corpus: repositories as tables, and what can be asked of them.
 
-Everything is per repository by the column `repo`, so one plan checks any number of them.
+Everything is per repository by the column `repo`, so one plan checks any number of them. Inside of the joins a file is named by its repository
+and path together (`at`), so that no rule looks into another tree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.paths import dirname, joined
-from .functions.text import token_estimate
-from .operators import claims, documents, findings, markdown, resolve
-from .sources import manifests
+from .functions import messages
+from .functions.paths import ancestors, dirname, glob_regex, joined
+from .functions.text import is_acknowledged, token_estimate
+from .operators import claims, documents, findings, guards, markdown, resolve, shell, verdicts
+from .operators.history import last_times
+from .operators.inventory import is_agent_file
+from .sources import git, manifests
 from .sources.files import walk
 
+KEYS = ["repo", "path", "doc", "line", "col", "kind", "text", "target"]
+SPLIT = "\u0000"
+
+
+def at(path: str | Column) -> Column:
+    """A file's name among all repositories."""
+    return F.concat_ws(SPLIT, "repo", path)
+
+
+def below(path: str | Column) -> Column:
+    """The same with the repository as the first folder, for what looks at folders."""
+    return F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("\u0001")), path)
+
 
 @dataclass
 class Corpus:
-    """files (repo, path, kind, text); events (repo, path, pos, kind, epoch) may be absent."""
+    """files (repo, path, kind, text); events (repo, path, pos, kind, epoch, other), blame (repo, path, line, epoch) and blobs (repo, path, pos, epoch, text) may be absent: what they prove is then not told."""
 
     files: DataFrame
     events: DataFrame | None = None
+    blame: DataFrame | None = None
+    blobs: DataFrame | None = None
     live: list[str] = field(default_factory=list)
     history: list[str] = field(default_factory=list)
     plans: list[str] = field(default_factory=list)
 
     @staticmethod
-    def from_folders(spark: SparkSession, roots: dict[str, str], **settings) -> Corpus:
-        """Reads the trees `roots` (name: folder)."""
-        files = None
-        for repo, root in roots.items():
-            own = walk(spark, root, repo)
-            files = own if files is None else files.unionByName(own)
-        if files is None:
+    def from_folders(spark: SparkSession, roots: dict[str, str], history: bool = False, **settings) -> Corpus:
+        """Reads the trees `roots` (name: folder), with `history` also the git history of each."""
+        if not roots:
             raise ValueError("no folders given")
-        return Corpus(files, **settings)
+        files = reduce(DataFrame.unionByName, (walk(spark, root, repo) for repo, root in roots.items()))
+        if not history:
+            return Corpus(files, **settings)
+        git.register(spark)
+        name = F.create_map(*(F.lit(x) for repo, root in roots.items() for x in (root, repo)))
+
+        def read(table: str) -> DataFrame:
+            found = spark.read.format("git_history").option("repos", ",".join(roots.values())).option("table", table).load()
+            return found.withColumn("repo", name[F.col("repo")]).persist()  # asked for by several rules
+
+        return Corpus(files, read("events"), read("blame"), read("blobs"), **settings)
 
     def documents(self) -> DataFrame:
-        return self.files.filter("kind = 'doc' AND text IS NOT NULL").withColumn("doc", F.concat_ws("\u0000", "repo", "path"))
+        return self.files.filter("kind = 'doc' AND text IS NOT NULL").withColumn("doc", at("path"))
 
     def pages(self) -> DataFrame:
         return markdown.scan(self.documents())
 
     def kinds(self, pages: DataFrame) -> DataFrame:
-        docs = self.documents().select("doc", "path", "text")
+        docs = self.documents().select("doc", "repo", "path", "text")
         lines = docs.select("doc", F.posexplode(F.slice(F.split("text", "\n"), 1, 20)).alias("p", "text")).select("doc", (F.col("p") + 1).alias("line"), "text")
-        old = documents.old_versions(docs.select("path")).withColumn("old", F.lit(True))
-        known = docs.join(documents.status_words(lines), "doc", "left").join(old, "path", "left").join(pages.select("doc", "mark"), "doc")
+        old = documents.old_versions(docs.select(below("path").alias("path"))).withColumnRenamed("path", "_at").withColumn("old", F.lit(True))
+        known = docs.join(documents.status_words(lines), "doc", "left").withColumn("_at", below("path")).join(old, "_at", "left").join(pages.select("doc", "mark"), "doc")
         kind = documents.document_kind(F.col("path"), F.col("mark"), F.coalesce("status", F.lit("")), F.coalesce("old", F.lit(False)), self.live, self.history, self.plans)
         return known.select("doc", kind.alias("doc_kind"))
 
@@ -58,47 +85,254 @@ class Corpus:
         spans = claims.inline_claims(markdown.exploded(pages, "spans"), "text").select("doc", "line", "col", "kind", "text", "target", F.lit("").alias("anchor"))
         links = claims.link_claims(markdown.exploded(pages, "links")).select("doc", "line", "col", F.lit("link").alias("kind"), F.col("dest").alias("text"), "target", "anchor")
         ignored = pages.select("doc", F.explode("ignored").alias("line"))
-        part = F.split("doc", "\u0000")
-        return spans.unionByName(links).join(ignored, ["doc", "line"], "left_anti").withColumns({"repo": part[0], "path": part[1]})
+        return self._placed(spans.unionByName(links).join(ignored, ["doc", "line"], "left_anti"))
 
-    def check(self, sure_only: bool = False, names: list[str] | None = None) -> DataFrame:
-        """Findings: (repo, path, line, col, rule, severity, claim, message, fingerprint)."""
-        pages = self.pages()
-        made = self.claims(pages)
-        there = self.files.select("repo", "path").unionByName(self.files.select("repo", dirname(F.col("path")).alias("path"))).distinct()
+    @staticmethod
+    def _placed(rows: DataFrame) -> DataFrame:
+        part = F.split("doc", SPLIT)
+        return rows.withColumns({"repo": part[0], "path": part[1]})
+
+    # ------------------------------------------------------------ rules; each returns KEYS, rule, severity
+
+    def _there(self) -> DataFrame:
+        """(repo, candidate): all files and the folders above them."""
+        folders = self.files.select("repo", F.explode(ancestors(F.col("path"))).alias("candidate"))
+        return self.files.select("repo", F.col("path").alias("candidate")).unionByName(folders).distinct()
+
+    def _written(self, rows: DataFrame) -> DataFrame:
+        """`rows` with the time at which a commit wrote their line; null for lines that none has."""
+        if self.blame is None:
+            return rows.withColumn("written", F.lit(None).cast("long"))
+        return rows.join(self.blame.select("repo", "path", F.col("line").cast("int").alias("line"), F.col("epoch").alias("written")), ["repo", "path", "line"], "left")
+
+    def _unresolved(self, made: DataFrame) -> DataFrame:
+        """Claims on paths none of whose candidates is there, with the candidates inside of the tree."""
         paths = made.filter("kind IN ('path', 'link') AND target <> ''")
         target = F.regexp_replace("target", "^/+|/+$", "")
-        options = F.array(joined(dirname(F.col("path")), target), joined(F.lit(""), target))
-        tried = paths.select("*", F.explode(F.array_distinct(options)).alias("candidate"))
-        found = tried.join(there.select("repo", F.col("path").alias("candidate"), F.lit(True).alias("hit")), ["repo", "candidate"], "left")
-        keys = ["repo", "path", "doc", "line", "col", "kind", "text", "target"]
-        resolved = found.groupBy(*keys).agg(F.max("hit").alias("hit"))
-        broken = resolved.filter("hit IS NULL").select(*keys, F.when(F.col("kind") == "link", "link-broken").otherwise("path-missing").alias("rule"), F.when(F.col("kind") == "link", "error").otherwise("warning").alias("severity"))
+        each = paths.withColumns({"_t": target, "_d": dirname(F.col("path"))}).withColumns({"_near": joined(F.col("_d"), F.col("_t")), "_root": joined(F.lit(""), F.col("_t"))})
+        inside = each.withColumn("_all", F.array_distinct(F.array("_near", "_root"))).withColumn("candidates", F.filter("_all", lambda c: ~c.startswith("../") & (c != "..")))
+        tried = inside.select(*KEYS, "candidates", F.explode_outer("candidates").alias("candidate"))
+        found = tried.join(self._there().withColumn("hit", F.lit(True)), ["repo", "candidate"], "left").groupBy(*KEYS, "candidates").agg(F.max("hit").alias("hit"))
+        return found.filter("hit IS NULL").drop("hit").filter(~((F.col("kind") == "link") & verdicts.is_web_route(F.col("path"), F.col("text"))))
+
+    def _paths(self, made: DataFrame, said: DataFrame) -> DataFrame:
+        lost = self._written(self._unresolved(made)).join(said, ["doc", "line"], "left").withColumn("line_text", F.coalesce("line_text", F.lit(""))).persist()
+        real = self.files.select("repo", F.lower("path").alias("_low"))
+        each = lost.select(*KEYS, F.explode("candidates").alias("_c")).withColumn("_low", F.lower("_c"))
+        spelled = each.filter("kind = 'link'").join(real, ["repo", "_low"]).select(*KEYS).distinct().withColumn("case", F.lit(True))
+        judged = self._judged(lost).join(spelled, KEYS, "left").persist()
+        near = resolve.edit_near(judged.filter("kind = 'path' AND NOT ever AND size(candidates) > 0").select(F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("\u0001")), F.get("candidates", F.lit(0))).alias("target")), self.files.select(below("path").alias("path")))
+        judged = judged.withColumn("_at", F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("\u0001")), F.get("candidates", F.lit(0)))).join(near.select(F.col("target").alias("_at"), F.col("name").alias("near")), "_at", "left")
+        first = self.files.select("repo", F.substring_index("path", "/", 1).alias("_first")).distinct().withColumn("here", F.lit(True))
+        judged = judged.withColumn("_first", F.substring_index(F.get("candidates", F.size("candidates") - 1), "/", 1)).join(first, ["repo", "_first"], "left")
+        ruled = verdicts.path_rules(judged.withColumn("agent", is_agent_file(F.col("path"))).withColumn("names_target", F.coalesce(verdicts.names_target(F.col("line_text"), F.col("moved_to")), F.lit(False))))
+        never = F.col("rule") == "path-missing"
+        link, said_so = F.col("kind") == "link", is_acknowledged(F.col("line_text"))
+        rule = F.when(link, F.when(F.col("case"), "link-case").otherwise("link-broken")).when(never & F.col("near").isNotNull(), "path-typo").otherwise(F.col("rule"))
+        severity = F.when(link, F.when(said_so, "info").when(F.col("case"), "warning").otherwise("error")).when(never & F.col("near").isNotNull(), "warning").otherwise(F.col("severity"))
+        told = link | ~never | F.col("near").isNotNull() | (F.col("here") & verdicts.may_be_told(F.col("line_text"), F.col("target")))
+        return ruled.filter(told).select(*KEYS, rule.alias("rule"), severity.alias("severity"))
+
+    def _judged(self, lost: DataFrame) -> DataFrame:
+        """What history says of the candidates of each lost claim: then, now, ever, and where it went."""
+        if self.events is None:
+            return lost.withColumns({"then": F.lit(False), "now": F.lit(False), "ever": F.lit(False), "moved_to": F.lit(None).cast("string")})
+        events = self.events.select(at("path").alias("path"), "epoch", (-F.col("pos")).alias("commit"), "kind", "other")
+        asked = lost.select(*KEYS, "written", F.explode("candidates").alias("_c")).withColumnRenamed("path", "_doc_path").withColumn("path", at("_c")).drop("_c")
+        seen = verdicts.against_history(asked.select("path", "written").distinct(), events)
+        moved = events.filter("kind = 'D' AND other IS NOT NULL").groupBy("path").agg(F.max_by("other", F.struct("epoch", "commit")).alias("moved_to"))
+        both = asked.join(seen.select("path", F.col("written").alias("_w"), "then", "now", "ever"), (seen["path"] == asked["path"]) & asked["written"].eqNullSafe(F.col("_w"))).drop(seen["path"]).join(moved, "path", "left")
+        keys = ["_doc_path" if k == "path" else k for k in KEYS]
+        per = both.groupBy(*keys).agg(F.max("then").alias("then"), F.max("now").alias("now"), F.max("ever").alias("ever"), F.max("moved_to").alias("moved_to")).withColumnRenamed("_doc_path", "path")
+        known = lost.join(per, KEYS, "left")
+        # without a blame nothing is known of the line, so only that a path was ever there counts
+        then = F.col("then") if self.blame is not None else F.lit(False)
+        return known.withColumns({"then": then, "now": F.coalesce("now", F.lit(False)), "ever": F.coalesce("ever", F.lit(False))})
+
+    def _symbols(self, made: DataFrame) -> DataFrame:
         code = self.files.filter("text IS NOT NULL")
-        symbols = resolve.unknown_symbols(made.filter("kind = 'symbol'").withColumn("name", F.col("target")), manifests.identifiers(code)).select(*keys, F.lit("symbol-gone").alias("rule"), F.lit("info").alias("severity"))
-        flags = made.filter("kind = 'flag'").join(manifests.flag_literals(code).select(F.col("flag").alias("target")), "target", "left_anti").select(*keys, F.lit("flag-missing").alias("rule"), F.lit("warning").alias("severity"))
-        shape = markdown.exploded(pages, "tables").withColumn("bad", F.filter("rows", lambda r: r["cells"] != F.col("width"))).filter(F.size("bad") > 0)
-        part = F.split("doc", "\u0000")
-        odd = shape.select(part[0].alias("repo"), part[1].alias("path"), "doc", F.col("bad")[0]["line"].alias("line"), F.lit(1).alias("col"), F.lit("table").alias("kind"), F.concat(F.size("bad"), F.lit(" rows")).alias("text"), F.lit("").alias("target"), F.lit("table-shape").alias("rule"), F.lit("info").alias("severity"))
-        all_ = broken.unionByName(symbols).unionByName(flags).unionByName(odd)
+        known = manifests.identifiers(code).select("repo", F.col("name").alias("target"))
+        unknown = self._written(made.filter("kind = 'symbol'").join(known, ["repo", "target"], "left_anti"))
+        if self.blobs is None:
+            return unknown.select(*KEYS, F.lit("symbol-gone").alias("rule"), F.lit("info").alias("severity"))
+        words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1), lambda w: F.concat_ws(SPLIT, F.col("repo"), w)))
+        blobs = self.blobs.filter("text IS NOT NULL").select(at("path").alias("path"), "epoch", (-F.col("pos")).alias("commit"), words.alias("names"))
+        asked = unknown.withColumn("_path", F.col("path")).withColumn("path", at("target"))
+        gone = verdicts.gone_names(asked.select("path", "written").distinct(), verdicts.name_events(blobs), "symbol-gone", "symbol-removed-now").select("path", "written", "rule", "severity")
+        hit = asked.join(gone.withColumnsRenamed({"path": "_p", "written": "_w"}), (F.col("path") == F.col("_p")) & F.col("written").eqNullSafe(F.col("_w")))
+        return hit.withColumn("path", F.col("_path")).select(*KEYS, "rule", "severity")
+
+    def _flags(self, made: DataFrame) -> DataFrame:
+        known = manifests.flag_literals(self.files.filter("text IS NOT NULL")).withColumnRenamed("flag", "target")
+        return made.filter("kind = 'flag'").join(known, ["repo", "target"], "left_anti").select(*KEYS, F.lit("flag-missing").alias("rule"), F.lit("warning").alias("severity"))
+
+    def _commands(self, pages: DataFrame) -> DataFrame:
+        """Scripts, modules, package scripts and make targets that shell blocks run."""
+        run = self._placed(shell.block_commands(markdown.exploded(pages.filter("NOT ignore_file"), "fences")).withColumnRenamed("start", "line"))
+        run = run.withColumns({"col": F.lit(1), "text": F.concat_ws(" ", "tool", "target"), "what": F.col("kind"), "kind": F.lit("command")})
+        here = F.when(F.col("folder") == "", dirname(F.col("path"))).otherwise(F.col("folder"))
+        keys = [*KEYS, "what", "folder"]
+        forms = F.when(F.col("what") == "module", F.array(*(F.replace(F.lit(f), F.lit("{}"), F.replace("target", F.lit("."), F.lit("/"))) for f in verdicts.MODULE_FORMS))).otherwise(F.array("target"))
+        scripts = run.filter("what = 'path' AND NOT target RLIKE '^[/~$<]|://' OR what = 'module' AND target LIKE '%.%'").filter(~claims.has_placeholder(F.col("target")))
+        cands = F.array_distinct(F.flatten(F.transform(forms, lambda f: F.array(joined(F.col("folder"), f), joined(dirname(F.col("path")), f), joined(here, f)))))
+        there = self._there()
+        tried = scripts.withColumn("candidates", cands).select(*keys, "candidates", F.explode("candidates").alias("candidate")).join(there.withColumn("hit", F.lit(True)), ["repo", "candidate"], "left")
+        lost = tried.groupBy(*keys, "candidates").agg(F.max("hit").alias("hit")).filter("hit IS NULL").drop("hit")
+        judged = self._judged(self._written(lost)).withColumn("candidate", dirname(F.get("candidates", F.lit(0)))).join(there.withColumn("folder_there", F.lit(True)), ["repo", "candidate"], "left")
+        missing = verdicts.command_rules(judged.withColumn("folder_there", F.coalesce("folder_there", F.lit(False)) & (F.col("candidate") != ""))).select(*KEYS, "rule", "severity")
+
+        npm = run.filter("what = 'npm'").select(*KEYS, below(here).alias("_at"))
+        scripts_ = manifests.npm_scripts(self.files.filter("text IS NOT NULL").withColumn("path", below("path")))
+        asked = npm.select(F.col("doc"), "line", F.col("_at").alias("folder"), F.col("target").alias("script")).distinct()
+        packed = guards.package_script(asked, scripts_).withColumn("_own", F.substring_index("manifest", "/", 1) == F.substring_index("folder", "/", 1))
+        has_any = scripts_.select(F.substring_index("manifest", "/", 1).alias("_r")).distinct()
+        unknown = packed.filter("manifest IS NULL OR NOT _own").select("doc", "line", F.col("script").alias("target")).distinct()
+        no_script = npm.join(unknown, ["doc", "line", "target"], "left_semi").withColumn("_r", F.substring_index("_at", "/", 1)).join(has_any, "_r", "left_semi").select(*KEYS, F.lit("npm-script-missing").alias("rule"), F.lit("error").alias("severity"))
+
+        made = run.filter("what = 'make'").select(*KEYS, below(here).alias("folder")).withColumn("_f", F.regexp_replace("folder", "/$", ""))
+        targets = manifests.make_targets(self.files.filter("text IS NOT NULL").withColumn("path", below("path"))).select("folder", "target")
+        none = verdicts.unknown_targets(made.select("doc", "line", F.col("_f").alias("folder"), "target").distinct(), targets).select("doc", "line", "target", "rule", "severity")
+        return missing.unionByName(no_script).unionByName(made.join(none, ["doc", "line", "target"]).select(*KEYS, "rule", "severity"))
+
+    def _anchors(self, made: DataFrame, pages: DataFrame) -> DataFrame:
+        """Anchors of links into pages of the tree, by any spelling."""
+        links = made.filter("kind = 'link' AND anchor <> ''")
+        page = F.when(F.col("target") == "", F.col("path")).otherwise(joined(dirname(F.col("path")), F.col("target")))
+        docs = pages.select(F.col("doc").alias("_to"))
+        into = links.withColumn("_to", at(page)).join(docs, "_to", "left_semi")
+        named = pages.select(F.col("doc").alias("path"), F.explode("anchors").alias("anchor")).distinct()
+        asked = into.withColumnRenamed("target", "_target").withColumn("target", F.col("_to"))
+        lost = resolve.anchor_findings(asked, named).withColumn("target", F.col("_target"))
+        unsure = F.col("anchor").rlike("[.:/]")
+        return lost.select(*KEYS, F.when(unsure, "anchor-unverified").otherwise("anchor-missing").alias("rule"), F.when(unsure, "info").otherwise("warning").alias("severity"))
+
+    def _decisions(self, said: DataFrame) -> DataFrame:
+        """Mentions of decisions against the nearest log: a page with two table rows or more that begin with an id."""
+        cell = F.regexp_extract("line_text", r"^\s*\|\s*[*`\[]*([A-Z]{1,8})-?(\d{1,6})\b", 1)
+        number = F.regexp_extract("line_text", r"^\s*\|\s*[*`\[]*([A-Z]{1,8})-?(\d{1,6})\b", 2)
+        low = F.lower("line_text")
+        status = F.when(low.rlike(r"\|[\s*]*superseded"), "superseded").when(low.rlike(r"\bsuperseded\b|[\s|]amended\b"), "amended").otherwise("active")
+        rows = said.withColumn("_p", cell).filter("_p <> ''").select(F.col("doc").alias("log"), "line", F.concat("_p", number.cast("long")).alias("id"), "_p", status.alias("status"))
+        logs = rows.groupBy("log").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("log")
+        known = rows.join(logs, "log", "left_semi").dropDuplicates(["log", "id"])
+        mention = F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(r"(?<![A-Za-z0-9_/.-])([A-Z]{1,8}-?\d{1,6})(?![A-Za-z0-9_])"), 1))).alias("text")
+        told = self._placed(said.select("doc", "line", mention)).withColumn("_p", F.regexp_extract("text", "^([A-Z]+)", 1)).withColumn("id", F.concat("_p", F.regexp_extract("text", r"(\d+)$", 1).cast("long")))
+        told = told.filter(~verdicts.in_template_folder(F.col("path"))).join(known.select(F.col("log").alias("doc"), "line", "id"), ["doc", "line", "id"], "left_anti")
+        # the nearest log above a document that knows the prefix
+        own = known.select("log", "_p").distinct().withColumn("_folder", F.concat_ws("/", F.split("log", SPLIT)[0], dirname(F.split("log", SPLIT)[1])))
+        up = told.select("*", F.posexplode(F.transform(ancestors(F.col("path")), lambda a: F.concat_ws("/", F.col("repo"), a))).alias("_up", "_folder"))
+        near = up.join(own, ["_folder", "_p"]).groupBy("doc", "line", "id").agg(F.min_by("log", F.struct("_up", "log")).alias("log"))
+        seen = told.join(near, ["doc", "line", "id"]).join(known.select("log", "id", "status"), ["log", "id"], "left")
+        rule = F.when(F.col("status").isNull(), "decision-unknown").when(F.col("status") == "superseded", "decision-superseded").when(F.col("status") == "amended", "decision-amended")
+        severity = F.when(F.col("status").isNull(), "error").when(F.col("status") == "superseded", "warning").otherwise("info")
+        out = seen.withColumns({"rule": rule, "severity": severity, "col": F.lit(1), "kind": F.lit("decision"), "target": F.col("id")}).filter("rule IS NOT NULL")
+        return out.select(*KEYS, "rule", "severity")
+
+    def _versions(self, made: DataFrame, pages: DataFrame) -> DataFrame:
+        """Versions that headings state, and pins of packages, against manifests."""
+        files = self.files.filter("text IS NOT NULL").withColumn("path", below("path"))
+        heads = self._placed(claims.heading_versions(markdown.exploded(pages, "headings")))
+        stated = verdicts.version_mismatches(heads.select(below("path").alias("doc"), "line", "version"), manifests.versions(files)).select(F.col("doc").alias("_at"), "line", "version", "rule", "severity")
+        told = heads.withColumn("_at", below("path")).join(stated, ["_at", "line", "version"])
+        versions = told.withColumns({"col": F.lit(1), "kind": F.lit("version"), "text": F.col("version"), "target": F.col("version")}).select(*KEYS, "rule", "severity")
+        pins = manifests.requirement_pins(files).groupBy("folder", "package").agg(F.min("spec").alias("spec"))
+        deps = made.filter("kind = 'dep'").withColumn("_spec", F.regexp_replace(F.regexp_replace("text", r"\s+|\[[^\]]*\]", ""), r"^[\w.-]+", ""))
+        up = deps.select(*KEYS, "_spec", F.posexplode(F.transform(ancestors(F.col("path")), lambda a: F.regexp_replace(F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("\u0001")), a), "/$", ""))).alias("_up", "folder"))
+        near = up.join(pins.withColumnRenamed("package", "target"), ["folder", "target"]).groupBy(*KEYS, "_spec").agg(F.min_by("spec", "_up").alias("spec"))
+        return versions.unionByName(near.filter("spec <> _spec").select(*KEYS, F.lit("dep-mismatch").alias("rule"), F.lit("warning").alias("severity")))
+
+    def _tables(self, pages: DataFrame) -> DataFrame:
+        rows = markdown.exploded(pages, "tables").select("doc", "start", "width", F.explode("rows").alias("r"))
+        odd = rows.filter("r.cells <> width").select("doc", "r.line", F.concat(F.col("r.cells"), F.lit(" cells, not "), "width").alias("text"), F.lit("table-shape").alias("rule"), F.lit("info").alias("severity"))
+        by = Window.partitionBy("doc").orderBy("line")
+        stray = pages.select("doc", F.explode("stray").alias("line")).withColumn("_new", (F.col("line") - F.lag("line", 1, -10).over(by) > 2).cast("int"))
+        runs = stray.withColumn("_run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc", "_run").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
+        first = markdown.exploded(pages, "tables").groupBy("doc").agg(F.min("start").alias("first"))
+        cut = runs.join(first, "doc").filter("first < line").select("doc", "line", F.concat("n", F.lit(" rows")).alias("text"), F.lit("table-orphan").alias("rule"), F.lit("warning").alias("severity"))
+        return self._placed(odd.unionByName(cut)).withColumns({"col": F.lit(1), "kind": F.lit("table"), "target": F.lit("")}).select(*KEYS, "rule", "severity")
+
+    def _forbidden(self, pages: DataFrame) -> DataFrame:
+        """Directives `forbid GLOB /PATTERN/`: those that cannot be read, and the lines of code that break one (the first 50 of each)."""
+        body = markdown.exploded(pages, "directives").filter("lower(body) LIKE 'forbid%'")
+        parts = body.select("doc", "line", "body", F.regexp_extract("body", r"^\w+\s+(\S+)\s+/.+/$", 1).alias("_g"), F.regexp_extract("body", r"^\w+\s+\S+\s+/(.+)/$", 1).alias("pattern"))
+        glob = F.udf(glob_regex)(F.col("_g"))  # a directive is rare: one call for each
+        rules = self._placed(verdicts.valid_rules(parts.withColumn("glob", F.when(F.col("_g") != "", glob).otherwise(""))))
+        named = rules.withColumns({"col": F.lit(1), "kind": F.lit("rule"), "text": F.col("body"), "target": F.lit("")})
+        invalid = named.filter("NOT fine").select(*KEYS, F.lit("rule-invalid").alias("rule"), F.lit("error").alias("severity"))
+        code = self.files.filter("kind = 'code' AND text IS NOT NULL").join(rules.filter("fine").select("repo").distinct(), "repo", "left_semi")
+        lines = code.select("repo", F.col("path").alias("_path"), F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
+        hit = lines.join(named.filter("fine"), "repo").filter(F.expr("_path RLIKE glob AND _line RLIKE pattern"))
+        nth = F.row_number().over(Window.partitionBy("doc", "line").orderBy("_path", "_n"))
+        broken = hit.withColumn("_r", nth).filter("_r <= 50").select("repo", F.col("_path").alias("path"), "doc", (F.col("_n") + 1).alias("line"), "col", "kind", "text", "target", F.lit("rule-violation").alias("rule"), F.lit("error").alias("severity"))
+        return invalid.unionByName(broken)
+
+    def _stale(self, made: DataFrame) -> DataFrame:
+        """Pages older, by more than a day, than code that they refer to."""
+        if self.events is None:
+            return made.limit(0).select(*KEYS, F.lit("").alias("rule"), F.lit("").alias("severity"))
+        from .operators.history import freshness
+
+        target = F.regexp_replace("target", "^/+|/+$", "")
+        refs = made.filter("kind IN ('path', 'link') AND target <> ''").select("doc", F.explode(F.array(joined(dirname(F.col("path")), target), joined(F.lit(""), target))).alias("_c"), "repo").select("doc", at("_c").alias("path")).distinct()
+        code = self.files.filter("kind = 'code'").select(at("path").alias("path"))
+        old = freshness(refs.join(code, "path", "left_semi"), last_times(self.events.select(at("path").alias("path"), "epoch")))
+        shown = F.regexp_replace("examples", rf"[^,]*?{SPLIT}", " ")
+        return self._placed(old).withColumns({"line": F.lit(1), "col": F.lit(1), "kind": F.lit("page"), "text": F.trim(shown), "target": F.lit("")}).select(*KEYS, F.lit("stale-risk").alias("rule"), F.lit("info").alias("severity"))
+
+    def _copies(self) -> DataFrame:
+        """Lines whose newer copy has other numbers; only where it is known when lines were written."""
+        docs = self.documents().select("doc", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("p", "text")).select("doc", (F.col("p") + 1).alias("line"), "text")
+        dated = self._written(self._placed(docs)).filter("written IS NOT NULL").select("repo", F.col("doc"), "line", "text", F.col("written").alias("epoch"))
+        # the repository stands in front of the line, in letters, so that copies meet inside of one tree
+        own = F.translate(F.sha1(F.col("repo").cast("binary")), "0123456789", "ghijklmnop")
+        old = documents.diverged_copies(dated.withColumn("text", F.concat(own, F.lit(" "), "text")))
+        said = self._placed(old.join(docs, ["doc", "line"])).withColumns({"col": F.lit(1), "kind": F.lit("line"), "target": F.lit("")})
+        return said.select(*KEYS, F.lit("copies-diverged").alias("rule"), F.lit("warning").alias("severity"))
+
+    def rules(self, pages: DataFrame, made: DataFrame, said: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+        found = {
+            "paths": lambda: self._paths(made, said), "symbols": lambda: self._symbols(made), "flags": lambda: self._flags(made), "commands": lambda: self._commands(pages), "anchors": lambda: self._anchors(made, pages),
+            "decisions": lambda: self._decisions(said), "versions": lambda: self._versions(made, pages), "tables": lambda: self._tables(pages), "forbidden": lambda: self._forbidden(pages), "stale": lambda: self._stale(made),
+        }
+        return found | ({"copies": self._copies} if self.blame is not None else {})
+
+    def check(self, sure_only: bool = False, names: list[str] | None = None, lang: str = "en", groups: list[str] | None = None) -> DataFrame:
+        """Findings: (repo, path, line, col, rule, severity, claim, message, fingerprint). `names`: only these rules; `groups`: only these groups of rules (see `rules`).
+
+        Pages, claims and the claims that lead nowhere are made once: they are kept in memory and on disk, and made again where an executor is lost.
+        """
+        pages = self.pages().persist()
+        made = self.claims(pages).persist()
+        said = markdown.exploded(pages, "said").withColumnRenamed("text", "line_text")
+        known = self.rules(pages, made, said)
+        all_ = reduce(DataFrame.unionByName, (known[g]() for g in groups or known))
         if names:
             all_ = all_.filter(F.col("rule").isin(names))
-        text = self.documents().select("doc", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("p", "line_text")).select("doc", (F.col("p") + 1).alias("line"), "line_text")
-        placed = all_.withColumn("claim", F.col("text")).drop("text", "kind").join(text, ["doc", "line"], "left").withColumn("text", F.coalesce("line_text", F.lit("")))
+        placed = all_.withColumn("claim", F.col("text")).drop("text", "kind").join(said, ["doc", "line"], "left").withColumn("text", F.coalesce("line_text", F.lit("")))
         judged = findings.downgraded(placed.join(self.kinds(pages).withColumnRenamed("doc_kind", "kind"), "doc"))
-        told = findings.first_of_each(findings.with_fingerprints(judged))
+        told = findings.first_of_each(judged.withColumn("fingerprint", findings.fingerprint(F.col("rule"), at("path"), F.col("claim"), F.col("text"))))
+        if self.events is not None:
+            told = self._without_foreign(told, made)
         if sure_only:
             told = findings.sure_only(told)
-        message = F.concat("rule", F.lit(": "), "claim")
-        return told.select("repo", "path", "line", "col", "rule", "severity", "claim", message.alias("message"), "fingerprint")
+        return told.select("repo", "path", "line", "col", "rule", "severity", "claim", messages.message(F.col("rule"), F.col("claim"), lang).alias("message"), "fingerprint")
+
+    @staticmethod
+    def _without_foreign(told: DataFrame, made: DataFrame) -> DataFrame:
+        """One note instead of the broken links of a page most of whose links never led anywhere."""
+        links = made.filter("kind = 'link'").groupBy("doc").agg(F.count(F.lit(1)).alias("links")).withColumnRenamed("doc", "path")
+        foreign = findings.collapsed_links(told.withColumn("path", F.col("doc")), links).select(F.col("path").alias("doc"), F.col("line").alias("_line"), "never", F.lit(True).alias("foreign"))
+        marked = told.join(foreign.drop("never"), "doc", "left").withColumn("_f", F.coalesce(F.col("foreign"), F.lit(False)) & (F.col("rule") == "link-broken"))
+        note = marked.filter("_f AND line = _line").dropDuplicates(["doc"]).withColumns({"rule": F.lit("foreign-links"), "severity": F.lit("info")})
+        return marked.filter("NOT _f").unionByName(note).drop("foreign", "_line", "_f")
 
     def context(self, query: str, budget: int = 2000) -> DataFrame:
         """(place, section, tokens, text): sections that answer `query` best, as many as fit into `budget` tokens; a best one larger than that is cut."""
         pages = self.pages()
         lines = self.documents().select("doc", "text").select("doc", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc", (F.col("p") + 1).cast("long").alias("line"), "text")
         heads = markdown.exploded(pages, "headings").filter("level <= 3").select("doc", F.col("line").cast("long").alias("line"), "title")
-        at = Window.partitionBy("doc").orderBy("line")
-        marked = lines.join(heads, ["doc", "line"], "left").withColumn("section", F.concat("doc", F.lit("#"), F.coalesce(F.max(F.when(F.col("title").isNotNull(), F.col("line"))).over(at), F.lit(1))))
+        by = Window.partitionBy("doc").orderBy("line")
+        marked = lines.join(heads, ["doc", "line"], "left").withColumn("section", F.concat("doc", F.lit("#"), F.coalesce(F.max(F.when(F.col("title").isNotNull(), F.col("line"))).over(by), F.lit(1))))
         body = marked.groupBy("section", "doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
         weight = F.create_map(*(F.lit(x) for kv in documents.WEIGHTS.items() for x in kv))
         weighted = body.join(self.kinds(pages), "doc").select("section", "text", weight[F.col("doc_kind")].alias("weight"))
@@ -106,4 +340,4 @@ class Corpus:
         return documents.context_texts(documents.context_pack(ranked, budget), ranked)
 
     def cost(self) -> DataFrame:
-        return documents.agent_cost(self.files.filter("text IS NOT NULL"))
+        return documents.cost_order(documents.agent_cost(self.files.filter("text IS NOT NULL")))

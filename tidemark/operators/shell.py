@@ -42,7 +42,7 @@ def simple_commands(line: str) -> list[str]:
 
 def commands(lines: list[str]) -> list[dict]:
     """What the lines of a shell block run: continuation lines are joined, `cd` moves the folder of later lines, assignments and sudo are skipped."""
-    out, folder, joined = [], "", ""
+    out, folder, joined, cloned = [], "", "", ""
     for line in lines:
         joined += line.rstrip()
         if joined.endswith(("\\", "`", "^")):
@@ -54,7 +54,11 @@ def commands(lines: list[str]) -> list[dict]:
                 words = words[1:]
             if words and words[0] == "cd":
                 target = (words[1:] or [""])[0]
-                folder = target if target.startswith("/") or not folder else f"{folder}/{target}"
+                # the folder that a clone makes is the tree itself
+                folder = "" if target.rstrip("/") == cloned and cloned else target if target.startswith("/") or not folder else f"{folder}/{target}"
+            elif words[:2] == ["git", "clone"]:
+                named = [w for w in words[2:] if not w.startswith("-")]
+                cloned = (named[-1] if len(named) > 1 else named[0].rstrip("/").rpartition("/")[2].removesuffix(".git")) if named else ""
             elif words:
                 out.append(describe(words) | {"folder": folder})
         joined = ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 #: Adaptive plans, UTC days, Arrow transfer; sizes of partitions are left to the cluster.
@@ -18,6 +20,11 @@ SETTINGS = {
 
 def local_session(name: str = "tidemark", cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **more: str) -> SparkSession:
     """A session in one process, for tests and the bench."""
+    # Python workers find the package wherever the session is started from; on a cluster, install it or ship it with addPyFile
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
     build = SparkSession.builder.master(f"local[{cores}]").appName(name).config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in {**SETTINGS, **more}.items():
         build = build.config(key, value)

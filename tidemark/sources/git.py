@@ -1,6 +1,6 @@
 """Histories of git repositories as a Spark data source, one partition for each repository.
 
-spark.read.format("git_history").option("repos", "a,b").option("table", "events").load(), with tables commits, events, tree and blame.
+spark.read.format("git_history").option("repos", "a,b").option("table", "events").load(), with tables commits, events, tree, files, ignored, blobs (code at each commit) and blame.
 Calls have a time limit; after three that exceed it the rest of a repository is left out, and says so in a row of `unanswered`.
 """
 
@@ -11,16 +11,28 @@ import subprocess
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.inventory import CODE, PRIVATE_ENDINGS, PRIVATE_NAMES
+
 TABLES = {
     "commits": "repo string, pos long, sha string, epoch long, subject string",
     "events": "repo string, path string, pos long, kind string, other string, epoch long",
     "tree": "repo string, path string, mode string, sha string",
     "blame": "repo string, path string, line long, sha string, epoch long",
+    "files": "repo string, path string, link boolean, dirty boolean",
+    "ignored": "repo string, path string",
+    "blobs": "repo string, path string, pos long, sha string, epoch long, text string",
     "unanswered": "repo string, calls long",
 }
 MARK, FIELD = "\x1e", "\x1f"
 
 
+def private(path: str) -> bool:
+    """As `inventory.is_private`, for what is read here."""
+    low = path.lower()
+    name = low.rpartition("/")[2]
+    return name in PRIVATE_NAMES or name.startswith(".env.") or name.endswith(tuple(PRIVATE_ENDINGS)) or "secret" in low or "cookie" in low
+
+
 class Repository:
     """One working tree; answers are None where git does not answer in time."""
 
@@ -67,12 +79,29 @@ class Repository:
                 rows.append((path, mode, sha))
         return rows
 
-    def blame(self, path: str) -> list[tuple[int, str, int]]:
-        """(line, commit, committer time), white space aside."""
+    def files(self) -> list[tuple[str, bool, bool]]:
+        """(path, is a link, is changed) of what is tracked or neither tracked nor ignored, and there."""
+        modes = {path: mode for path, mode, _ in self.tree()}
+        status = [x for x in (self.ask("status", "--porcelain", "-z", "--no-renames", "-uall") or "").split("\0") if x]
+        state = {x[3:]: x[:2] for x in status}
+        here = sorted({*modes, *state} - {p for p, s in state.items() if "D" in s})
+        return [(p, modes.get(p) == "120000", p in state) for p in here]
+
+    def ignored(self) -> list[str]:
+        return [x for x in (self.ask("ls-files", "--others", "--ignored", "--exclude-standard", "-z") or "").split("\0") if x]
+
+    def show(self, rev: str, path: str) -> str | None:
+        return self.ask("show", f"{rev}:{path}")
+
+    def is_ancestor(self, old: str, new: str) -> bool:
+        return self.ask("merge-base", "--is-ancestor", old, new) is not None
+
+    def blame(self, path: str) -> list[tuple[int, str | None, int | None]]:
+        """(line, commit, committer time), white space aside; lines that no commit has yet have neither."""
         out, sha, line, times = [], "", 0, {}
-        for row in (self.ask("blame", "-w", "--line-porcelain", "HEAD", "--", path) or "").split("\n"):
+        for row in (self.ask("blame", "-w", "--line-porcelain", "--", path) or "").split("\n"):
             if row.startswith("\t"):
-                out.append((line, sha, times.get(sha, 0)))
+                out.append((line, sha, times.get(sha, 0)) if sha.strip("0") else (line, None, None))
             elif row.startswith("committer-time "):
                 times[sha] = int(row.split(" ")[1])
             elif len(parts := row.split(" ")) >= 3 and len(parts[0]) == 40:
@@ -84,6 +113,7 @@ class GitReader(DataSourceReader):
     def __init__(self, options: dict):
         self.repos = [r.strip() for r in options["repos"].split(",") if r.strip()]
         self.table, self.limit = options.get("table", "commits"), float(options.get("timeout", 120))
+        self.endings = tuple(options.get("endings", " ".join(CODE)).split())
 
     def partitions(self):
         return [InputPartition(r) for r in self.repos]
@@ -107,6 +137,17 @@ class GitReader(DataSourceReader):
                 if path.lower().endswith((".md", ".markdown", ".mdx")):
                     for line, sha, epoch in repo.blame(path):
                         yield name, path, line, sha, epoch
+        elif self.table == "files":
+            for path, link, dirty in repo.files():
+                yield name, path, link, dirty
+        elif self.table == "ignored":
+            for path in repo.ignored():
+                yield name, path
+        elif self.table == "blobs":
+            for pos, ((sha, epoch, _), changes) in enumerate(repo.log()):
+                for kind, path, _ in changes:
+                    if path.lower().endswith(self.endings) and not private(path):
+                        yield name, path, pos, sha.strip(), int(epoch), "" if kind == "D" else repo.show(sha.strip(), path)
         elif self.table == "unanswered":
             repo.log()
             yield name, repo.unanswered

@@ -70,10 +70,18 @@ def definitions(files: DataFrame) -> DataFrame:
     return lines.withColumn("d", found).filter("d IS NOT NULL").select("path", (F.col("pos") + 1).cast("long").alias("line"), "d.name", "d.kind")
 
 
+def _by_repo(files: DataFrame) -> list[str]:
+    return ["repo"] if "repo" in files.columns else []
+
+
 def identifiers(files: DataFrame) -> DataFrame:
-    """(name, first): all identifiers of the code, with the first file that has each."""
-    return files.filter("kind IN ('code', 'conf')").select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias("name")).groupBy("name").agg(F.min("path").alias("first"))
+    """(repo if there is one, name, first): all identifiers of the code, with the first file that has each."""
+    own = _by_repo(files)
+    names = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias("name")
+    return files.filter("kind IN ('code', 'conf')").select(*own, "path", names).groupBy(*own, "name").agg(F.min("path").alias("first"))
 
 
 def flag_literals(files: DataFrame) -> DataFrame:
-    return files.filter("kind IN ('code', 'conf')").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(--[A-Za-z][A-Za-z0-9_-]*)"), 1))).alias("flag")).distinct()
+    """(repo if there is one, flag): options that stand in the code."""
+    flags = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(--[A-Za-z][A-Za-z0-9_-]*)"), 1))).alias("flag")
+    return files.filter("kind IN ('code', 'conf')").select(*_by_repo(files), flags).distinct()
