@@ -44,7 +44,9 @@ def normalise(path: Column) -> Column:
         inside = (n > 0) & (F.element_at(F.concat(F.array(F.lit("..")), kept), -1) != "..")
         return F.when(part.isin("", "."), kept).when((part == "..") & inside, F.slice(kept, 1, F.greatest(n - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(part)))
 
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    walked = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    # most paths have no such segment and are looked at once
+    return F.when(path.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), walked).otherwise(path)
 
 
 def joined(folder: Column, path: Column) -> Column:
