@@ -141,11 +141,11 @@ def test_rows_that_are_alike_cost_in_proportion(spark):
 
 
 def test_crowded_anchors_are_widened(spark):
-    """One passage in many surroundings: more kinds of contexts than `crowd` at its edges."""
+    """One passage in many surroundings: the contexts at its edges come to more than `crowd` units."""
     rng = random.Random(10)
     passage = "".join(rng.choices("abcdef ", k=50))
     rows = [(i, "".join(rng.choices("ghijkl ", k=30)) + passage[rng.randint(0, 9) :] + "".join(rng.choices("mnopq ", k=30))) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for crowd in (3, 20, 256):
+    for crowd in (30, 500, repeats.CROWD):
         got = suffix_array_dedup(df, size=24, width=6, crowd=crowd).collect()
         assert key([tuple(r)[:5] for r in got]) == key(brute_bytes(rows, 24))

@@ -9,8 +9,8 @@ consecutive windows with the same anchor are *chunks*; a chunk's *context* is al
    window in it is repeated. That settles copies, however many, with map-side combination alone.
 3. Where an anchor has different contexts, one context of each kind, with its number of copies, goes to a *resolver*
    (suffix array or suffix trees), which says which windows of it are repeated. All equal windows meet there.
-4. The windows of an anchor with more than `crowd` different contexts (the edge of a passage that a large share of the corpus holds) are
-   dealt again by wider anchors, from step 1 on, until no anchor is crowded. The widest is the whole window: such groups are of one content.
+4. The windows of an anchor whose different contexts come to more than `crowd` units (the edge of a passage that a large share of the corpus holds)
+   are dealt again by wider anchors, from step 1 on, until each group fits into a task. The widest is the whole window: such groups are of one content.
 5. `spans`: by row, the stretches of windows that are repeated.
 """
 
@@ -29,6 +29,7 @@ from .base import BASE_A, BASE_B, U64, Poly, signed, stage
 
 PLACE_BITS = 24
 BLOCK = 1 << 18  # windows looked at together
+CROWD = 1 << 22  # units of a group; sorting takes some 50 bytes for each, so about 200 MB of a task
 ANCHORS = "anchor long, digest long, k1 long, k2 long, start long, n int"
 CONTEXTS = "anchor long, digest long, copies long, n int, units binary"
 MARKS = "anchor long, digest long, first int, n int"
@@ -287,7 +288,7 @@ def rewidened(rows: DataFrame, occ: DataFrame, units: Units, width: int) -> Data
     return rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(lambda b: _stretches(b, units, emit), ANCHORS)
 
 
-def spans(rows: DataFrame, units: Units, resolve: Resolver, crowd: int = 256) -> DataFrame:
+def spans(rows: DataFrame, units: Units, resolve: Resolver, crowd: int = CROWD) -> DataFrame:
     """(k1, k2, spans: array of (first, n)): stretches of repeated windows of each row of `rows` (k1, k2, text) that has any. Stretches may overlap or touch.
 
     Rows that are alike in k1 and k2 count as so many copies.
@@ -301,7 +302,7 @@ def spans(rows: DataFrame, units: Units, resolve: Resolver, crowd: int = 256) ->
         parts.append(occ.filter("not mixed").select("k1", "k2", F.col("start").cast("int").alias("first"), "n"))
         mixed = occ.filter("mixed")
         kinds = stage(mixed.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")), "kinds")
-        crowded = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowd).select("anchor")
+        crowded = kinds.groupBy("anchor").agg(F.sum(F.col("one.n") + units.size - 1).alias("c")).filter(F.col("c") > crowd).select("anchor")
         again = width < units.size and bool(crowded.take(1))
         if again:
             crowded = stage(crowded, "crowded")

@@ -61,7 +61,7 @@ def resolve(parts: list[np.ndarray], n: np.ndarray, copies: np.ndarray, size: in
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def substring_dedup(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "doc_id", text_col: str = "text", crowd: int = 256, texts: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "doc_id", text_col: str = "text", crowd: int = repeats.CROWD, texts: bool = True) -> DataFrame:
     """Removes from each text all words that a window of `size` consecutive words covers which also starts anywhere else in the corpus.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged; windows do not cross documents and are judged on the input. Returns one row
@@ -102,7 +102,7 @@ def cut_words(text: np.ndarray, marks, size: int) -> tuple[int, int, str, str]:
     return len(starts), int(gone.sum()), hashlib.sha256(b" ".join(words)).hexdigest(), text[keep].tobytes().decode()
 
 
-def kept_texts(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "doc_id", text_col: str = "text", crowd: int = 256) -> DataFrame:
+def kept_texts(docs: DataFrame, size: int = 35, width: int = 6, id_col: str = "doc_id", text_col: str = "text", crowd: int = repeats.CROWD) -> DataFrame:
     """`docs` with the repeated windows removed from its texts. Rows that lose all their words go; null and blank texts stay as they are."""
     named = docs.withColumns(base.key_columns(id_col, text_col))
     found = repeats.spans(base.keyed(docs, id_col, text_col), repeats.Units("words", size, width), resolve, crowd)

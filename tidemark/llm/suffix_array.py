@@ -147,7 +147,7 @@ def resolve(parts: list[np.ndarray], n: np.ndarray, copies: np.ndarray, size: in
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:int,end:int>>"
 
 
-def suffix_array_dedup(docs: DataFrame, size: int = 400, width: int = 64, id_col: str = "doc_id", text_col: str = "text", crowd: int = 256, texts: bool = True) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, size: int = 400, width: int = 64, id_col: str = "doc_id", text_col: str = "text", crowd: int = repeats.CROWD, texts: bool = True) -> DataFrame:
     """Removes from each text all bytes that a string of `size` bytes covers which also starts anywhere else in the corpus.
 
     Strings do not cross documents and may overlap; they are judged on the input. Returns one row for each input row: doc_id,
