@@ -52,13 +52,19 @@ def schedule(quota: DataFrame, period: int) -> DataFrame:
 def block_of(docs: DataFrame, block: int, id_col: str, source_col: str, text_col: str, buckets_hex: int = 4) -> DataFrame:
     """All columns of `docs` with _source, _order, _start (bytes of the source before it) and _block. The order within a source is that of the md5 of the ids, and of the texts where ids are null.
 
-    Running sums are taken within parts of a source (first hex digits of the md5), then over the parts, so that a source may hold any share of the rows.
+    Running sums are taken within parts of a source (first hex digits of the md5), over the parts with the same first half of these digits, and
+    over these halves, so that a source may hold any share of the rows: of the last two no window holds more than 16 ** (buckets_hex / 2) rows.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("")).cast("binary"))
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
     rows = docs.withColumns({"_source": F.col(source_col).cast("string"), "_order": key, "_size": size}).withColumn("_part", F.substring("_order", 1, buckets_hex))
     sums = rows.groupBy("_source", "_part").agg(F.sum("_size").alias("_sum"))
-    before = sums.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), (F.sum("_sum").over(Window.partitionBy("_source").orderBy("_part")) - F.col("_sum")).alias("_before"))
+    parts = sums.withColumn("_head", F.substring("_part", 1, buckets_hex // 2))
+    heads = parts.groupBy("_source", "_head").agg(F.sum("_sum").alias("_all"))
+    ahead = heads.select(F.col("_source").alias("_hs"), F.col("_head").alias("_hh"), (F.sum("_all").over(Window.partitionBy("_source").orderBy("_head")) - F.col("_all")).alias("_ahead"))
+    within = parts.withColumn("_in", F.sum("_sum").over(Window.partitionBy("_source", "_head").orderBy("_part")) - F.col("_sum"))
+    both = within.join(ahead, within["_source"].eqNullSafe(ahead["_hs"]) & (within["_head"] == ahead["_hh"]))
+    before = both.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), (F.col("_ahead") + F.col("_in")).alias("_before"))
     # order and text decide between rows with the same id; rows that are alike may take either place
     inside = Window.partitionBy("_source", "_part").orderBy("_order", F.col(text_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_start", F.sum("_size").over(inside) - F.col("_size"))
