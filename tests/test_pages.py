@@ -232,6 +232,15 @@ def test_corpus_check(spark, repository):
     assert corpus.context("engine", 500).count() == 1 and corpus.cost().count() == 0
 
 
+def test_links_of_a_site(spark):
+    rows = [("s", "docs/guide/start.md", "doc", "[a](../setup/) [b](/guide/deep) [c](/api/made) [d](/blog/made/) [e](no.md) [f](more)"), ("s", "docs/setup.md", "doc", "x"), ("s", "docs/guide/deep/index.md", "doc", "x")]
+    rows += [("t", "docs/a.md", "doc", "[a](/setup/) [b](/api/made)"), ("s", "docs/guide/start/more.png", "code", "")]
+    files = spark.createDataFrame(rows, "repo string, path string, kind string, text string")
+    got = {(r.repo, r.path, r.rule, r.severity, r.claim) for r in Corpus(files).check(groups=["paths"]).collect()}
+    site = {("s", "docs/guide/start.md", "link-unverified", "info", "/api/made, /blog/made/"), ("s", "docs/guide/start.md", "link-broken", "error", "no.md"), ("s", "docs/guide/start.md", "link-broken", "error", "more")}
+    assert got == site | {("t", "docs/a.md", "link-broken", "error", "/setup/"), ("t", "docs/a.md", "link-broken", "error", "/api/made")}
+
+
 def test_corpus_check_with_history(spark, repository, tmp_path):
     """Two trees: what one has proves nothing for the other."""
 

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import messages
-from .functions.paths import ancestors, dirname, glob_regex, joined
+from .functions.paths import ancestors, dirname, glob_regex, joined, suffixes
 from .functions.text import is_acknowledged, token_estimate
-from .operators import claims, documents, findings, guards, markdown, resolve, shell, verdicts
+from .operators import claims, documents, findings, guards, markdown, places, resolve, shell, verdicts
 from .operators.history import last_times
 from .operators.inventory import is_agent_file
 from .sources import git, manifests
@@ -115,6 +115,22 @@ class Corpus:
         found = tried.join(self._there().withColumn("hit", F.lit(True)), ["repo", "candidate"], "left").groupBy(*KEYS, "candidates").agg(F.max("hit").alias("hit"))
         return found.filter("hit IS NULL").drop("hit").filter(~((F.col("kind") == "link") & verdicts.is_web_route(F.col("path"), F.col("text"))))
 
+    def _served(self, lost: DataFrame) -> DataFrame:
+        """Those of the broken links that a built site serves: from its root by the ending of a file's path, else from the page's folder or the folder that a site gives the page."""
+        bare = F.regexp_replace(F.regexp_replace("target", "^/+|/+$", ""), r"\.html?$", "")
+        links = lost.filter("kind = 'link' AND target <> ''").withColumns({"_bare": bare, "_rooted": F.col("target").startswith("/"), "_d": dirname(F.col("path"))})
+        links = links.filter(F.col("_rooted") | places.is_site_address(F.col("target")) | F.col("target").rlike(r"\.html?$"))
+        stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
+        own = F.when(F.lower(stem).isin("index", "readme"), F.col("_d")).otherwise(joined(F.col("_d"), stem))
+        spots = F.when(F.col("_rooted"), F.array("_bare")).otherwise(F.array(joined(F.col("_d"), F.col("_bare")), joined(own, F.col("_bare"))))
+        pages = F.flatten(F.transform(spots, lambda p: F.array(*(F.concat(p, F.lit(e)) for e in places.PAGE_ENDINGS))))
+        names = F.when(F.col("_rooted"), F.array_append(pages, F.col("_bare"))).otherwise(pages)
+        asked = links.select(*KEYS, "_rooted", F.explode(names).alias("_name"))
+        by_end = self.files.select("repo", F.explode(suffixes(F.col("path"))).alias("_name")).distinct()
+        rooted = asked.filter("_rooted").join(by_end, ["repo", "_name"], "left_semi")
+        near = asked.filter("NOT _rooted").join(self.files.select("repo", F.col("path").alias("_name")), ["repo", "_name"], "left_semi")
+        return rooted.unionByName(near).select(*KEYS).distinct()
+
     def _paths(self, made: DataFrame, said: DataFrame) -> DataFrame:
         lost = self._written(self._unresolved(made)).join(said, ["doc", "line"], "left").withColumn("line_text", F.coalesce("line_text", F.lit(""))).persist()
         real = self.files.select("repo", F.lower("path").alias("_low"))
@@ -125,13 +141,20 @@ class Corpus:
         judged = judged.withColumn("_at", F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("\u0001")), F.get("candidates", F.lit(0)))).join(near.select(F.col("target").alias("_at"), F.col("name").alias("near")), "_at", "left")
         first = self.files.select("repo", F.substring_index("path", "/", 1).alias("_first")).distinct().withColumn("here", F.lit(True))
         judged = judged.withColumn("_first", F.substring_index(F.get("candidates", F.size("candidates") - 1), "/", 1)).join(first, ["repo", "_first"], "left")
+        # a link that a site serves is no broken one, and proves that its tree is a site, which makes pages of its own
+        served = self._served(lost).withColumn("served", F.lit(True)).persist()
+        judged = judged.join(served, KEYS, "left").join(served.select("repo", F.col("served").alias("site")).distinct(), "repo", "left").filter("served IS NULL")
         ruled = verdicts.path_rules(judged.withColumn("agent", is_agent_file(F.col("path"))).withColumn("names_target", F.coalesce(verdicts.names_target(F.col("line_text"), F.col("moved_to")), F.lit(False))))
         never = F.col("rule") == "path-missing"
         link, said_so = F.col("kind") == "link", is_acknowledged(F.col("line_text"))
         rule = F.when(link, F.when(F.col("case"), "link-case").otherwise("link-broken")).when(never & F.col("near").isNotNull(), "path-typo").otherwise(F.col("rule"))
         severity = F.when(link, F.when(said_so, "info").when(F.col("case"), "warning").otherwise("error")).when(never & F.col("near").isNotNull(), "warning").otherwise(F.col("severity"))
         told = link | ~never | F.col("near").isNotNull() | (F.col("here") & verdicts.may_be_told(F.col("line_text"), F.col("target")))
-        return ruled.filter(told).select(*KEYS, rule.alias("rule"), severity.alias("severity"))
+        unsure = link & F.coalesce("site", F.lit(False)) & ~F.col("ever") & F.col("case").isNull() & (F.col("target").startswith("/") | places.is_site_address(F.col("target")))
+        out = ruled.filter(told).withColumns({"rule": F.when(unsure, "link-unverified").otherwise(rule), "severity": severity}).select(*KEYS, "rule", "severity").persist()
+        notes = self._placed(places.collapsed_site_links(out.filter("rule = 'link-unverified'").select("doc", "line", F.col("text").alias("dest"))))
+        notes = notes.withColumns({"col": F.lit(1), "kind": F.lit("link"), "text": F.col("examples"), "target": F.lit("")}).select(*KEYS, F.lit("link-unverified").alias("rule"), F.lit("info").alias("severity"))
+        return out.filter("rule <> 'link-unverified'").unionByName(notes)
 
     def _judged(self, lost: DataFrame) -> DataFrame:
         """What history says of the candidates of each lost claim: then, now, ever, and where it went."""
