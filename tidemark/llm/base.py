@@ -174,9 +174,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (byte positions) of the words `[^\\x20\\x09-\\x0D]+`, and for each row the number of its first word (n + 1 entries). Words end at row ends."""
-    inside = ~SPACE[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (byte positions) of the words, `[^\\x20\\x09-\\x0D]+` unless other bytes break them, and for each row the number of its first word (n + 1 entries). Words end at row ends."""
+    inside = ~breaks[raw]
     before = np.zeros(len(raw), bool)
     before[1:] = inside[:-1]
     after = np.zeros(len(raw), bool)

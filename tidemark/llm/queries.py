@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import ORACLE as AUDIT_SQL
+from .audit import filter_audit
 from .base import table
 from .fertility import fertility_rules
 from .jaccard import near_duplicates
 from .langid import languages
+from .lines import ORACLE as LINES_SQL
+from .lines import line_dedup
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mix_sources
 from .neighbours import nearest
 from .packing import best_fit_packing
 from .quality import quality_scores
+from .search import ORACLE as SEARCH_SQL
+from .search import lexical_search
 from .substring import substring_dedup
 from .suffix_array import suffix_array_dedup
 from .warc import warc_round_trip
@@ -62,6 +68,18 @@ def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility, op2_quality_discriminant, op8_rank_order_language, op7_ngram_jaccard_join, op9_pfair_mixing, op3_multiprobe_neighbours, op4_warc_bundles)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"), texts=False)
 
-ORACLES: dict[str, str] = {"op9_pfair_mixing": MIXING_SQL}
+
+def op12_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_array_dedup, op5_substring_dedup, op6_best_fit_packing, op10_tokeniser_fertility, op2_quality_discriminant, op8_rank_order_language, op7_ngram_jaccard_join, op9_pfair_mixing, op3_multiprobe_neighbours, op4_warc_bundles, op11_line_dedup, op12_maxscore_search, op13_filter_audit)}
+
+ORACLES: dict[str, str] = {"op9_pfair_mixing": MIXING_SQL, "op11_line_dedup": LINES_SQL, "op12_maxscore_search": SEARCH_SQL, "op13_filter_audit": AUDIT_SQL}
