@@ -12,7 +12,7 @@ COLUMNS = ("part", "filter_order", "step", "kept", "removed", "redundant", "uniq
 
 
 def brute(docs, labels):
-    good, toxic = {d for d, q, _ in labels if q == 1}, {d for d, _, t in labels if t == 1}
+    good, toxic = {d for d, q, _ in labels if q == 1} - {None}, {d for d, _, t in labels if t == 1} - {None}
     judged = []
     for i, lang, text in docs:
         text = text or ""

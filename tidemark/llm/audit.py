@@ -38,7 +38,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(part, good, toxic, A, B, C, D, E) of each row: what it fails, of the five filters. No text leaves the scan.
 
     E is failed by a row whose text a smaller id has too. A null text is empty; a null id is neither smaller nor larger than another, so
-    such a row does not fail E; a row is good or toxic if any label of its id says so.
+    such a row does not fail E; a row is good or toxic if any label of its id says so, and a label without an id says nothing.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = source.select("id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), *(c.alias(name) for name, c in text_failures(F.col("text")).items()))
