@@ -38,10 +38,11 @@ def repeated_lines(docs: DataFrame, at_least: int, min_chars: int, id_col: str,
     doc = F.struct(F.col("id").isNotNull().alias("has"), "k1", F.when(F.col("id").isNull(), F.col("k2")).otherwise(0).alias("k2"))
     each = rows.select(doc.alias("doc"), "k1", "k2", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("line", line_key(F.col("line")))
     lines = each.filter(F.char_length("line") >= min_chars).select(F.unhex(F.md5("line")).alias("key"), "doc", "k1", "k2", "pos")
-    often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= at_least).select("key")
+    # both counts are written first: then either side of the joins is a plain exchange, and Spark can split a key that many lines have
+    often = stage(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= at_least).select("key"), "often")
     found = stage(lines.join(often, "key"), "lines")
     holders = found.select("key", "doc").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("keeper"))
-    lost = found.join(holders.filter(F.col("docs") >= at_least), "key").filter(F.col("doc") != F.col("keeper"))
+    lost = found.join(stage(holders.filter(F.col("docs") >= at_least), "holders"), "key").filter(F.col("doc") != F.col("keeper"))
     return lost.select("k1", "k2", "pos")
 
 
@@ -56,8 +57,8 @@ def line_dedup(docs: DataFrame, at_least: int = 3, min_chars: int = 20, texts: b
     lost = repeated_lines(docs, at_least, min_chars, id_col, text_col).groupBy("k1", "k2").agg(F.collect_set("pos").alias("lost"))
     key = key_columns(id_col, text_col)
     rows = docs.select(key["_k1"].alias("k1"), key["_k2"].alias("k2"), F.col(id_col).cast("long").alias("doc_id"), lines_of(F.col(text_col).cast("string")).alias("lines"))
-    # the lines are made below the join, so that they are made once a row
-    joined = rows.join(lost, ["k1", "k2"], "left")
+    # the lines are made below the join, so that they are made once a row; texts are shuffled once, at any size
+    joined = rows.join(lost.hint("merge"), ["k1", "k2"], "left")
     stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     kept = F.when(F.col("lost").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stays, lambda i: F.get("lines", i)), "\n"))
     out = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
