@@ -42,8 +42,8 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = source.select("id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), *(c.alias(name) for name, c in text_failures(F.col("text")).items()))
-    # only texts that stand twice need the join
-    firsts = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    # only texts that stand twice need the join; they are written first, so that Spark can split the rows of a text that many have
+    firsts = stage(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "firsts")
     known = labels.filter((F.col("quality") == 1) | (F.col("toxic") == 1)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
     told = rows.join(firsts, "digest", "left").join(known, "id", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
