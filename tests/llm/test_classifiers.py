@@ -16,8 +16,8 @@ SF = "/root/testdata/sf0.01"
 def test_discriminant_is_the_difference_of_log_densities():
     rng = np.random.default_rng(0)
     x = [rng.normal(size=(200, 3)) @ rng.normal(size=(3, 3)) + 1, rng.normal(size=(300, 3)) * [1, 2, 0.5]]
-    n, sums = np.array([200.0, 300.0]), np.stack([a.sum(0) for a in x])
-    model = quality.Discriminant.fit(n, sums, np.stack([a.T @ a for a in x]), 0.2, 0.01)
+    n, means, within = np.array([200.0, 300.0]), np.stack([a.mean(0) for a in x]), np.stack([(a - a.mean(0)).T @ (a - a.mean(0)) for a in x])
+    model = quality.Discriminant.fit(n, means, within, 0.2, 0.01)
     pooled = sum((a - a.mean(0)).T @ (a - a.mean(0)) for a in x) / 498
     density = []
     for k, a in enumerate(x):
@@ -25,7 +25,59 @@ def test_discriminant_is_the_difference_of_log_densities():
         d = x[1] - a.mean(0)
         density.append(math.log(n[k] / 500) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
     assert np.allclose(model.score(x[1]), 1 / (1 + np.exp(density[0] - density[1])))
-    assert quality.Discriminant.fit(np.array([1.0, 3.0]), sums, np.zeros((2, 3, 3)), 0.1, 0.1).score(x[0])[0] == 0.75
+    assert quality.Discriminant.fit(np.array([1.0, 3.0]), means, np.zeros((2, 3, 3)), 0.1, 0.1).score(x[0])[0] == 0.75
+
+
+def test_classes_of_identical_documents(spark):
+    """Nothing varies but rounding: the ridge keeps the covariances positive definite."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for k in range(6):
+        text = " ".join(rng.choice(["alpha", "be", "Gamma", "delta,", "e|f", "12"], rng.integers(3, 300)))
+        rows += [(k * 1000 + i, text) for i in range(400)]
+        labels += [(k * 1000 + i, k % 2) for i in range(400)]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    for some in ("doc_id < 2000", "doc_id < 4000", "doc_id >= 4000"):
+        got = quality.quality_scores(docs.filter(some), told.filter(some)).collect()
+        y = dict(labels)
+        assert all(r.predicted == y[r.doc_id] for r in got), some
+    statistics = [quality.statistics(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in {t for _, t in rows}]
+    for copies in (200, 3000):
+        for x in statistics:
+            same = np.repeat(x, copies, 0)
+            means = same.sum(0)[None] / copies
+            part = ((same - means).T @ (same - means))[None]
+            quality.Discriminant.fit(np.array([copies, copies]), np.repeat(means, 2, 0), np.repeat(part, 2, 0), 0.1, 1e-4)
+
+
+def plain_statistics(text):
+    """The 14 statistics of one text, by loops over words and characters."""
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text) if w]
+    chars, lines, size = sum(map(len, words)), text.split("\n"), len(text.encode())
+    grams = Counter(zip(words, words[1:], words[2:]))
+    again = sum(any(0 <= k <= len(words) - 3 and grams[tuple(words[k : k + 3])] > 1 for k in (i - 2, i - 1, i)) for i in range(len(words)))
+    seen, dup = set(), 0
+    for line in lines:
+        dup += line in seen
+        if line.strip(" \t\r\x0b\x0c"):
+            seen.add(line)
+    upper = sum("A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" for c in text)
+    letters = sum(c.isascii() and c.isalpha() or 0xC3 <= b < 0xF5 for c in text for b in c.encode()[:1]) or 1
+    root, n, some = math.sqrt, max(len(words), 1), max(chars, 1)
+    count = lambda kinds: sum(text.count(c) for c in kinds)
+    return [
+        math.log1p(len(words)), math.log1p(chars / n), root(count("#*$%&|<>") / some), root(upper / letters), root(text.count("!") / some), root(text.count("|") / some),
+        root(sum(a == b for a, b in zip(words, words[1:])) / n), math.log1p(len(set(words))) / math.log(n + 2), root(again / n), root(dup / len(lines)),
+        math.log1p(max(size, 1) / len(lines)), root(count(".,;:?'\"()[]-") / some), root(count("0123456789") / some), root(sum(len(w.encode()) <= 3 for w in words) / n),
+    ]
+
+
+def test_statistics_like_loops(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts = sorted(texts, key=len)[:150] + ["", " \n ", "a a a\na a a\n\n", "ÀÉ ß", "日本 x!|"]
+    raw = [t.encode() for t in texts]
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.allclose(got, [plain_statistics(t) for t in texts])
 
 
 def test_quality_held_out_accuracy(spark):

@@ -68,3 +68,21 @@ def test_few_vectors(spark):
     assert [r.vec_id for r in nearest(df).collect()] == [2, 1]
     assert nearest(df.filter("vec_id = 0")).count() == 0
     assert nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("pairs", [1 << 15, 7])
+def test_many_ties_go_to_the_smaller_ids(spark, monkeypatch, pairs):
+    """One direction at many lengths: every cosine is the same, the vectors are not. A short vector with the smallest id changes nothing."""
+    monkeypatch.setattr(neighbours, "PAIRS", pairs)
+    v = [0.3, -1.7, 0.9, 2.2]
+    rows = [(i, [x * 2.0 ** (i % 40 - 20) * (1 + i // 40) for x in v]) for i in range(60)] + [(-1, [1.0])]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    same = brute([r for r in rows if r[0] >= 0], 5, 50)
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in same.items()}
+    power = [(i, [x * 2.0 ** (i - 30) for x in v]) for i in range(60)]
+    got = {}
+    for r in nearest(spark.createDataFrame(power, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: sorted(x) for q, x in got.items()} == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}

@@ -1,6 +1,6 @@
 """Operator 3: approximate nearest neighbours by multiprobe p-stable hashing.
 
-All distinct directions go into some tables of cells (p-stable Gaussian projections of the unit vectors, cut to cells). A query visits in each
+All distinct vectors go into some tables of cells (p-stable Gaussian projections of the unit vectors, cut to cells). A query visits in each
 table its own cell and then perturbed ones in the order of their estimated success. In each cell that queries visit, all of its vectors
 are ranked exactly and the best leave it; the candidates of all cells are merged. Queries that find too few are compared with all vectors.
 
@@ -18,6 +18,7 @@ from .base import small_side, stage
 from .probing import Tables, probes
 
 CELL_ROWS = 4096  # vectors, and queries, of a cell compared in one group
+PAIRS = 1 << 15  # compared exactly at once
 
 
 def _vectors(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
@@ -116,15 +117,21 @@ def ranked(there: DataFrame, asked: DataFrame, group: list[str], dimension: int,
         x, kinds = _vectors(left.column("v"), dimension), left.column("kind").to_numpy()
         unit = x / np.sqrt((x * x).sum(1, keepdims=True))
         out: list[tuple] = []
-        n = min(keep + 4, len(x))
+        n, slack = min(keep, len(x)), 8 * dimension * np.finfo(float).eps  # more than the product's rounding
         queries = right.column("q").to_numpy()
         for i in range(0, right.num_rows, 256):
             y = _vectors(right.column("v").slice(i, 256), dimension)
-            near = np.argpartition(-(y @ unit.T), n - 1, axis=1)[:, :n]
-            score = cosines(np.repeat(y, n, 0), x[near.ravel()]).reshape(near.shape)
-            order = np.lexsort((kinds[near], -score), axis=1)[:, :keep]
-            take = np.take_along_axis(near, order, 1)
-            out.append((np.repeat(queries[i : i + 256], take.shape[1]), kinds[take].ravel(), np.take_along_axis(score, order, 1).ravel()))
+            about = (y / np.sqrt((y * y).sum(1, keepdims=True))) @ unit.T
+            # all that the product cannot tell from the n-th best are compared exactly, ties of any number included
+            inside = about >= np.partition(about, len(x) - n, axis=1)[:, len(x) - n, None] - slack
+            cuts = np.flatnonzero(np.diff(np.cumsum(inside.sum(1)) // PAIRS, prepend=-1)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(y)], strict=True):
+                who, near = np.nonzero(inside[a:b])
+                score = cosines(y[a:b][who], x[near])
+                order = np.lexsort((kinds[near], -score, who))
+                who = who[order]
+                order = order[np.arange(len(who)) - np.searchsorted(who, who) < n]
+                out.append((queries[i + a : i + b][np.sort(who)[np.arange(len(who)) - np.searchsorted(who, who) < n]], kinds[near[order]], score[order]))
         return pa.table({name: pa.array(np.concatenate(v)) for name, v in zip(("q", "kind", "score"), zip(*out, strict=True), strict=True)})
 
     return there.groupBy(*group).cogroup(asked.groupBy(*group)).applyInArrow(rank, FOUND)
@@ -138,12 +145,13 @@ def best(found: DataFrame, keep: int) -> DataFrame:
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", count: int = 8, width: int = 8, side: float = 2.3, most: int = 50, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` vectors with the largest cosine found for each vector whose id is divisible by `every`, itself left out; ties go to the smaller id.
 
-    Vectors that are null, zero, of another length than the first one by id, or hold null or non-finite components take no part, nor do null ids. Equal
+    Vectors that are null, zero, of another length than most (of equals the shorter), or hold null or non-finite components take no part, nor do null ids. Equal
     vectors are one *kind* in the index, with its k + 1 smallest ids, as no others can be among the best k; rows with the
     same id and vector count once. Each query gets min(k, others) rows; an empty table gives an empty result; other columns are ignored.
     """
-    first = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.min_by(F.size(vector_col), id_col)).first()[0]
-    dimension = int(first or 1)
+    lengths = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).groupBy(F.size(vector_col).alias("d")).count()
+    commonest = lengths.orderBy(F.desc("count"), "d").first()
+    dimension = int(commonest["d"]) if commonest else 1
     all_ = valid(vectors, id_col, vector_col, dimension)
     kinds = stage(all_.groupBy("v").agg(F.min("id").alias("kind")), "kinds")
     asked = all_.filter(F.col("id") % every == 0).distinct()

@@ -85,14 +85,12 @@ class Discriminant:
     plain: float
 
     @staticmethod
-    def fit(n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shrink: float, ridge: float) -> Discriminant:
-        """From each class's number of rows, sums and sums of outer products."""
+    def fit(n: np.ndarray, means: np.ndarray, within: np.ndarray, shrink: float, ridge: float) -> Discriminant:
+        """From each class's number of rows, mean and sum of outer products of deviations from it. Classes of identical rows have none; the ridge alone is their covariance."""
         plain = float(n[1] / n.sum()) if n.sum() else 0.5
-        d = sums.shape[1]
+        d = means.shape[1]
         if min(n) < 2:
             return Discriminant(None, None, (0.0, 0.0), plain)
-        means = sums / n[:, None]
-        within = squares - n[:, None, None] * means[:, :, None] * means[:, None, :]
         pooled = within.sum(0) / (n.sum() - 2)
         unit = np.eye(d) * (np.trace(pooled) / d + 1e-9)
         factors, constants = [], []
@@ -128,24 +126,30 @@ def matrix(column: pa.Array, d: int = len(STATISTICS)) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def moments(rows: DataFrame, d: int = len(STATISTICS)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of rows, sums and sums of outer products of the classes of `rows` (x, y), summed where the rows are."""
+def _summed(rows: DataFrame, size: int, of_class) -> np.ndarray:
+    """For both classes of `rows` (x, y), the sum of the `size` numbers that `of_class` (class, its rows) makes, added up where the rows are."""
 
     def of(batches):
-        total = np.zeros((2, 1 + d + d * d))
+        total = np.zeros((2, size))
         for batch in batches:
             x, y = matrix(batch.column("x")), batch.column("y").to_numpy()
             for k in (0, 1):
-                mine = x[y == k]
-                total[k] += np.concatenate([[len(mine)], mine.sum(0), (mine.T @ mine).ravel()])
+                total[k] += of_class(k, x[y == k])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["y", "v"])
 
     parts = rows.select("x", F.col("y").cast("int").alias("y")).mapInArrow(of, "y int, v array<double>")
-    sums = parts.select("y", F.posexplode("v")).groupBy("y", "pos").agg(F.sum("col").alias("v"))
-    total = np.zeros((2, 1 + d + d * d))
-    for r in sums.collect():  # two classes, a fixed number of moments
-        total[r["y"], r["pos"]] = r["v"]
-    return total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d)
+    out = np.zeros((2, size))
+    for r in parts.select("y", F.posexplode("v")).groupBy("y", "pos").agg(F.sum("col").alias("v")).collect():  # two classes, a fixed number of sums
+        out[r["y"], r["pos"]] = r["v"]
+    return out
+
+
+def moments(rows: DataFrame, d: int = len(STATISTICS)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of rows, means and sums of outer products of deviations of the classes of `rows` (x, y). Means come first: sums of squares that are not centred would cancel to noise."""
+    sums = _summed(rows, 1 + d, lambda _, x: np.concatenate([[len(x)], x.sum(0)]))
+    n, means = sums[:, 0], sums[:, 1:] / np.maximum(sums[:, :1], 1)
+    within = _summed(rows, d * d, lambda k, x: ((x - means[k]).T @ (x - means[k])).ravel())
+    return n, means, within.reshape(2, d, d)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, shrink: float = 0.1, ridge: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -153,12 +157,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
 
     All labelled rows outside of the held-out fold (crc32 of the id as text, modulo `folds`, is 0) are learned from. Labels other than 0 and 1
     and null ids teach nothing; a null id is not held out; a null text is empty and gets the score of its statistics; a document
-    that stands twice or has two labels counts as often; with fewer than two rows of a class the score is the share of label 1 (0.5
+    that stands twice or has two labels counts as often, and classes of identical texts are no less defined; with fewer than two rows of a class the score is the share of label 1 (0.5
     without labels); an empty table gives an empty result; other columns are ignored.
     """
     known = stage(document_statistics(docs, id_col, text_col), "statistics")
     told = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
-    model = Discriminant.fit(*moments(known.join(told.filter(crc32_mod(F.col("doc_id"), folds) != 0), "doc_id")), shrink, ridge)
+    lessons = stage(known.join(told.filter(crc32_mod(F.col("doc_id"), folds) != 0), "doc_id").select("x", "y"), "lessons")
+    model = Discriminant.fit(*moments(lessons), shrink, ridge)
 
     def of(batches):
         for batch in batches:
