@@ -149,3 +149,14 @@ def test_crowded_anchors_are_widened(spark):
     for crowd in (30, 500, repeats.CROWD):
         got = suffix_array_dedup(df, size=24, width=6, crowd=crowd).collect()
         assert key([tuple(r)[:5] for r in got]) == key(brute_bytes(rows, 24))
+
+
+@pytest.mark.parametrize("name,operator", [("suffix_array", suffix_array_dedup), ("substring", substring_dedup)])
+def test_the_resolver_decides(spark, monkeypatch, name, operator):
+    """Where an anchor has different contexts, nothing but the suffix array or the tree says which windows repeat."""
+    df = spark.createDataFrame(corpus(1, alphabet="ab \n"), "doc_id long, text string").repartition(3)
+    removed = lambda: sorted(map(repr, ((r.doc_id, r.n_removed) for r in operator(df, size=6, width=3, texts=False).collect())))
+    true = removed()
+    for answer in (True, False):
+        monkeypatch.setattr({"suffix_array": suffix_array, "substring": substring}[name], "resolve", lambda parts, n, copies, size, answer=answer: [np.full(k, answer) for k in n])
+        assert removed() != true

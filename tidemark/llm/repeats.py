@@ -180,7 +180,7 @@ def contexts(rows: DataFrame, kinds: DataFrame, units: Units) -> DataFrame:
     return rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(lambda b: _stretches(_one_of_alike(b), units, emit), CONTEXTS)
 
 
-def compared(found: DataFrame, units: Units, resolve: Resolver, limit: int = 1 << 21) -> DataFrame:
+def compared(found: DataFrame, units: Units, resolve: Resolver, limit: int = 1 << 20) -> DataFrame:
     """Marks: stretches of repeated windows, counted from a context's first window. All contexts of an anchor are compared together, and many anchors at a time."""
     kind = np.uint8 if units.kind == "bytes" else U64
 
@@ -223,50 +223,16 @@ def runs(flags: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(parts: list[np.ndarray], n: np.ndarray, copies: np.ndarray, size: int, resolve: Resolver) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, first window, windows) of the repeated stretches. Windows whose hash is alone are left out before the resolver looks, and what is left is taken once for each content."""
-    whole = np.concatenate(parts)
-    as_units = base.BYTE_UNITS[whole] if whole.dtype == np.uint8 else whole
-    begin = np.cumsum([0, *map(len, parts)])[:-1]
-    owner = np.repeat(np.arange(len(parts)), n)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    hashes = Poly(as_units, BASE_A).windows(size)[begin[owner] + inner]
-    order = np.argsort(hashes)
-    ranked = hashes[order]
-    same = np.zeros(len(ranked) + 1, bool)
-    same[1:-1] = ranked[1:] == ranked[:-1]
-    maybe = np.zeros(len(ranked), bool)
-    maybe[order] = same[1:] | same[:-1]
-    maybe |= copies[owner] >= 2
-    del order, ranked, same, hashes
-    a, b = runs(maybe, np.cumsum(n) - n)
-    if not len(a):
-        return a, a, a
-    who, first, length = owner[a], inner[a], b - a
-    at = begin[who] + first
-    content = Poly(as_units, BASE_B).of(at, at + length + size - 1)
-    one, back = _distinct(content, length)
-    times = np.bincount(back, weights=copies[who], minlength=len(one)).astype(np.int64)
-    got = resolve([whole[at[k] : at[k] + length[k] + size - 1] for k in one], length[one], times, size)
+    """(context, first window, windows) of the stretches that the resolver finds repeated."""
     out: list[list[np.ndarray]] = [[], [], []]
-    stretches = [runs(flags, np.zeros(0, np.int64)) for flags in got]
-    for i, k in enumerate(back):
-        x, y = stretches[k]
-        out[0].append(np.full(len(x), who[i]))
-        out[1].append(first[i] + x)
+    for i, flags in enumerate(resolve(parts, n, copies, size)):
+        x, y = runs(flags, np.zeros(0, np.int64))
+        out[0].append(np.full(len(x), i))
+        out[1].append(x)
         out[2].append(y - x)
     return tuple(np.concatenate(v) for v in out)  # type: ignore[return-value]
 
 
-def _distinct(content: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First run of each kind, and the kind of each run."""
-    order = np.lexsort((length, content))
-    new = np.ones(len(order), bool)
-    new[1:] = (content[order][1:] != content[order][:-1]) | (length[order][1:] != length[order][:-1])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return order[new], back
-
-
 def rewidened(rows: DataFrame, occ: DataFrame, units: Units, width: int) -> DataFrame:
     """The windows of the chunks `occ` as chunks by anchors of `width` units."""
     wanted = occ.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
