@@ -1,14 +1,19 @@
-"""python -m tidemark check|claims|context|cost FOLDER [...]: the corpus questions on folders of this machine."""
+"""python -m tidemark check|claims|context|cost|impact FOLDER [...]: the corpus questions on folders of this machine."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
+from pyspark.sql import functions as F
+
 from .config import load
 from .corpus import Corpus
+from .functions import messages
 from .operators import findings, reports
 from .session import local_session
+from .sources import git
 
 
 def named(folders: list[str]) -> dict[str, str]:
@@ -20,10 +25,11 @@ def named(folders: list[str]) -> dict[str, str]:
 def main(argv: list[str] | None = None) -> int:
     """0: fine; 1: findings of at least the failing severity; 2: wrong use."""
     p = argparse.ArgumentParser(prog="tidemark")
-    p.add_argument("command", choices=["check", "claims", "context", "cost"])
+    p.add_argument("command", choices=["check", "claims", "context", "cost", "impact"])
     p.add_argument("folders", nargs="+")
     p.add_argument("--query", default="")
     p.add_argument("--budget", type=int, default=2000)
+    p.add_argument("--since", default="HEAD", help="revision that impact compares the working tree with")
     p.add_argument("--all", action="store_true", help="show guesses as they are")
     p.add_argument("--history", action="store_true", help="read git histories, as proof")
     p.add_argument("--lang", choices=["en", "vi"], help="language of the messages")
@@ -36,6 +42,12 @@ def main(argv: list[str] | None = None) -> int:
     settings = load(a.folders[0])
     corpus = Corpus.from_folders(spark, named(a.folders), history=a.history, live=settings.live, plans=settings.plans)
     corpus.history = settings.history
+    if a.command == "impact":
+        told = corpus.impact(git.read(spark, named(a.folders), "base", since=a.since)).persist()
+        shown = told.orderBy("late", "repo", "path", "line", "term").withColumn("said", messages.lost(*(F.col(c) for c in ("kind", "term", "file", "note")), a.lang or settings.lang))
+        for r in shown.toLocalIterator():
+            print(json.dumps(r.asDict(), ensure_ascii=False) if a.format == "json" else f"{r.path}:{r.line}{' (plan)' if r.late else ''}  {r.said}")
+        return int(bool(told.filter("NOT late").take(1)))
     if a.command != "check":
         table = {"claims": corpus.claims, "cost": corpus.cost, "context": lambda: corpus.context(a.query, a.budget)}[a.command]()
         for r in table.toLocalIterator():

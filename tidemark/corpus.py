@@ -17,6 +17,7 @@ from .functions import messages
 from .functions.paths import ancestors, dirname, glob_regex, joined, suffixes
 from .functions.text import is_acknowledged, token_estimate
 from .operators import claims, documents, findings, guards, markdown, places, resolve, shell, verdicts
+from .operators import impact as impacts
 from .operators.history import last_times
 from .operators.inventory import is_agent_file
 from .sources import git, manifests
@@ -56,13 +57,7 @@ class Corpus:
         files = reduce(DataFrame.unionByName, (walk(spark, root, repo) for repo, root in roots.items()))
         if not history:
             return Corpus(files, **settings)
-        git.register(spark)
-        name = F.create_map(*(F.lit(x) for repo, root in roots.items() for x in (root, repo)))
-
-        def read(table: str) -> DataFrame:
-            found = spark.read.format("git_history").option("repos", ",".join(roots.values())).option("table", table).load()
-            return found.withColumn("repo", name[F.col("repo")]).persist()  # asked for by several rules
-
+        read = lambda table: git.read(spark, roots, table).persist()  # noqa: E731 asked for by several rules
         return Corpus(files, read("events"), read("blame"), read("blobs"), **settings)
 
     def documents(self) -> DataFrame:
@@ -362,5 +357,15 @@ class Corpus:
         ranked = documents.bm25(weighted, query).join(weighted.select("section", F.col("text").alias("body")), "section").withColumn("tokens", token_estimate(F.col("body")))
         return documents.context_texts(documents.context_pack(ranked, budget), ranked)
 
+    def impact(self, before: DataFrame) -> DataFrame:
+        """(repo, path, line, term, kind, file, note, late, text): lines of documents that tell of what the code has lost since `before` (repo, path, text: the code at an
+        earlier time, null texts for what has not changed; see the table `base` of the git source). Plans are `late`; histories are not told."""
+        pages = self.pages().persist()
+        lines = self.documents().select("repo", "doc", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("p", "text")).select("repo", "doc", (F.col("p") + 1).alias("line"), "text")
+        spans = markdown.exploded(pages, "spans").select(F.split("doc", SPLIT)[0].alias("repo"), "doc", "line", "text")
+        now = self.files.filter("kind <> 'doc' AND text IS NOT NULL").select("repo", "path", "text")
+        told = impacts.impact(before, now, lines, spans).join(self.kinds(pages), "doc").filter("doc_kind <> 'history'")
+        return self._placed(told).select("repo", "path", "line", "term", "kind", "file", "note", (F.col("doc_kind") == "plan").alias("late"), "text")
+
     def cost(self) -> DataFrame:
         return documents.cost_order(documents.agent_cost(self.files.filter("text IS NOT NULL")))

@@ -45,3 +45,21 @@ def message(rule: Column, claim: Column, lang: str = "en") -> Column:
     at = 1 if lang.lower().startswith("vi") else 0
     texts = F.create_map(*(F.lit(x) for name, both in MESSAGES.items() for x in (name, both[at])))
     return F.coalesce(F.replace(F.get(F.array(texts[rule]), F.lit(0)), F.lit("{}"), claim), F.concat(rule, F.lit(": "), claim))
+
+
+#: What is said of a thing that a change took away: {} is the thing, {0} the file, {1} its new name.
+LOST: dict[str, tuple[str, str]] = {
+    "file-deleted": ("`{}` was deleted", "`{}` đã bị xóa"),
+    "file-renamed": ("`{}` was renamed to `{1}`", "`{}` đã đổi thành `{1}`"),
+    "flag": ("the option `{}` was removed from `{0}` and no code has it any more", "tùy chọn `{}` vừa bị bỏ khỏi `{0}` và không còn trong mã nào"),
+    "symbol": ("the name `{}` was removed from `{0}` and no code has it any more", "tên `{}` vừa bị bỏ khỏi `{0}` và không còn trong mã nào"),
+}
+
+
+def lost(kind: Column, term: Column, file: Column, note: Column, lang: str = "en") -> Column:
+    """The message of a term that a change took away."""
+    at = 1 if lang.lower().startswith("vi") else 0
+    out = F.create_map(*(F.lit(x) for name, both in LOST.items() for x in (name, both[at])))[kind]
+    for mark, value in (("{0}", file), ("{1}", note), ("{}", term)):
+        out = F.replace(out, F.lit(mark), value)
+    return out

@@ -1,14 +1,17 @@
 """Histories of git repositories as a Spark data source, one partition for each repository.
 
-spark.read.format("git_history").option("repos", "a,b").option("table", "events").load(), with tables commits, events, tree, files, ignored, blobs (code at each commit) and blame.
+spark.read.format("git_history").option("repos", "a,b").option("table", "events").load(), with tables commits, events, tree, files, ignored, blobs (code at each commit), blame
+and base (code at the revision of option `since`; texts of what differs from the working tree). `repos` may also be a JSON list, for folders with commas.
 Calls have a time limit; after three that exceed it the rest of a repository is left out, and says so in a row of `unanswered`.
 """
 
 from __future__ import annotations
 
+import json
 import subprocess
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.inventory import CODE, PRIVATE_ENDINGS, PRIVATE_NAMES
@@ -21,6 +24,7 @@ TABLES = {
     "files": "repo string, path string, link boolean, dirty boolean",
     "ignored": "repo string, path string",
     "blobs": "repo string, path string, pos long, sha string, epoch long, text string",
+    "base": "repo string, path string, text string",
     "unanswered": "repo string, calls long",
 }
 MARK, FIELD = "\x1e", "\x1f"
@@ -93,6 +97,11 @@ class Repository:
     def show(self, rev: str, path: str) -> str | None:
         return self.ask("show", f"{rev}:{path}")
 
+    def differing(self, rev: str) -> set[str]:
+        """Paths of `rev` that are not there any more or hold something else in the working tree."""
+        words = (self.ask("diff", "--no-renames", "--name-status", "-z", rev, "--") or "").split("\0")
+        return {path for kind, path in zip(words[::2], words[1::2], strict=False) if kind[:1] in "DMT"}
+
     def is_ancestor(self, old: str, new: str) -> bool:
         return self.ask("merge-base", "--is-ancestor", old, new) is not None
 
@@ -111,7 +120,9 @@ class Repository:
 
 class GitReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.repos = [r.strip() for r in options["repos"].split(",") if r.strip()]
+        given = options["repos"]
+        self.repos = json.loads(given) if given.startswith("[") else [r.strip() for r in given.split(",") if r.strip()]
+        self.since = options.get("since", "HEAD")
         self.table, self.limit = options.get("table", "commits"), float(options.get("timeout", 120))
         self.endings = tuple(options.get("endings", " ".join(CODE)).split())
 
@@ -148,6 +159,11 @@ class GitReader(DataSourceReader):
                 for kind, path, _ in changes:
                     if path.lower().endswith(self.endings) and not private(path):
                         yield name, path, pos, sha.strip(), int(epoch), "" if kind == "D" else repo.show(sha.strip(), path)
+        elif self.table == "base":
+            differing = repo.differing(self.since)
+            for path, mode, _ in repo.tree(self.since):
+                if path.lower().endswith(self.endings) and not private(path) and mode != "120000":
+                    yield name, path, repo.show(self.since, path) if path in differing else None
         elif self.table == "unanswered":
             repo.log()
             yield name, repo.unanswered
@@ -165,5 +181,13 @@ class GitHistory(DataSource):
         return GitReader(dict(self.options))
 
 
+def read(spark: SparkSession, roots: dict[str, str], table: str, **options: str) -> DataFrame:
+    """A table of the histories of `roots` (name: folder), with the names in `repo`."""
+    register(spark)
+    name = F.create_map(*(F.lit(x) for repo, root in roots.items() for x in (root, repo)))
+    found = spark.read.format("git_history").options(repos=json.dumps(list(roots.values())), table=table, **options).load()
+    return found.withColumn("repo", name[F.col("repo")])
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GitHistory)
