@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import messages
 from .functions.paths import ancestors, dirname, glob_regex, joined, suffixes
 from .functions.text import is_acknowledged, token_estimate
-from .operators import claims, documents, findings, guards, markdown, places, resolve, shell, verdicts
+from .operators import claims, documents, findings, guards, markdown, places, resolve, shell, similar, verdicts
 from .operators import impact as impacts
 from .operators.history import last_times
 from .operators.inventory import is_agent_file
@@ -132,8 +132,12 @@ class Corpus:
         each = lost.select(*KEYS, F.explode("candidates").alias("_c")).withColumn("_low", F.lower("_c"))
         spelled = each.filter("kind = 'link'").join(real, ["repo", "_low"]).select(*KEYS).distinct().withColumn("case", F.lit(True))
         judged = self._judged(lost).join(spelled, KEYS, "left").persist()
-        near = resolve.edit_near(judged.filter("kind = 'path' AND NOT ever AND size(candidates) > 0").select(F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("\u0001")), F.get("candidates", F.lit(0))).alias("target")), self.files.select(below("path").alias("path")))
-        judged = judged.withColumn("_at", F.concat_ws("/", F.replace("repo", F.lit("/"), F.lit("\u0001")), F.get("candidates", F.lit(0)))).join(near.select(F.col("target").alias("_at"), F.col("name").alias("near")), "_at", "left")
+        spot = F.get("candidates", F.lit(0))
+        judged = judged.withColumns({"group": F.concat_ws(SPLIT, "repo", dirname(spot)), "wanted": F.substring_index(spot, "/", -1), "folder": F.col("target").endswith("/")})
+        named = self._there().select(F.concat_ws(SPLIT, "repo", dirname(F.col("candidate"))).alias("group"), F.substring_index("candidate", "/", -1).alias("name"), "repo", "candidate")
+        named = named.join(self.files.select("repo", F.col("path").alias("candidate"), F.lit(False).alias("folder")), ["repo", "candidate"], "left").withColumn("folder", F.coalesce("folder", F.lit(True)))
+        near = similar.likely_typos(judged.filter("kind = 'path' AND NOT ever AND size(candidates) > 0"), named)
+        judged = judged.join(near.withColumnRenamed("name", "near"), ["group", "wanted", "folder"], "left").drop("group", "wanted", "folder")
         first = self.files.select("repo", F.substring_index("path", "/", 1).alias("_first")).distinct().withColumn("here", F.lit(True))
         judged = judged.withColumn("_first", F.substring_index(F.get("candidates", F.size("candidates") - 1), "/", 1)).join(first, ["repo", "_first"], "left")
         # a link that a site serves is no broken one, and proves that its tree is a site, which makes pages of its own

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, basename, dirname, joined, suffixes
-from ..functions.similarity import ratio
+from .similar import close_matches
 
 
 def candidates(claims: DataFrame, bases: Column) -> DataFrame:
@@ -43,17 +43,11 @@ def missing(claims: DataFrame, files: DataFrame) -> DataFrame:
     return claims.join(files.select(F.col("path").alias("target")), "target", "left_anti")
 
 
-def siblings(claims: DataFrame, files: DataFrame) -> DataFrame:
-    """Pairs of a missing target and a name of the same folder."""
-    here = files.select(dirname(F.col("path")).alias("_dir"), basename(F.col("path")).alias("name"))
-    return claims.withColumns({"_dir": dirname(F.col("target")), "wanted": basename(F.col("target"))}).join(here, "_dir")
-
-
 def near_names(claims: DataFrame, files: DataFrame, least: float = 0.84, most: int = 3) -> DataFrame:
     """Likely typos: for each target its most similar sibling names (score of at least `least`), best first."""
-    scored = siblings(claims.select("target").distinct(), files).filter(F.abs(F.length("name") - F.length("wanted")) <= 0.4 * F.length("wanted") + 1).withColumn("score", ratio("wanted", "name")).filter(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), F.desc("name")))
-    return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= most).select("target", "name", "score", "rank")
+    asked = claims.select("target", dirname(F.col("target")).alias("group"), basename(F.col("target")).alias("wanted")).distinct()
+    here = files.select(dirname(F.col("path")).alias("group"), basename(F.col("path")).alias("name"))
+    return asked.join(close_matches(asked, here, least, most), ["group", "wanted"]).select("target", "name", "score", "rank")
 
 
 def edit_near(claims: DataFrame, files: DataFrame, most: int = 2) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import basename, dirname, normalise, suffixes
-from ..functions.similarity import ratio
 from ..functions.text import GONE, PAST
 from .history import gone_by, state_as_of
 from .inventory import is_generated, is_private
+from .similar import close_matches
 
 # Words that make a sentence speak of examples, of things to make, of things that may be there, and of things that are not.
 EXAMPLE_WORDS = ["for example", "for instance", "e.g.", "such as", "i.e.", "like this"]
@@ -94,10 +94,8 @@ def ever_existed(claims: DataFrame, events: DataFrame) -> DataFrame:
 
 def rename_hints(gone: DataFrame, names: DataFrame, least: float = 0.75) -> DataFrame:
     """(path, name, hint): the most similar name of the same file for one that is gone."""
-    pairs = gone.select("path", "name").distinct().join(names.select("path", F.col("name").alias("other")).distinct(), "path")
-    close = F.abs(F.length("name") - F.length("other")) <= 2 * (1 - least) / (2 - least) * F.length("name") + F.length("other") * (1 - least)
-    scored = pairs.filter(close).withColumn("score", ratio("name", "other")).filter(F.col("score") >= least)
-    return scored.groupBy("path", "name").agg(F.min_by("other", F.struct(-F.col("score"), "other")).alias("hint"))
+    best = close_matches(gone.select(F.col("path").alias("group"), F.col("name").alias("wanted")), names.select(F.col("path").alias("group"), "name").join(gone.select(F.col("path").alias("group"), "name"), ["group", "name"], "left_anti"), least, 1)
+    return best.select(F.col("group").alias("path"), F.col("wanted").alias("name"), F.col("name").alias("hint"))
 
 
 def package_left(names: DataFrame, manifests: DataFrame, pins: DataFrame) -> DataFrame:
