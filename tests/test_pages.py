@@ -254,7 +254,7 @@ def test_corpus_check_with_history(spark, repository, tmp_path):
 
     (tmp_path / "src/old.py").write_text("x = 1\n")
     (tmp_path / "docs").mkdir()
-    (tmp_path / "docs/log.md").write_text("# Log\n\n| id | status |\n|---|---|\n| D-1 | superseded by D-2 |\n| D-2 | active |\n")
+    (tmp_path / "docs/decisions.md").write_text("# Log\n\n| id | status |\n|---|---|\n| D-1 | superseded by D-2 |\n| D-2 | active |\n")
     (tmp_path / "docs/use.md").write_text("# v1.2.3\n\nAs D-1 and D-9 say, see [a](../README.md#nowhere) and `src/old.py`.\n\n```sh\npython src/gone.py\nmake all\nnpm run build\n```\n\n| a | b |\n|---|---|\n| 1 |\n")
     (tmp_path / "docs/package.json").write_text('{"version": "1.2.4", "scripts": {"test": "x"}}')
     (tmp_path / "docs/Makefile").write_text("one:\n\techo\n")

@@ -7,6 +7,7 @@ and path together (`at`), so that no rule looks into another tree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -16,15 +17,17 @@ from pyspark.sql import functions as F
 from .functions import messages
 from .functions.paths import ancestors, dirname, glob_regex, joined, suffixes
 from .functions.text import is_acknowledged, token_estimate
-from .operators import claims, documents, findings, guards, markdown, places, resolve, shell, similar, verdicts
+from .operators import claims, decisions, documents, findings, guards, markdown, places, resolve, shell, similar, verdicts
 from .operators import impact as impacts
 from .operators.history import last_times
 from .operators.inventory import is_agent_file
 from .sources import git, manifests
 from .sources.files import walk
+from .staging import staged
 
 KEYS = ["repo", "path", "doc", "line", "col", "kind", "text", "target"]
 SPLIT = "\u0000"
+AT_ONCE = 4  # groups of rules that run at a time
 
 
 def at(path: str | Column) -> Column:
@@ -127,21 +130,21 @@ class Corpus:
         return rooted.unionByName(near).select(*KEYS).distinct()
 
     def _paths(self, made: DataFrame, said: DataFrame) -> DataFrame:
-        lost = self._written(self._unresolved(made)).join(said, ["doc", "line"], "left").withColumn("line_text", F.coalesce("line_text", F.lit(""))).persist()
+        lost = staged(self._written(self._unresolved(made)).join(said, ["doc", "line"], "left").withColumn("line_text", F.coalesce("line_text", F.lit(""))), "lost")
         real = self.files.select("repo", F.lower("path").alias("_low"))
         each = lost.select(*KEYS, F.explode("candidates").alias("_c")).withColumn("_low", F.lower("_c"))
         spelled = each.filter("kind = 'link'").join(real, ["repo", "_low"]).select(*KEYS).distinct().withColumn("case", F.lit(True))
-        judged = self._judged(lost).join(spelled, KEYS, "left").persist()
+        judged = staged(self._judged(lost).join(spelled, KEYS, "left"), "judged")
         spot = F.get("candidates", F.lit(0))
         judged = judged.withColumns({"group": F.concat_ws(SPLIT, "repo", dirname(spot)), "wanted": F.substring_index(spot, "/", -1), "folder": F.col("target").endswith("/")})
         named = self._there().select(F.concat_ws(SPLIT, "repo", dirname(F.col("candidate"))).alias("group"), F.substring_index("candidate", "/", -1).alias("name"), "repo", "candidate")
         named = named.join(self.files.select("repo", F.col("path").alias("candidate"), F.lit(False).alias("folder")), ["repo", "candidate"], "left").withColumn("folder", F.coalesce("folder", F.lit(True)))
-        near = similar.likely_typos(judged.filter("kind = 'path' AND NOT ever AND size(candidates) > 0"), named)
+        near = staged(similar.likely_typos(judged.filter("kind = 'path' AND NOT ever AND size(candidates) > 0"), named), "near")
         judged = judged.join(near.withColumnRenamed("name", "near"), ["group", "wanted", "folder"], "left").drop("group", "wanted", "folder")
         first = self.files.select("repo", F.substring_index("path", "/", 1).alias("_first")).distinct().withColumn("here", F.lit(True))
         judged = judged.withColumn("_first", F.substring_index(F.get("candidates", F.size("candidates") - 1), "/", 1)).join(first, ["repo", "_first"], "left")
         # a link that a site serves is no broken one, and proves that its tree is a site, which makes pages of its own
-        served = self._served(lost).withColumn("served", F.lit(True)).persist()
+        served = staged(self._served(lost).withColumn("served", F.lit(True)), "served")
         judged = judged.join(served, KEYS, "left").join(served.select("repo", F.col("served").alias("site")).distinct(), "repo", "left").filter("served IS NULL")
         ruled = verdicts.path_rules(judged.withColumn("agent", is_agent_file(F.col("path"))).withColumn("names_target", F.coalesce(verdicts.names_target(F.col("line_text"), F.col("moved_to")), F.lit(False))))
         never = F.col("rule") == "path-missing"
@@ -150,7 +153,8 @@ class Corpus:
         severity = F.when(link, F.when(said_so, "info").when(F.col("case"), "warning").otherwise("error")).when(never & F.col("near").isNotNull(), "warning").otherwise(F.col("severity"))
         told = link | ~never | F.col("near").isNotNull() | (F.col("here") & verdicts.may_be_told(F.col("line_text"), F.col("target")))
         unsure = link & F.coalesce("site", F.lit(False)) & ~F.col("ever") & F.col("case").isNull() & (F.col("target").startswith("/") | places.is_site_address(F.col("target")))
-        out = ruled.filter(told).withColumns({"rule": F.when(unsure, "link-unverified").otherwise(rule), "severity": severity}).select(*KEYS, "rule", "severity").persist()
+        out = ruled.filter(told).withColumns({"rule": F.when(unsure, "link-unverified").otherwise(rule), "severity": severity}).select(*KEYS, "rule", "severity")
+        out = staged(out, "paths")
         notes = self._placed(places.collapsed_site_links(out.filter("rule = 'link-unverified'").select("doc", "line", F.col("text").alias("dest"))))
         notes = notes.withColumns({"col": F.lit(1), "kind": F.lit("link"), "text": F.col("examples"), "target": F.lit("")}).select(*KEYS, F.lit("link-unverified").alias("rule"), F.lit("info").alias("severity"))
         return out.filter("rule <> 'link-unverified'").unionByName(notes)
@@ -229,25 +233,14 @@ class Corpus:
         return lost.select(*KEYS, F.when(unsure, "anchor-unverified").otherwise("anchor-missing").alias("rule"), F.when(unsure, "info").otherwise("warning").alias("severity"))
 
     def _decisions(self, said: DataFrame) -> DataFrame:
-        """Mentions of decisions against the nearest log: a page with two table rows or more that begin with an id."""
-        cell = F.regexp_extract("line_text", r"^\s*\|\s*[*`\[]*([A-Z]{1,8})-?(\d{1,6})\b", 1)
-        number = F.regexp_extract("line_text", r"^\s*\|\s*[*`\[]*([A-Z]{1,8})-?(\d{1,6})\b", 2)
-        low = F.lower("line_text")
-        status = F.when(low.rlike(r"\|[\s*]*superseded"), "superseded").when(low.rlike(r"\bsuperseded\b|[\s|]amended\b"), "amended").otherwise("active")
-        rows = said.withColumn("_p", cell).filter("_p <> ''").select(F.col("doc").alias("log"), "line", F.concat("_p", number.cast("long")).alias("id"), "_p", status.alias("status"))
-        logs = rows.groupBy("log").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("log")
-        known = rows.join(logs, "log", "left_semi").dropDuplicates(["log", "id"])
-        mention = F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(r"(?<![A-Za-z0-9_/.-])([A-Z]{1,8}-?\d{1,6})(?![A-Za-z0-9_])"), 1))).alias("text")
-        told = self._placed(said.select("doc", "line", mention)).withColumn("_p", F.regexp_extract("text", "^([A-Z]+)", 1)).withColumn("id", F.concat("_p", F.regexp_extract("text", r"(\d+)$", 1).cast("long")))
-        told = told.filter(~verdicts.in_template_folder(F.col("path"))).join(known.select(F.col("log").alias("doc"), "line", "id"), ["doc", "line", "id"], "left_anti")
-        # the nearest log above a document that knows the prefix
-        own = known.select("log", "_p").distinct().withColumn("_folder", F.concat_ws("/", F.split("log", SPLIT)[0], dirname(F.split("log", SPLIT)[1])))
-        up = told.select("*", F.posexplode(F.transform(ancestors(F.col("path")), lambda a: F.concat_ws("/", F.col("repo"), a))).alias("_up", "_folder"))
-        near = up.join(own, ["_folder", "_p"]).groupBy("doc", "line", "id").agg(F.min_by("log", F.struct("_up", "log")).alias("log"))
-        seen = told.join(near, ["doc", "line", "id"]).join(known.select("log", "id", "status"), ["log", "id"], "left")
+        """Mentions of decisions against the nearest log that counts for a page."""
+        docs = self.documents().select("repo", "doc", "path", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("p", "text")).select("repo", "doc", "path", (F.col("p") + 1).cast("int").alias("line"), "text")
+        known = self._placed(decisions.decisions(docs.drop("repo")).withColumn("_path", F.col("path")).withColumn("doc", F.col("log"))).withColumns({"folder": decisions.scope(F.when(F.endswith("log", F.lit(".md")) | F.endswith("log", F.lit(".markdown")), F.col("path")).otherwise(F.concat_ws("/", "path", F.lit("x")))), "path": F.col("_path")})
+        known = staged(known.select("repo", "log", "folder", "path", "line", "id", "status", "by"), "logs")
+        told = decisions.mentions(self._placed(said.select("doc", "line", F.col("line_text").alias("text"))), known).filter(~verdicts.in_template_folder(F.col("path")))
         rule = F.when(F.col("status").isNull(), "decision-unknown").when(F.col("status") == "superseded", "decision-superseded").when(F.col("status") == "amended", "decision-amended")
         severity = F.when(F.col("status").isNull(), "error").when(F.col("status") == "superseded", "warning").otherwise("info")
-        out = seen.withColumns({"rule": rule, "severity": severity, "col": F.lit(1), "kind": F.lit("decision"), "target": F.col("id")}).filter("rule IS NOT NULL")
+        out = told.withColumns({"rule": rule, "severity": severity, "col": F.lit(1), "kind": F.lit("decision"), "target": F.col("id")}).filter("rule IS NOT NULL")
         return out.select(*KEYS, "rule", "severity")
 
     def _versions(self, made: DataFrame, pages: DataFrame) -> DataFrame:
@@ -321,13 +314,15 @@ class Corpus:
     def check(self, sure_only: bool = False, names: list[str] | None = None, lang: str = "en", groups: list[str] | None = None) -> DataFrame:
         """Findings: (repo, path, line, col, rule, severity, claim, message, fingerprint). `names`: only these rules; `groups`: only these groups of rules (see `rules`).
 
-        Pages, claims and the claims that lead nowhere are made once: they are kept in memory and on disk, and made again where an executor is lost.
+        Pages, claims and quoted lines are written once; each group of rules is planned and run by itself, some at a time, and its findings are written too.
         """
-        pages = self.pages().persist()
-        made = self.claims(pages).persist()
-        said = markdown.exploded(pages, "said").withColumnRenamed("text", "line_text")
+        pages = staged(self.pages(), "pages")
+        made = staged(self.claims(pages), "claims")
+        said = staged(markdown.exploded(pages, "said").withColumnRenamed("text", "line_text"), "said")
         known = self.rules(pages, made, said)
-        all_ = reduce(DataFrame.unionByName, (known[g]() for g in groups or known))
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            found = list(pool.map(lambda g: staged(known[g](), f"found-{g}"), groups or known))
+        all_ = reduce(DataFrame.unionByName, found)
         if names:
             all_ = all_.filter(F.col("rule").isin(names))
         placed = all_.withColumn("claim", F.col("text")).drop("text", "kind").join(said, ["doc", "line"], "left").withColumn("text", F.coalesce("line_text", F.lit("")))
