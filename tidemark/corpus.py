@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import messages
-from .functions.paths import ancestors, dirname, glob_regex, joined, suffixes
-from .functions.text import is_acknowledged, token_estimate
-from .operators import claims, decisions, documents, findings, guards, markdown, places, resolve, shell, similar, verdicts
+from .functions.paths import ancestors, dirname, joined, suffixes
+from .functions.text import is_acknowledged, redact, token_estimate
+from .operators import claims, decisions, documents, findings, forbid, guards, markdown, places, resolve, shell, similar, verdicts
 from .operators import impact as impacts
 from .operators.history import last_times
 from .operators.inventory import is_agent_file
@@ -267,19 +267,14 @@ class Corpus:
         return self._placed(odd.unionByName(cut)).withColumns({"col": F.lit(1), "kind": F.lit("table"), "target": F.lit("")}).select(*KEYS, "rule", "severity")
 
     def _forbidden(self, pages: DataFrame) -> DataFrame:
-        """Directives `forbid GLOB /PATTERN/`: those that cannot be read, and the lines of code that break one (the first 50 of each)."""
-        body = markdown.exploded(pages, "directives").filter("lower(body) LIKE 'forbid%'")
-        parts = body.select("doc", "line", "body", F.regexp_extract("body", r"^\w+\s+(\S+)\s+/.+/$", 1).alias("_g"), F.regexp_extract("body", r"^\w+\s+\S+\s+/(.+)/$", 1).alias("pattern"))
-        glob = F.udf(glob_regex)(F.col("_g"))  # a directive is rare: one call for each
-        rules = self._placed(verdicts.valid_rules(parts.withColumn("glob", F.when(F.col("_g") != "", glob).otherwise(""))))
-        named = rules.withColumns({"col": F.lit(1), "kind": F.lit("rule"), "text": F.col("body"), "target": F.lit("")})
-        invalid = named.filter("NOT fine").select(*KEYS, F.lit("rule-invalid").alias("rule"), F.lit("error").alias("severity"))
-        code = self.files.filter("kind = 'code' AND text IS NOT NULL").join(rules.filter("fine").select("repo").distinct(), "repo", "left_semi")
-        lines = code.select("repo", F.col("path").alias("_path"), F.posexplode(F.split("text", "\n")).alias("_n", "_line"))
-        hit = lines.join(named.filter("fine"), "repo").filter(F.expr("_path RLIKE glob AND _line RLIKE pattern"))
-        nth = F.row_number().over(Window.partitionBy("doc", "line").orderBy("_path", "_n"))
-        broken = hit.withColumn("_r", nth).filter("_r <= 50").select("repo", F.col("_path").alias("path"), "doc", (F.col("_n") + 1).alias("line"), "col", "kind", "text", "target", F.lit("rule-violation").alias("rule"), F.lit("error").alias("severity"))
-        return invalid.unionByName(broken)
+        """Directives that forbid something: those that cannot be read, and all lines of code that break one, with the line itself (`own`)."""
+        known = staged(forbid.rules(self._placed(markdown.exploded(pages, "directives"))), "rules")
+        named = self._placed(known.filter("error <> ''")).withColumns({"col": F.lit(1), "kind": F.lit("rule"), "text": F.col("body"), "target": F.lit("")})
+        invalid = named.select(*KEYS, F.lit("rule-invalid").alias("rule"), F.lit("error").alias("severity"), F.lit(None).cast("string").alias("own"))
+        broken = forbid.violations(known, self.files.filter("kind IN ('code', 'conf')"))
+        claim = F.substring(redact(F.trim("text")), 1, 120)
+        told = broken.withColumns({"own": F.col("text"), "col": F.lit(1), "kind": F.lit("rule"), "target": F.lit("")}).withColumn("text", claim)
+        return invalid.unionByName(told.select(*KEYS, F.lit("rule-violation").alias("rule"), F.lit("error").alias("severity"), "own"))
 
     def _stale(self, made: DataFrame) -> DataFrame:
         """Pages older, by more than a day, than code that they refer to."""
@@ -322,10 +317,10 @@ class Corpus:
         known = self.rules(pages, made, said)
         with ThreadPoolExecutor(AT_ONCE) as pool:
             found = list(pool.map(lambda g: staged(known[g](), f"found-{g}"), groups or known))
-        all_ = reduce(DataFrame.unionByName, found)
+        all_ = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.files.limit(0).select(F.lit("").alias("own")), *found])
         if names:
             all_ = all_.filter(F.col("rule").isin(names))
-        placed = all_.withColumn("claim", F.col("text")).drop("text", "kind").join(said, ["doc", "line"], "left").withColumn("text", F.coalesce("line_text", F.lit("")))
+        placed = all_.withColumn("claim", F.col("text")).drop("text", "kind").join(said, ["doc", "line"], "left").withColumn("text", F.coalesce("own", "line_text", F.lit(""))).drop("own")
         judged = findings.downgraded(placed.join(self.kinds(pages).withColumnRenamed("doc_kind", "kind"), "doc"))
         told = findings.first_of_each(judged.withColumn("fingerprint", findings.fingerprint(F.col("rule"), at("path"), F.col("claim"), F.col("text"))))
         if self.events is not None:

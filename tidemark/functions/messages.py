@@ -34,7 +34,7 @@ MESSAGES: dict[str, tuple[str, str]] = {
     "copies-diverged": ("a newer copy of this line has other numbers: {}", "một bản sao mới hơn của dòng này có số khác: {}"),
     "table-shape": ("the row has another number of cells than the header: {}", "hàng có số ô khác tiêu đề: {}"),
     "table-orphan": ("rows cut off from their table: {}", "các hàng bị tách khỏi bảng: {}"),
-    "rule-violation": ("the code breaks the rule {}", "mã vi phạm quy tắc {}"),
+    "rule-violation": ("a rule of the documents forbids {}", "quy tắc trong tài liệu cấm {}"),
     "rule-invalid": ("the rule {} cannot be read", "không đọc được quy tắc {}"),
     "stale-risk": ("code that this page refers to is newer: {}", "mã mà trang này nhắc tới mới hơn: {}"),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, basename, dirname, joined, suffixes
+from ..staging import staged
 from .similar import close_matches
 
 
@@ -140,15 +141,16 @@ def anchor_findings(links: DataFrame, anchors: DataFrame) -> DataFrame:
     return exact.withColumn("_s", bare(F.col("anchor"))).join(anchors.select(F.col("path").alias("target"), bare(F.col("anchor")).alias("_s")).distinct(), ["target", "_s"], "left_anti").drop("_s")
 
 
-def import_closure(imports: DataFrame, rounds: int = 50) -> DataFrame:
-    """(page, part) for all pages that a page imports, directly or not; pages that import in circles end too."""
-    spark = imports.sparkSession
-    imports.createOrReplaceTempView("_tidemark_imports")
-    return spark.sql(
-        f"""WITH RECURSIVE reach (page, part, seen, depth) MAX RECURSION LEVEL {rounds + 1} AS (
-              SELECT page, part, array(page, part), 1 FROM _tidemark_imports WHERE page <> part
-              UNION ALL
-              SELECT r.page, i.part, array_append(r.seen, i.part), r.depth + 1 FROM reach r JOIN _tidemark_imports i ON i.page = r.part
-              WHERE NOT array_contains(r.seen, i.part) AND r.depth < {rounds})
-            SELECT DISTINCT page, part FROM reach"""
-    )
+def import_closure(imports: DataFrame) -> DataFrame:
+    """(page, part) for all pages that a page imports, directly or not, however far; a page that imports itself in a circle is not its own part.
+
+    Each round joins what is known with itself, which doubles the length of the ways, and keeps each pair once; rounds end when no pair is new.
+    """
+    known = staged(imports.select("page", "part").filter("page <> part").distinct(), "imports")
+    count = known.count()
+    while True:
+        further = known.select(F.col("page").alias("part"), F.col("part").alias("_next"))
+        wider = staged(known.unionByName(known.join(further, "part").select("page", F.col("_next").alias("part"))).filter("page <> part").distinct(), "imports")
+        if (more := wider.count()) == count:
+            return wider
+        known, count = wider, more

@@ -134,7 +134,7 @@ def anchor_check(spark: SparkSession, sf: str) -> DataFrame:
 def import_closure(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation")
     edges = n.select(F.col("n_nationkey").alias("page"), F.pmod(F.col("n_nationkey") * 3 + 1, F.lit(25)).alias("part")).union(n.select("n_nationkey", "n_regionkey")).distinct()
-    return resolve.import_closure(edges, rounds=26)
+    return resolve.import_closure(edges)
 
 
 @query(with_views("SELECT doc, line, path, written, (SELECT arg_max(kind, (epoch, \"commit\")) FROM v_events e WHERE e.path = b.path AND e.epoch <= b.written) AS state FROM v_blame b"))
