@@ -177,7 +177,7 @@ def contexts(rows: DataFrame, kinds: DataFrame, units: Units) -> DataFrame:
             s = slice(k, k + step)
             yield pa.RecordBatch.from_arrays([pa.array(w["anchor"][s]), pa.array(w["digest"][s]), pa.array(w["copies"][s]), pa.array(w["n"][s].astype(np.int32)), pa.array(cut[s], pa.binary())], ["anchor", "digest", "copies", "n", "units"])
 
-    return rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(lambda b: _stretches(_one_of_alike(b), units, emit), CONTEXTS)
+    return rows.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(lambda b: _stretches(_one_of_alike(b), units, emit), CONTEXTS)
 
 
 def compared(found: DataFrame, units: Units, resolve: Resolver, limit: int = 1 << 20) -> DataFrame:
@@ -251,7 +251,7 @@ def rewidened(rows: DataFrame, occ: DataFrame, units: Units, width: int) -> Data
                 ["anchor", "digest", "k1", "k2", "start", "n"],
             )
 
-    return rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).mapInArrow(lambda b: _stretches(b, units, emit), ANCHORS)
+    return rows.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"]).mapInArrow(lambda b: _stretches(b, units, emit), ANCHORS)
 
 
 def spans(rows: DataFrame, units: Units, resolve: Resolver, crowd: int = CROWD) -> DataFrame:
@@ -285,7 +285,7 @@ def spans(rows: DataFrame, units: Units, resolve: Resolver, crowd: int = CROWD)
 
 
 def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
-    return rows.join(found, ["k1", "k2"], "left")
+    return rows.join(found.hint("merge"), ["k1", "k2"], "left")  # texts are shuffled at any size
 
 
 def covered(spans_of: list[tuple[int, int]] | None, total: int, size: int) -> np.ndarray:

@@ -18,36 +18,45 @@ from . import base, repeats
 PACK, BITS = 7, 9  # symbols in a 64-bit word
 
 
-def packed(symbols: np.ndarray, bits: int = BITS, pack: int = PACK) -> np.ndarray:
-    """At each place, the next `pack` symbols in one word that compares as they do; zeros follow the end."""
-    wide = np.zeros(len(symbols) + pack, np.uint64)
+def packed(symbols: np.ndarray, bits: int = BITS, pack: int = PACK, stride: int = 1) -> np.ndarray:
+    """At each place, the next `pack` symbols (each `stride` places on) in one word that compares as they do; zeros follow the end."""
+    wide = np.zeros(len(symbols) + pack * stride, np.uint64)
     wide[: len(symbols)] = symbols
     out = np.zeros(len(symbols), np.uint64)
     for k in range(pack):
-        out |= wide[k : k + len(symbols)] << np.uint64(bits * (pack - 1 - k))
+        out |= wide[k * stride : k * stride + len(symbols)] << np.uint64(bits * (pack - 1 - k))
     return out
 
 
+def wider(words: np.ndarray, step: int) -> tuple[np.ndarray, int]:
+    """Words of three times as many symbols (twice, if there are too many kinds) that compare as they do: each word gets its rank, and ranks are packed."""
+    kinds, rank = np.unique(words, return_inverse=True)
+    rank = rank.ravel().astype(np.uint64) + np.uint64(1)
+    fold = 3 if len(kinds) < (1 << 21) - 1 else 2
+    return packed(rank, 63 // fold, fold, step), step * fold
+
+
 def sort_directly(words: np.ndarray, places: np.ndarray, depth: int, step: int = PACK) -> np.ndarray:
     """Places in the order of what follows them, compared to `depth` symbols at least; only ties are looked at again."""
     last = len(words)
     places = places[np.argsort(words[places], kind="stable")]
     new = np.ones(len(places), bool)
     new[1:] = words[places[1:]] != words[places[:-1]]
+    group = np.cumsum(new) - 1
+    idx = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else group
+    g = group[idx]
     seen = step
-    while seen < depth:
-        group = np.cumsum(new) - 1
-        idx = np.flatnonzero(np.bincount(group)[group] > 1)
-        if not len(idx):
-            break
-        p, g = places[idx], group[idx]
+    while seen < depth and len(idx):
+        p = places[idx]
         at = p + seen
         key = np.where(at < last, words[np.minimum(at, last - 1)], np.uint64(0))
         order = np.lexsort((key, g))
         places[idx], key, g = p[order], key[order], g[order]
         split = np.ones(len(idx), bool)
         split[1:] = (key[1:] != key[:-1]) | (g[1:] != g[:-1])
-        new[idx] = split
+        g = np.cumsum(split) - 1
+        tied = np.bincount(g)[g] > 1
+        idx, g = idx[tied], g[tied]
         seen += step
     return places
 
@@ -67,7 +76,10 @@ def types(symbols: np.ndarray) -> np.ndarray:
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of `symbols` (small integers, the last one 0 and smallest) in order of their first `depth` symbols."""
     is_a = types(symbols)
-    sorted_b = sort_directly(packed(symbols), np.flatnonzero(~is_a), depth)
+    words, step = packed(symbols), PACK
+    while step * 4 < depth:  # long comparisons go by words of words
+        words, step = wider(words, step)
+    sorted_b = sort_directly(words, np.flatnonzero(~is_a), depth, step)
     top = int(symbols.max()) + 1
     bounds = np.searchsorted(symbols[sorted_b], np.arange(top + 1))
     waiting: list[list[np.ndarray]] = [[] for _ in range(top)]
