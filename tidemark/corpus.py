@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import messages
 from .functions.paths import ancestors, dirname, joined, suffixes
 from .functions.text import is_acknowledged, redact, token_estimate
-from .operators import claims, decisions, documents, findings, forbid, guards, markdown, places, resolve, shell, similar, verdicts
+from .operators import claims, decisions, documents, findings, forbid, guards, markdown, places, resolve, shell, similar, verdicts, vetoes
 from .operators import impact as impacts
 from .operators.history import last_times
 from .operators.inventory import is_agent_file
@@ -129,7 +129,8 @@ class Corpus:
         near = asked.filter("NOT _rooted").join(self.files.select("repo", F.col("path").alias("_name")), ["repo", "_name"], "left_semi")
         return rooted.unionByName(near).select(*KEYS).distinct()
 
-    def _paths(self, made: DataFrame, said: DataFrame) -> DataFrame:
+    def _ruled(self, made: DataFrame, said: DataFrame) -> DataFrame:
+        """Lost claims on paths, with rule and severity by history, the name close to them (near), whether only capitals differ (case) and whether their tree is a site."""
         lost = staged(self._written(self._unresolved(made)).join(said, ["doc", "line"], "left").withColumn("line_text", F.coalesce("line_text", F.lit(""))), "lost")
         real = self.files.select("repo", F.lower("path").alias("_low"))
         each = lost.select(*KEYS, F.explode("candidates").alias("_c")).withColumn("_low", F.lower("_c"))
@@ -141,17 +142,62 @@ class Corpus:
         named = named.join(self.files.select("repo", F.col("path").alias("candidate"), F.lit(False).alias("folder")), ["repo", "candidate"], "left").withColumn("folder", F.coalesce("folder", F.lit(True)))
         near = staged(similar.likely_typos(judged.filter("kind = 'path' AND NOT ever AND size(candidates) > 0"), named), "near")
         judged = judged.join(near.withColumnRenamed("name", "near"), ["group", "wanted", "folder"], "left").drop("group", "wanted", "folder")
-        first = self.files.select("repo", F.substring_index("path", "/", 1).alias("_first")).distinct().withColumn("here", F.lit(True))
-        judged = judged.withColumn("_first", F.substring_index(F.get("candidates", F.size("candidates") - 1), "/", 1)).join(first, ["repo", "_first"], "left")
         # a link that a site serves is no broken one, and proves that its tree is a site, which makes pages of its own
         served = staged(self._served(lost).withColumn("served", F.lit(True)), "served")
         judged = judged.join(served, KEYS, "left").join(served.select("repo", F.col("served").alias("site")).distinct(), "repo", "left").filter("served IS NULL")
-        ruled = verdicts.path_rules(judged.withColumn("agent", is_agent_file(F.col("path"))).withColumn("names_target", F.coalesce(verdicts.names_target(F.col("line_text"), F.col("moved_to")), F.lit(False))))
+        return staged(verdicts.path_rules(judged.withColumn("agent", is_agent_file(F.col("path"))).withColumn("names_target", F.coalesce(verdicts.names_target(F.col("line_text"), F.col("moved_to")), F.lit(False)))), "ruled")
+
+    def _lines(self) -> DataFrame:
+        return self.documents().select("doc", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("p", "text")).select("doc", (F.col("p") + 1).alias("line"), "text")
+
+    def _elsewhere(self, pages: DataFrame) -> DataFrame:
+        """Pages whose commands and paths are another project's, which they have their readers clone."""
+        own = self.files.select("repo", F.substring_index(F.regexp_replace("repo", "/+$", ""), "/", -1).alias("name")).distinct()
+        return vetoes.other_projects(self.documents().select("doc", "repo", "path"), shell.entered(markdown.exploded(pages, "fences")), own)
+
+    def _vetoed(self, ruled: DataFrame, pages: DataFrame) -> DataFrame:
+        """Paths that never were and are no slips of the pen: (KEYS, veto, status), with all that speaks against telling them."""
+        never = staged(ruled.filter("kind = 'path' AND rule = 'path-missing' AND near IS NULL").select(*KEYS, "candidates"), "never")
+        lines = staged(self._lines().join(never.select("doc").distinct(), "doc", "left_semi"), "lines")
+        keys = ["doc", "line", "target"]
+        mark = lambda rows, name: rows.select(*keys).distinct().withColumn(name, F.lit(True))
+        spots = never.withColumn("candidate", F.explode("candidates"))
+        # the folder that the path begins with, from the page's folder and from the root
+        head = F.regexp_extract(F.col("target"), r"^(?:\.{0,2}/)*([^/]+)", 1)
+        begun = never.withColumn("candidate", F.explode(F.array_distinct(F.array(joined(dirname(F.col("path")), head), joined(F.lit(""), head))))).filter("candidate <> ''")
+        held = mark(begun.join(self._there(), ["repo", "candidate"], "left_semi"), "begun")
+        covered = mark(vetoes.ignored_targets(spots.withColumn("candidate", below("candidate")), self._ignore_files()), "ignored")
+        remote = mark(vetoes.told_elsewhere(never, lines), "remote")
+        coded = mark(vetoes.in_literals(never, vetoes.literal_names(self.files.filter("text IS NOT NULL"))), "coded")
+        retired = vetoes.retired_pages(lines, markdown.exploded(pages, "headings")).withColumn("retired", F.lit(True))
+        foreign = self._elsewhere(pages).withColumn("foreign", F.lit(True))
+        known = vetoes.claim_sentences(never, lines)
+        for rows in (held, covered, remote, coded):
+            known = known.join(rows, keys, "left")
+        known = known.join(retired, "doc", "left").join(foreign, "doc", "left").join(self.kinds(pages), "doc")
+        shown = vetoes.word_vetoes(F.col("target"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.col("doc_kind"))
+        shown |= {"retired-page": F.col("retired"), "elsewhere": F.col("remote"), "ignored": F.col("ignored"), "other-project": F.col("foreign"), "no-folder": F.col("begun").isNull(), "in-code": F.col("coded")}
+        return staged(vetoes.with_veto(known, shown).select(*KEYS, "veto", "status"), "vetoed")
+
+    def _ignore_files(self) -> DataFrame:
+        return self.files.filter("text IS NOT NULL").filter(F.substring_index("path", "/", -1) == ".gitignore").select(below("path").alias("path"), "text")
+
+    def unproved(self) -> DataFrame:
+        """(repo, path, line, col, claim, status, veto): paths of documents that are not in the tree and never were: missing, or skipped or unverified with the first reason why."""
+        pages = staged(self.pages(), "pages")
+        made = staged(self.claims(pages), "claims")
+        said = markdown.exploded(pages, "said").withColumnRenamed("text", "line_text")
+        return self._vetoed(self._ruled(made, said), pages).select("repo", "path", "line", "col", F.col("text").alias("claim"), "status", "veto")
+
+    def _paths(self, made: DataFrame, said: DataFrame, pages: DataFrame) -> DataFrame:
+        ruled = self._ruled(made, said)
+        missing = self._vetoed(ruled, pages).filter("status = 'missing'").select(*KEYS, F.lit(True).alias("missing")).distinct()
+        ruled = ruled.join(missing, KEYS, "left")
         never = F.col("rule") == "path-missing"
         link, said_so = F.col("kind") == "link", is_acknowledged(F.col("line_text"))
         rule = F.when(link, F.when(F.col("case"), "link-case").otherwise("link-broken")).when(never & F.col("near").isNotNull(), "path-typo").otherwise(F.col("rule"))
         severity = F.when(link, F.when(said_so, "info").when(F.col("case"), "warning").otherwise("error")).when(never & F.col("near").isNotNull(), "warning").otherwise(F.col("severity"))
-        told = link | ~never | F.col("near").isNotNull() | (F.col("here") & verdicts.may_be_told(F.col("line_text"), F.col("target")))
+        told = link | ~never | F.col("near").isNotNull() | F.coalesce("missing", F.lit(False))
         unsure = link & F.coalesce("site", F.lit(False)) & ~F.col("ever") & F.col("case").isNull() & (F.col("target").startswith("/") | places.is_site_address(F.col("target")))
         out = ruled.filter(told).withColumns({"rule": F.when(unsure, "link-unverified").otherwise(rule), "severity": severity}).select(*KEYS, "rule", "severity")
         out = staged(out, "paths")
@@ -205,6 +251,7 @@ class Corpus:
         tried = scripts.withColumn("candidates", cands).select(*keys, "candidates", F.explode("candidates").alias("candidate")).join(there.withColumn("hit", F.lit(True)), ["repo", "candidate"], "left")
         lost = tried.groupBy(*keys, "candidates").agg(F.max("hit").alias("hit")).filter("hit IS NULL").drop("hit")
         judged = self._judged(self._written(lost)).withColumn("candidate", dirname(F.get("candidates", F.lit(0)))).join(there.withColumn("folder_there", F.lit(True)), ["repo", "candidate"], "left")
+        judged = judged.join(self._elsewhere(pages), "doc", "left_anti")
         missing = verdicts.command_rules(judged.withColumn("folder_there", F.coalesce("folder_there", F.lit(False)) & (F.col("candidate") != ""))).select(*KEYS, "rule", "severity")
 
         npm = run.filter("what = 'npm'").select(*KEYS, below(here).alias("_at"))
@@ -301,7 +348,7 @@ class Corpus:
 
     def rules(self, pages: DataFrame, made: DataFrame, said: DataFrame) -> dict[str, Callable[[], DataFrame]]:
         found = {
-            "paths": lambda: self._paths(made, said), "symbols": lambda: self._symbols(made), "flags": lambda: self._flags(made), "commands": lambda: self._commands(pages), "anchors": lambda: self._anchors(made, pages),
+            "paths": lambda: self._paths(made, said, pages), "symbols": lambda: self._symbols(made), "flags": lambda: self._flags(made), "commands": lambda: self._commands(pages), "anchors": lambda: self._anchors(made, pages),
             "decisions": lambda: self._decisions(said), "versions": lambda: self._versions(made, pages), "tables": lambda: self._tables(pages), "forbidden": lambda: self._forbidden(pages), "stale": lambda: self._stale(made),
         }
         return found | ({"copies": self._copies} if self.blame is not None else {})
@@ -357,7 +404,7 @@ class Corpus:
         pages = self.pages().persist()
         lines = self.documents().select("repo", "doc", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("p", "text")).select("repo", "doc", (F.col("p") + 1).alias("line"), "text")
         spans = markdown.exploded(pages, "spans").select(F.split("doc", SPLIT)[0].alias("repo"), "doc", "line", "text")
-        now = self.files.filter("kind <> 'doc' AND text IS NOT NULL").select("repo", "path", "text")
+        now = self.files.filter("kind NOT IN ('doc', 'ignore') AND text IS NOT NULL").select("repo", "path", "text")
         told = impacts.impact(before, now, lines, spans).join(self.kinds(pages), "doc").filter("doc_kind <> 'history'")
         return self._placed(told).select("repo", "path", "line", "term", "kind", "file", "note", (F.col("doc_kind") == "plan").alias("late"), "text")
 

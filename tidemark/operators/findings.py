@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DONE_LINE, PAST, fingerprint
+from ..functions.text import fingerprint, is_done, is_past
 
 RANKS = {"error": 2, "warning": 1, "info": 0}
 # Rules about form, rules that a sentence on the past softens, rules that guess.
@@ -23,8 +23,8 @@ def rank(severity: Column) -> Column:
 
 def downgraded(findings: DataFrame) -> DataFrame:
     """Severity in context: in plans and on done lines only form counts; what sentences on the past say of the gone is information. Needs kind (of the document) and text (the line)."""
-    soft = ((F.col("kind") == "plan") | F.col("text").rlike(DONE_LINE)) & ~F.col("rule").isin(STRUCTURAL)
-    past = F.col("rule").isin(PAST_RULES) & F.col("text").rlike(PAST)
+    soft = ((F.col("kind") == "plan") | is_done(F.col("text"))) & ~F.col("rule").isin(STRUCTURAL)
+    past = F.col("rule").isin(PAST_RULES) & is_past(F.col("text"))
     history = (F.col("kind") == "history") & ~F.col("rule").startswith("decision")
     return findings.filter(~history).withColumn("severity", F.when(soft | past, "info").otherwise(F.col("severity")))
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Options of `git clone` that take a value.
+CLONE_VALUES = "-b --branch --depth -o --origin -c --config --template --reference --separate-git-dir".split()
 TOKEN = re.compile(r"\"[^\"]*\"?|'[^']*'?|\S")
 
 
@@ -40,6 +42,32 @@ def simple_commands(line: str) -> list[str]:
     return [p.strip() for p in (re.sub("\x00(\\d+)\x00", lambda m: held[int(m[1])], p) for p in parts) if p.strip()]
 
 
+def clone_folder(words: list[str]) -> str:
+    """The folder that `git clone ...` makes: the one it names, else the last name of the address."""
+    named, value = [], False
+    for w in words[2:]:
+        if not value and not w.startswith("-"):
+            named.append(w)
+        value = not value and w in CLONE_VALUES
+    if not named:
+        return ""
+    last = named[1] if len(named) > 1 else re.split("[/:]", named[0].rstrip("/"))[-1].removesuffix(".git")
+    return last.rstrip("/").removeprefix("./")
+
+
+def entered_clones(lines: list[str]) -> list[str]:
+    """Clones that the lines of a block make and later enter."""
+    made, out = set(), []
+    for line in lines:
+        for part in simple_commands(re.sub(r"(?:^|\s)#.*$", "", line)):
+            words = argv(part)
+            if words[:2] == ["git", "clone"]:
+                made.add(clone_folder(words))
+            elif words[:1] in (["cd"], ["Set-Location"], ["pushd"]) and len(words) > 1 and (name := words[-1].rstrip("/").removeprefix("./")) in made - {""}:
+                out.append(name)
+    return out
+
+
 def commands(lines: list[str]) -> list[dict]:
     """What the lines of a shell block run: continuation lines are joined, `cd` moves the folder of later lines, assignments and sudo are skipped."""
     out, folder, joined, cloned = [], "", "", ""
@@ -57,8 +85,7 @@ def commands(lines: list[str]) -> list[dict]:
                 # the folder that a clone makes is the tree itself
                 folder = "" if target.rstrip("/") == cloned and cloned else target if target.startswith("/") or not folder else f"{folder}/{target}"
             elif words[:2] == ["git", "clone"]:
-                named = [w for w in words[2:] if not w.startswith("-")]
-                cloned = (named[-1] if len(named) > 1 else named[0].rstrip("/").rpartition("/")[2].removesuffix(".git")) if named else ""
+                cloned = clone_folder(words)
             elif words:
                 out.append(describe(words) | {"folder": folder})
         joined = ""
@@ -106,3 +133,14 @@ def block_commands(fences, lang_pattern: str = r"^(?:|sh|bash|shell|console|zsh|
                 yield pd.DataFrame(rows)[["doc", "start", "tool", "kind", "target", "flags", "folder"]]
 
     return fences.filter(F.col("lang").rlike(lang_pattern)).select("doc", "start", "lines").mapInPandas(of, "doc string, start int, tool string, kind string, target string, flags array<string>, folder string")
+
+
+def entered(fences, lang_pattern: str = r"^(?:|sh|bash|shell|console|zsh|powershell|cmd|bat)$"):
+    """(doc, folder): clones that the pages have their readers enter; a clone of one block may be entered in a later one."""
+
+    def of(key: tuple, page: pd.DataFrame) -> pd.DataFrame:
+        lines = [x["text"] for block in page.sort_values("start")["lines"] for x in block]
+        return pd.DataFrame([(key[0], name) for name in dict.fromkeys(entered_clones(lines))], columns=["doc", "folder"])
+
+    shells = fences.filter(F.col("lang").rlike(lang_pattern)).filter(F.exists("lines", lambda x: F.contains(x["text"], F.lit("clone"))) | F.exists("lines", lambda x: F.contains(x["text"], F.lit("cd ")) | F.contains(x["text"], F.lit("Set-Location"))))
+    return shells.select("doc", "start", "lines").groupBy("doc").applyInPandas(of, "doc string, folder string")

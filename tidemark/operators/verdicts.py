@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import basename, dirname, normalise, suffixes
-from ..functions.text import GONE, PAST
+from ..functions.text import is_acknowledged, is_past, says
 from .history import gone_by, state_as_of
 from .inventory import is_generated, is_private
 from .similar import close_matches
@@ -26,11 +26,6 @@ LANGUAGES = "ar bn cs da de el en es et fa fi fr he hi hu id it ja ko nb nl no p
 MODULE_FORMS = ["{}.py", "{}/__init__.py", "{}/__main__.py", "src/{}.py", "src/{}/__main__.py"]
 
 
-def says(text: Column, words: list[str]) -> Column:
-    """Whether one of the words or phrases stands in a text by itself, letter case aside."""
-    return text.rlike(r"(?i)(?<![\w'])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\w'])")
-
-
 # ---------------------------------------------------------------- proof by history
 
 
@@ -125,7 +120,7 @@ def lost_headings(versions: DataFrame) -> DataFrame:
 
 def may_be_told(text: Column, path: Column) -> Column:
     """Whether a path that never was may be called missing: its sentence neither gives an example, nor makes the thing, nor doubts it, nor says itself that it is gone; and the path is of the tree's own."""
-    doubtful = says(text, EXAMPLE_WORDS + CREATION_WORDS + CONDITION_WORDS + ABSENCE_WORDS) | text.rlike(GONE) | text.rlike(PAST)
+    doubtful = says(text, EXAMPLE_WORDS + CREATION_WORDS + CONDITION_WORDS + ABSENCE_WORDS) | is_acknowledged(text) | is_past(text)
     return ~(doubtful | is_private(path) | is_generated(path))
 
 

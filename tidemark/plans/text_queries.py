@@ -21,7 +21,7 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '((?i)(?:key|token|secret|password|passwd|credential|cookie|auth)\\w*[\"'']?\\s*[:=]\\s*[\"'']?)[^\\s\"'']{6,}', '\\1***', 'g') AS redacted FROM documents")
+@query("SELECT doc_id, regexp_replace(text, '((" + "|".join(text.SECRET_WORDS) + ")\\w*[''\"]?\\s*[=:]\\s*[''\"]?)[^''\"\\s]{6,}', '\\1***', 'gi') AS redacted FROM documents")
 def redact_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
 

@@ -26,7 +26,8 @@ def walk(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("file"), path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     folder = F.split(F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "/")
     hidden = F.exists(folder, lambda x: (x != "") & x.startswith(".") & ~x.isin(KEPT_HIDDEN))
-    kept = classify_files(listed).filter("readable").filter(~F.arrays_overlap(folder, F.array(*(F.lit(x) for x in SKIPPED_FOLDERS))) & ~hidden)
+    ignores = (F.substring_index("path", "/", -1) == ".gitignore") & ~F.col("generated")
+    kept = classify_files(listed).withColumn("kind", F.when(ignores, "ignore").otherwise(F.col("kind"))).filter("readable OR kind = 'ignore'").filter(~F.arrays_overlap(folder, F.array(*(F.lit(x) for x in SKIPPED_FOLDERS))) & ~hidden)
     small = F.col("size") <= F.when(F.col("kind") == "doc", MOST_DOC_BYTES).otherwise(MOST_CODE_BYTES)
     named = kept.select(F.lit(repo).alias("repo"), "file", "path", "kind", "size", "mtime", small.alias("small"))
     names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file"]) for r in named.filter("small").select("file").toLocalIterator()]
