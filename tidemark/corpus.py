@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import messages
 from .functions.paths import ancestors, dirname, joined, suffixes
 from .functions.text import is_acknowledged, redact, token_estimate
-from .operators import claims, decisions, documents, findings, forbid, guards, markdown, places, resolve, shell, similar, verdicts, vetoes
+from .operators import claims, decisions, documents, findings, forbid, guards, markdown, places, resolve, scripts, shell, similar, verdicts, vetoes
 from .operators import impact as impacts
 from .operators.history import last_times
 from .operators.inventory import is_agent_file
@@ -238,17 +238,44 @@ class Corpus:
         known = manifests.flag_literals(self.files.filter("text IS NOT NULL")).withColumnRenamed("flag", "target")
         return made.filter("kind = 'flag'").join(known, ["repo", "target"], "left_anti").select(*KEYS, F.lit("flag-missing").alias("rule"), F.lit("warning").alias("severity"))
 
+    def _run(self, pages: DataFrame) -> DataFrame:
+        """What shell blocks run, as claims with `what`, `folder`, `flags` and `first`."""
+        run = self._placed(shell.block_commands(markdown.exploded(pages.filter("NOT ignore_file"), "fences")).withColumnRenamed("start", "line"))
+        return run.withColumns({"col": F.lit(1), "text": F.concat_ws(" ", "tool", "target"), "what": F.col("kind"), "kind": F.lit("command")})
+
+    @staticmethod
+    def _scripts_run(run: DataFrame) -> DataFrame:
+        """Those that run a script or module, with the files that it may be (candidates): from the block's folder, the page's folder, and the one in the other."""
+        here = F.when(F.col("folder") == "", dirname(F.col("path"))).otherwise(F.col("folder"))
+        forms = F.when(F.col("what") == "module", F.array(*(F.replace(F.lit(f), F.lit("{}"), F.replace("target", F.lit("."), F.lit("/"))) for f in verdicts.MODULE_FORMS))).otherwise(F.array("target"))
+        of_tree = run.filter("what = 'path' AND NOT target RLIKE '^[/~$<]|://' OR what = 'module' AND target LIKE '%.%'").filter(~claims.has_placeholder(F.col("target")))
+        return of_tree.withColumn("candidates", F.array_distinct(F.flatten(F.transform(forms, lambda f: F.array(joined(F.col("folder"), f), joined(dirname(F.col("path")), f), joined(here, f))))))
+
+    def _arguments(self, pages: DataFrame) -> DataFrame:
+        """Options and subcommands that the code of their script lacks: removed, where it had them when the line was written."""
+        ran = self._scripts_run(self._run(pages)).join(self._elsewhere(pages), "doc", "left_anti")
+        tried = ran.select(*KEYS, "flags", F.col("first").alias("word"), F.posexplode("candidates").alias("_rank", "candidate")).filter(F.col("candidate").rlike(r"\.pyw?$"))
+        code = self.files.filter("kind = 'code' AND text IS NOT NULL").select("repo", "path", "text")
+        found = tried.join(code.select("repo", F.col("path").alias("candidate")), ["repo", "candidate"]).groupBy(*KEYS, "flags", "word").agg(F.min_by("candidate", "_rank").alias("script"))
+        calls = staged(self._written(found), "calls")
+        scope = staged(scripts.scopes(calls, code), "scopes")
+        options = scripts.unknown_options(calls.select("*", F.explode("flags").alias("flag")).drop("flags", "word"), scope, code)
+        words = scripts.with_hints(staged(scripts.unknown_subcommands(calls.drop("flags"), scope, code), "words"))
+        if self.blobs is None:
+            options, words = options.withColumn("had", F.lit(False)), words.withColumn("had", F.lit(False))
+        else:
+            options, words = scripts.had_before(options, "flag", self.blobs), scripts.had_before(words, "word", self.blobs)
+        rule = F.when(F.col("had"), "flag-removed").otherwise("flag-missing")
+        told = options.withColumns({"text": F.col("flag"), "target": F.col("script"), "rule": rule})
+        wrong = words.filter("had OR hint IS NOT NULL").withColumns({"text": F.col("word"), "target": F.col("script"), "rule": F.lit("subcommand-missing")})
+        return told.select(*KEYS, "rule").unionByName(wrong.select(*KEYS, "rule")).withColumn("severity", F.lit("warning"))
+
     def _commands(self, pages: DataFrame) -> DataFrame:
         """Scripts, modules, package scripts and make targets that shell blocks run."""
-        run = self._placed(shell.block_commands(markdown.exploded(pages.filter("NOT ignore_file"), "fences")).withColumnRenamed("start", "line"))
-        run = run.withColumns({"col": F.lit(1), "text": F.concat_ws(" ", "tool", "target"), "what": F.col("kind"), "kind": F.lit("command")})
+        run, there = self._run(pages), self._there()
         here = F.when(F.col("folder") == "", dirname(F.col("path"))).otherwise(F.col("folder"))
         keys = [*KEYS, "what", "folder"]
-        forms = F.when(F.col("what") == "module", F.array(*(F.replace(F.lit(f), F.lit("{}"), F.replace("target", F.lit("."), F.lit("/"))) for f in verdicts.MODULE_FORMS))).otherwise(F.array("target"))
-        scripts = run.filter("what = 'path' AND NOT target RLIKE '^[/~$<]|://' OR what = 'module' AND target LIKE '%.%'").filter(~claims.has_placeholder(F.col("target")))
-        cands = F.array_distinct(F.flatten(F.transform(forms, lambda f: F.array(joined(F.col("folder"), f), joined(dirname(F.col("path")), f), joined(here, f)))))
-        there = self._there()
-        tried = scripts.withColumn("candidates", cands).select(*keys, "candidates", F.explode("candidates").alias("candidate")).join(there.withColumn("hit", F.lit(True)), ["repo", "candidate"], "left")
+        tried = self._scripts_run(run).select(*keys, "candidates", F.explode("candidates").alias("candidate")).join(there.withColumn("hit", F.lit(True)), ["repo", "candidate"], "left")
         lost = tried.groupBy(*keys, "candidates").agg(F.max("hit").alias("hit")).filter("hit IS NULL").drop("hit")
         judged = self._judged(self._written(lost)).withColumn("candidate", dirname(F.get("candidates", F.lit(0)))).join(there.withColumn("folder_there", F.lit(True)), ["repo", "candidate"], "left")
         judged = judged.join(self._elsewhere(pages), "doc", "left_anti")
@@ -348,7 +375,7 @@ class Corpus:
 
     def rules(self, pages: DataFrame, made: DataFrame, said: DataFrame) -> dict[str, Callable[[], DataFrame]]:
         found = {
-            "paths": lambda: self._paths(made, said, pages), "symbols": lambda: self._symbols(made), "flags": lambda: self._flags(made), "commands": lambda: self._commands(pages), "anchors": lambda: self._anchors(made, pages),
+            "paths": lambda: self._paths(made, said, pages), "symbols": lambda: self._symbols(made), "flags": lambda: self._flags(made), "commands": lambda: self._commands(pages), "arguments": lambda: self._arguments(pages), "anchors": lambda: self._anchors(made, pages),
             "decisions": lambda: self._decisions(said), "versions": lambda: self._versions(made, pages), "tables": lambda: self._tables(pages), "forbidden": lambda: self._forbidden(pages), "stale": lambda: self._stale(made),
         }
         return found | ({"copies": self._copies} if self.blame is not None else {})

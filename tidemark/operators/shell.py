@@ -93,7 +93,7 @@ def commands(lines: list[str]) -> list[dict]:
 
 
 def describe(words: list[str]) -> dict:
-    """(tool, kind, target, flags): the script, module, package script or make target that a command runs."""
+    """(tool, kind, target, flags, first): the script, module, package script or make target that a command runs, its options, and the word right behind it."""
     tool, rest = re.sub(r"\.exe$", "", words[0]), words[1:]
     flags = [w.split("=", 1)[0] for w in rest if w.startswith("--") and len(w) > 2]
     plain = [w for w in rest if not w.startswith("-")]
@@ -115,7 +115,9 @@ def describe(words: list[str]) -> dict:
         kind, target = "path", plain[0].split("::")[0]
     elif tool.startswith("./"):
         kind, target = "path", tool[2:]
-    return {"tool": tool, "kind": kind, "target": target, "flags": flags}
+    behind = rest[rest.index(target) + 1 :] if target in rest else rest if kind == "path" else []
+    first = behind[0] if behind and re.fullmatch(r"[A-Za-z][\w-]*", behind[0]) else ""
+    return {"tool": tool, "kind": kind, "target": target, "flags": flags, "first": first}
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -124,15 +126,15 @@ def shell_argv(line: pd.Series) -> pd.Series:
 
 
 def block_commands(fences, lang_pattern: str = r"^(?:|sh|bash|shell|console|zsh|powershell|cmd|bat)$"):
-    """(doc, start, tool, kind, target, flags, folder): what the shell blocks of `fences` (doc, start, lang, lines) run."""
+    """(doc, start, tool, kind, target, flags, first, folder): what the shell blocks of `fences` (doc, start, lang, lines) run."""
 
     def of(batches):
         for batch in batches:
             rows = [{"doc": d, "start": s} | c for d, s, lines in zip(batch["doc"], batch["start"], batch["lines"], strict=True) for c in commands([x["text"] for x in lines])]
             if rows:
-                yield pd.DataFrame(rows)[["doc", "start", "tool", "kind", "target", "flags", "folder"]]
+                yield pd.DataFrame(rows)[["doc", "start", "tool", "kind", "target", "flags", "first", "folder"]]
 
-    return fences.filter(F.col("lang").rlike(lang_pattern)).select("doc", "start", "lines").mapInPandas(of, "doc string, start int, tool string, kind string, target string, flags array<string>, folder string")
+    return fences.filter(F.col("lang").rlike(lang_pattern)).select("doc", "start", "lines").mapInPandas(of, "doc string, start int, tool string, kind string, target string, flags array<string>, first string, folder string")
 
 
 def entered(fences, lang_pattern: str = r"^(?:|sh|bash|shell|console|zsh|powershell|cmd|bat)$"):
