@@ -10,6 +10,7 @@ from ..operators import inventory, lines
 from .registry import query
 from .views import table, v_files, v_lines, v_md, with_views
 
+
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}_\\p{M}]+')) AS BIGINT) AS words, CAST(greatest(1, ceil(len(regexp_extract_all(text, '[\\p{L}\\p{N}_\\p{M}]+')) / 200.0)) AS BIGINT) AS minutes FROM documents")
 def doc_stats(spark: SparkSession, sf: str) -> DataFrame:
     words = text.word_count(F.col("text"))
