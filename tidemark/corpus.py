@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import messages
 from .functions.paths import ancestors, dirname, joined, suffixes
 from .functions.text import is_acknowledged, redact, token_estimate
-from .operators import claims, decisions, documents, findings, forbid, guards, markdown, places, resolve, scripts, shell, similar, verdicts, vetoes
+from .operators import claims, decisions, documents, findings, forbid, guards, markdown, places, resolve, scripts, shell, similar, trees, verdicts, vetoes
 from .operators import impact as impacts
 from .operators.history import last_times
 from .operators.inventory import is_agent_file
@@ -78,12 +78,22 @@ class Corpus:
         return known.select("doc", kind.alias("doc_kind"))
 
     def claims(self, pages: DataFrame | None = None) -> DataFrame:
-        """(repo, path, doc, line, col, kind, text, target, anchor): inline names, links and commands, without ignored lines and pages."""
+        """(repo, path, doc, line, col, kind, text, target, anchor): inline names, links, commands and entries of drawn trees, without ignored lines and pages."""
         pages = (pages if pages is not None else self.pages()).filter("NOT ignore_file")
         spans = claims.inline_claims(markdown.exploded(pages, "spans"), "text").select("doc", "line", "col", "kind", "text", "target", F.lit("").alias("anchor"))
         links = claims.link_claims(markdown.exploded(pages, "links")).select("doc", "line", "col", F.lit("link").alias("kind"), F.col("dest").alias("text"), "target", "anchor")
         ignored = pages.select("doc", F.explode("ignored").alias("line"))
-        return self._placed(spans.unionByName(links).join(ignored, ["doc", "line"], "left_anti"))
+        return self._placed(spans.unionByName(links).unionByName(self._drawn(pages)).join(ignored, ["doc", "line"], "left_anti"))
+
+    def _drawn(self, pages: DataFrame) -> DataFrame:
+        """What drawn trees name, relative to their page's folder; diagrams, examples and blocks whose line is ignored draw nothing."""
+        fences = self._placed(trees.drawn(markdown.exploded(pages, "fences"), trees.teaching_pages(self.documents())).filter("why IS NULL"))
+        kept = fences.join(pages.select("doc", F.explode("ignored").alias("start")), ["doc", "start"], "left_anti").withColumn("folder", dirname(F.col("path")))
+        entries = self._placed(trees.tree_entries(kept).withColumnRenamed("path", "entry")).withColumn("folder", dirname(F.col("path"))).drop("path").withColumnRenamed("entry", "path")
+        none = self.files.limit(0).select("repo", F.col("path").alias("candidate"))
+        ever = none if self.events is None else self.events.select("repo", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("candidate")).distinct()
+        told = trees.rebased(entries, self._there(), ever)
+        return told.select("doc", "line", "col", F.lit("tree").alias("kind"), "text", F.col("path").alias("target"), F.lit("").alias("anchor"))
 
     @staticmethod
     def _placed(rows: DataFrame) -> DataFrame:
@@ -105,7 +115,7 @@ class Corpus:
 
     def _unresolved(self, made: DataFrame) -> DataFrame:
         """Claims on paths none of whose candidates is there, with the candidates inside of the tree."""
-        paths = made.filter("kind IN ('path', 'link') AND target <> ''")
+        paths = made.filter("kind IN ('path', 'tree', 'link') AND target <> ''")
         target = F.regexp_replace("target", "^/+|/+$", "")
         each = paths.withColumns({"_t": target, "_d": dirname(F.col("path"))}).withColumns({"_near": joined(F.col("_d"), F.col("_t")), "_root": joined(F.lit(""), F.col("_t"))})
         inside = each.withColumn("_all", F.array_distinct(F.array("_near", "_root"))).withColumn("candidates", F.filter("_all", lambda c: ~c.startswith("../") & (c != "..")))
@@ -140,12 +150,14 @@ class Corpus:
         judged = judged.withColumns({"group": F.concat_ws(SPLIT, "repo", dirname(spot)), "wanted": F.substring_index(spot, "/", -1), "folder": F.col("target").endswith("/")})
         named = self._there().select(F.concat_ws(SPLIT, "repo", dirname(F.col("candidate"))).alias("group"), F.substring_index("candidate", "/", -1).alias("name"), "repo", "candidate")
         named = named.join(self.files.select("repo", F.col("path").alias("candidate"), F.lit(False).alias("folder")), ["repo", "candidate"], "left").withColumn("folder", F.coalesce("folder", F.lit(True)))
-        near = staged(similar.likely_typos(judged.filter("kind = 'path' AND NOT ever AND size(candidates) > 0"), named), "near")
+        near = staged(similar.likely_typos(judged.filter("kind IN ('path', 'tree') AND NOT ever AND size(candidates) > 0"), named), "near")
         judged = judged.join(near.withColumnRenamed("name", "near"), ["group", "wanted", "folder"], "left").drop("group", "wanted", "folder")
         # a link that a site serves is no broken one, and proves that its tree is a site, which makes pages of its own
         served = staged(self._served(lost).withColumn("served", F.lit(True)), "served")
         judged = judged.join(served, KEYS, "left").join(served.select("repo", F.col("served").alias("site")).distinct(), "repo", "left").filter("served IS NULL")
-        return staged(verdicts.path_rules(judged.withColumn("agent", is_agent_file(F.col("path"))).withColumn("names_target", F.coalesce(verdicts.names_target(F.col("line_text"), F.col("moved_to")), F.lit(False)))), "ruled")
+        # the name that a tree draws does not tell where it went
+        told = F.when(F.col("kind") == "tree", F.expr("substring(line_text, col + length(text))")).otherwise(F.col("line_text"))
+        return staged(verdicts.path_rules(judged.withColumn("agent", is_agent_file(F.col("path"))).withColumn("names_target", F.coalesce(verdicts.names_target(told, F.col("moved_to")), F.lit(False)))), "ruled")
 
     def _lines(self) -> DataFrame:
         return self.documents().select("doc", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("p", "text")).select("doc", (F.col("p") + 1).alias("line"), "text")
@@ -157,7 +169,7 @@ class Corpus:
 
     def _vetoed(self, ruled: DataFrame, pages: DataFrame) -> DataFrame:
         """Paths that never were and are no slips of the pen: (KEYS, veto, status), with all that speaks against telling them."""
-        never = staged(ruled.filter("kind = 'path' AND rule = 'path-missing' AND near IS NULL").select(*KEYS, "candidates"), "never")
+        never = staged(ruled.filter("kind IN ('path', 'tree') AND rule = 'path-missing' AND near IS NULL").select(*KEYS, "candidates"), "never")
         lines = staged(self._lines().join(never.select("doc").distinct(), "doc", "left_semi"), "lines")
         keys = ["doc", "line", "target"]
         mark = lambda rows, name: rows.select(*keys).distinct().withColumn(name, F.lit(True))
@@ -171,7 +183,11 @@ class Corpus:
         coded = mark(vetoes.in_literals(never, vetoes.literal_names(self.files.filter("text IS NOT NULL"))), "coded")
         retired = vetoes.retired_pages(lines, markdown.exploded(pages, "headings")).withColumn("retired", F.lit(True))
         foreign = self._elsewhere(pages).withColumn("foreign", F.lit(True))
-        known = vetoes.claim_sentences(never, lines)
+        # an entry of a tree has no sentence; what follows its name in the line speaks of it
+        remark = F.expr("substring(line_text, col + length(text))")
+        told = lines.withColumnRenamed("text", "line_text")
+        alone = never.filter("kind = 'tree'").join(told, ["doc", "line"], "left").withColumns({"before": F.lit(""), "after": F.coalesce(remark, F.lit(""))}).select(*never.columns, "before", "after")
+        known = vetoes.claim_sentences(never.filter("kind <> 'tree'"), lines).unionByName(alone)
         for rows in (held, covered, remote, coded):
             known = known.join(rows, keys, "left")
         known = known.join(retired, "doc", "left").join(foreign, "doc", "left").join(self.kinds(pages), "doc")
@@ -357,7 +373,7 @@ class Corpus:
         from .operators.history import freshness
 
         target = F.regexp_replace("target", "^/+|/+$", "")
-        refs = made.filter("kind IN ('path', 'link') AND target <> ''").select("doc", F.explode(F.array(joined(dirname(F.col("path")), target), joined(F.lit(""), target))).alias("_c"), "repo").select("doc", at("_c").alias("path")).distinct()
+        refs = made.filter("kind IN ('path', 'tree', 'link') AND target <> ''").select("doc", F.explode(F.array(joined(dirname(F.col("path")), target), joined(F.lit(""), target))).alias("_c"), "repo").select("doc", at("_c").alias("path")).distinct()
         code = self.files.filter("kind = 'code'").select(at("path").alias("path"))
         old = freshness(refs.join(code, "path", "left_semi"), last_times(self.events.select(at("path").alias("path"), "epoch")))
         shown = F.regexp_replace("examples", rf"[^,]*?{SPLIT}", " ")

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text_queries", "join_queries", "rule_queries", "page_queries", "guard_queries", "verdict_queries", "veto_queries", "script_queries", "impact_queries", "decision_queries", "corpus_queries")
+MODULES = ("text_queries", "join_queries", "rule_queries", "page_queries", "guard_queries", "verdict_queries", "veto_queries", "tree_queries", "script_queries", "impact_queries", "decision_queries", "corpus_queries")
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
