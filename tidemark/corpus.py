@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import rules
 from .functions import messages
 from .functions.paths import ancestors, dirname, joined, suffixes
 from .functions.text import is_acknowledged, redact, token_estimate
@@ -389,32 +390,36 @@ class Corpus:
         said = self._placed(old.join(docs, ["doc", "line"])).withColumns({"col": F.lit(1), "kind": F.lit("line"), "target": F.lit("")})
         return said.select(*KEYS, F.lit("copies-diverged").alias("rule"), F.lit("warning").alias("severity"))
 
-    def rules(self, pages: DataFrame, made: DataFrame, said: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-        found = {
-            "paths": lambda: self._paths(made, said, pages), "symbols": lambda: self._symbols(made), "flags": lambda: self._flags(made), "commands": lambda: self._commands(pages), "arguments": lambda: self._arguments(pages), "anchors": lambda: self._anchors(made, pages),
-            "decisions": lambda: self._decisions(said), "versions": lambda: self._versions(made, pages), "tables": lambda: self._tables(pages), "forbidden": lambda: self._forbidden(pages), "stale": lambda: self._stale(made),
-        }
-        return found | ({"copies": self._copies} if self.blame is not None else {})
+    def _shared(self, needs: set[str]) -> dict[str, DataFrame]:
+        """The tables `needs` of `rules.SHARED`, and the pages that they rest on, written once."""
+        out = {"pages": staged(self.pages(), "pages")}
+        if "claims" in needs:
+            out["claims"] = staged(self.claims(out["pages"]), "claims")
+        if "said" in needs:
+            out["said"] = staged(markdown.exploded(out["pages"], "said").withColumnRenamed("text", "line_text"), "said")
+        if "lines" in needs:
+            out["lines"] = staged(self._placed(self._lines()).select("repo", "path", "doc", "line", "text"), "lines")
+        return out
 
     def check(self, sure_only: bool = False, names: list[str] | None = None, lang: str = "en", groups: list[str] | None = None) -> DataFrame:
-        """Findings: (repo, path, line, col, rule, severity, claim, message, fingerprint). `names`: only these rules; `groups`: only these groups of rules (see `rules`).
+        """Findings: (repo, path, line, col, rule, severity, claim, message, fingerprint). `names`: only these rules; `groups`: only these of the registered rules (see `rules.rule`).
 
-        Pages, claims and quoted lines are written once; each group of rules is planned and run by itself, some at a time, and its findings are written too.
+        The tables that they need are written once; each is planned and run by itself, some at a time, and its findings are written too.
         """
-        pages = staged(self.pages(), "pages")
-        made = staged(self.claims(pages), "claims")
-        said = staged(markdown.exploded(pages, "said").withColumnRenamed("text", "line_text"), "said")
-        known = self.rules(pages, made, said)
+        run = rules.chosen(self, groups)
+        tables = self._shared({"pages", "said", *(n for r in run for n in r.needs), *(["claims"] if self.events is not None else [])})
+        pages, said = tables["pages"], tables["said"]
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            found = list(pool.map(lambda g: staged(known[g](), f"found-{g}"), groups or known))
-        all_ = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self.files.limit(0).select(F.lit("").alias("own")), *found])
+            found = list(pool.map(lambda r: staged(rules.findings(r, self, tables), f"found-{r.name}"), run))
+        none = self.files.limit(0).select("repo", "path", F.lit(0).alias("line"), *(F.lit("").alias(c) for c in ("text", "rule", "severity")), F.lit(1).alias("col"), *(F.lit("").alias(c) for c in ("kind", "target", "own", "doc")))
+        all_ = reduce(DataFrame.unionByName, found, none).withColumn("doc", F.coalesce("doc", at("path")))
         if names:
             all_ = all_.filter(F.col("rule").isin(names))
         placed = all_.withColumn("claim", F.col("text")).drop("text", "kind").join(said, ["doc", "line"], "left").withColumn("text", F.coalesce("own", "line_text", F.lit(""))).drop("own")
-        judged = findings.downgraded(placed.join(self.kinds(pages).withColumnRenamed("doc_kind", "kind"), "doc"))
+        judged = findings.downgraded(placed.join(self.kinds(pages).withColumnRenamed("doc_kind", "kind"), "doc", "left").withColumn("kind", F.coalesce("kind", F.lit("live"))))
         told = findings.first_of_each(judged.withColumn("fingerprint", findings.fingerprint(F.col("rule"), at("path"), F.col("claim"), F.col("text"))))
         if self.events is not None:
-            told = self._without_foreign(told, made)
+            told = self._without_foreign(told, tables["claims"])
         if sure_only:
             told = findings.sure_only(told)
         return told.select("repo", "path", "line", "col", "rule", "severity", "claim", messages.message(F.col("rule"), F.col("claim"), lang).alias("message"), "fingerprint")
@@ -453,3 +458,22 @@ class Corpus:
 
     def cost(self) -> DataFrame:
         return documents.cost_order(documents.agent_cost(self.files.filter("text IS NOT NULL")))
+
+
+def _told_by(name: str, method: str, *needs: str, when: Callable[[Corpus], bool] = lambda corpus: True) -> None:
+    """Registers a method of the corpus, which takes the tables in the order of `needs`."""
+    rules.rule(name, *needs, when=when)(lambda corpus, **tables: getattr(corpus, method)(*(tables[n] for n in needs)))
+
+
+_told_by("paths", "_paths", "claims", "said", "pages")
+_told_by("symbols", "_symbols", "claims")
+_told_by("flags", "_flags", "claims")
+_told_by("commands", "_commands", "pages")
+_told_by("arguments", "_arguments", "pages")
+_told_by("anchors", "_anchors", "claims", "pages")
+_told_by("decisions", "_decisions", "said")
+_told_by("versions", "_versions", "claims", "pages")
+_told_by("tables", "_tables", "pages")
+_told_by("forbidden", "_forbidden", "pages")
+_told_by("stale", "_stale", "claims", when=lambda corpus: corpus.events is not None)
+_told_by("copies", "_copies", when=lambda corpus: corpus.blame is not None)
