@@ -90,7 +90,7 @@ class Corpus:
         """What drawn trees name, relative to their page's folder; diagrams, examples and blocks whose line is ignored draw nothing."""
         fences = self._placed(trees.drawn(markdown.exploded(pages, "fences"), trees.teaching_pages(self.documents())).filter("why IS NULL"))
         kept = fences.join(pages.select("doc", F.explode("ignored").alias("start")), ["doc", "start"], "left_anti").withColumn("folder", dirname(F.col("path")))
-        entries = self._placed(trees.tree_entries(kept).withColumnRenamed("path", "entry")).withColumn("folder", dirname(F.col("path"))).drop("path").withColumnRenamed("entry", "path")
+        entries = self._placed(staged(trees.tree_entries(kept), "entries").withColumnRenamed("path", "entry")).withColumn("folder", dirname(F.col("path"))).drop("path").withColumnRenamed("entry", "path")
         none = self.files.limit(0).select("repo", F.col("path").alias("candidate"))
         ever = none if self.events is None else self.events.select("repo", F.explode(F.array_append(ancestors(F.col("path")), F.col("path"))).alias("candidate")).distinct()
         told = trees.rebased(entries, self._there(), ever)
