@@ -160,3 +160,25 @@ def test_many_kinds_of_letters_in_one_run_of_rows():
     for i in (0, 1499, 2999):
         assert key[row == i].tolist() == one[1].tolist() and count[row == i].tolist() == one[2].tolist()
     assert len(key[row == 3000]) >= 3 * len(letters) - 2
+
+
+def test_whole_result_like_plain_profiles(spark):
+    """Profiles, distances and the query's rows against counters over all documents."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    key = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    first = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], key(x[0])))[:300]]
+    grams, learned = [plain_grams(r.text or "") for r in rows], {}
+    for r, g in zip(rows, grams):
+        if r.lang is not None and r.text is not None and crc32(str(r.doc_id).encode()) % 4 != 2:
+            learned.setdefault(r.lang, Counter()).update(g)
+    ranks = {lang: {g: i for i, g in enumerate(first(c))} for lang, c in sorted(learned.items())}
+    want = {}
+    for r, g in zip(rows, grams):
+        own = first(g)
+        far = {lang: sum(abs(i - known[x]) if x in known else 300 for i, x in enumerate(own)) for lang, known in ranks.items()}
+        best = min(far, key=far.get)
+        want[r.doc_id] = (best, 1 - far[best] / (300 * len(own))) if own else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in op8_rank_order_language(spark, SF).collect()}
+    assert len(ranks) > 1 and got.keys() == want.keys()
+    assert [(d, got[d][0]) for d in got] == [(d, want[d][0]) for d in got]
+    assert all(math.isclose(got[d][1], want[d][1], abs_tol=1e-12) for d in got)

@@ -90,3 +90,34 @@ def test_bands_reject_junk_and_keep_prose_of_labelled_documents(spark):
     junk, good = ([kept for q, kept in held if q == y] for y in (0, 1))
     assert len(junk) > 50 and len(good) > 500
     assert junk.count(False) > len(junk) / 2 and good.count(False) < len(good) / 100
+
+
+def test_verdicts_like_plain_quartiles(spark):
+    """The query's `kept` for all documents of a small table against sorted lists, with a band of its own for documents without language."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=public_path("piece_bpe_32k.model"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "CASE WHEN doc_id % 7 > 0 THEN lang END AS lang")
+    plain, lists = {}, {}
+    for r in docs.collect():
+        text = r.text or ""
+        ids = [i for w in words_of(text) for i in model.encode(w)]
+        n = len(ids)
+        measures = (sum(map(len, words_of(text))) / max(n, 1), sum(map(model.is_byte, ids)) / max(n, 1), -sum(c / n * math.log2(c / n) for c in Counter(ids).values()))
+        band = f"lang:{r.lang}" if r.lang is not None else f"script:{script_of(text)}"
+        failed = brute(text)[-1]
+        plain[r.doc_id] = (band, n, measures, failed)
+        if not failed:
+            for k, m in enumerate(measures):
+                lists.setdefault((band, k), []).append(math.floor(m * 1024))
+    kept = {}
+    for d, (band, n, measures, failed) in plain.items():
+        kept[d] = not failed
+        for k, m in enumerate(measures):
+            bins = sorted(lists.get((band, k), [0]))
+            low, high = (bins[-(-q * len(bins) // 4) - 1] / 1024 for q in (1, 3))
+            reach = 2.5 * (1 + 2 / math.sqrt(max(n, 1))) * max(high - low, abs(high) * 0.02 + 0.002)
+            kept[d] &= low - reach <= m <= high + reach
+    got = {r.doc_id: (r.base_failed, r.kept) for r in fertility_rules(docs).collect()}
+    assert got == {d: (plain[d][3], kept[d]) for d in plain}
+    assert len({x[0] for x in plain.values()}) > 2 and {False, True} == {x[1] for x in got.values()}
