@@ -100,3 +100,51 @@ def test_links_at_the_threshold_of_equally_frequent_ngrams(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "sketch", lambda rows, k: np.where(exact(rows, k) > 0, 10**9, 0))  # all n-grams are frequent, with the same count
     got = {r.doc_id: r.n_links for r in near_duplicates(df, 1, 60, 100).collect()}
     assert sum(n == 0 for n in got.values()) == 0
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100), (60, 100)])
+def test_linked_sets_have_a_part_in_common(num, den):
+    rng = np.random.default_rng(num)
+    sets = []
+    for size in [*range(1, 40), *rng.integers(40, 900, 60)]:
+        whole = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        gone = rng.integers(0, len(whole) * (den - num) // den + 1)
+        other = rng.permutation(whole)[gone:]
+        more = rng.integers(0, max(0, den * len(other) // num - len(whole)) + 1)
+        sets += [whole, np.unique(np.concatenate([other, rng.integers(0, 1 << 63, more).astype(np.uint64)]))]
+    row, key = jaccard.part_keys(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets), len(sets), num, den)
+    linked = 0
+    for x in range(0, len(sets), 2):
+        a, b = set(sets[x].tolist()), set(sets[x + 1].tolist())
+        if a != b and b and den * len(a & b) >= num * len(a | b):
+            linked += 1
+            assert set(key[row == x].tolist()) & set(key[row == x + 1].tolist())
+    assert linked > 30
+    assert len(set(key.tolist())) > len(key) / 3  # unlike sets share hardly any
+
+
+@pytest.mark.parametrize("seed,k,num,tile", [(1, 3, 90, 1024), (2, 5, 80, 4), (3, 3, 60, 1024), (4, 1, 80, 1024)])
+def test_all_links_are_found_where_ngrams_are_crowded(spark, seed, k, num, tile):
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r)[:4] for r in near_duplicates(df, k, num, 100, tile=tile, meeting=1).collect()), key=repr)
+    assert got == brute(rows, k, num, 100)
+
+
+def test_a_common_passage_makes_no_large_group(spark, monkeypatch):
+    rng = random.Random(3)
+    passage = " ".join(f"common{i}" for i in range(14))
+    texts = [f"{passage} {' '.join(f'w{rng.randrange(10**9)}' for _ in range(rng.randint(3, 8)))}" for _ in range(900)]
+    texts += [f"{passage} {' '.join(f'pair{x // 2}y{i}' for i in range(30))}" + " end" * (x % 2) for x in range(20)]
+    counts, real = {}, jaccard.stage
+
+    def stage(df, name):
+        counts[name] = out = real(df, name)
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", stage)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in near_duplicates(df, 3, 90, 100).collect()}
+    assert all(got[900 + x] == (900 + x // 2 * 2, 1) for x in range(20))
+    assert all(got[x] == (x, 0) for x in range(900))
+    assert counts["groups"].groupBy("root").count().agg({"count": "max"}).first()[0] < 20  # each group's texts are dealt to tiles

@@ -9,7 +9,9 @@ prefix, so nearly all prefixes lie inside. A document whose zone has too few n-g
 hash buckets, exactly those that its prefix still needs. Frequent n-grams by the bucket counts are not part of the zone, so none of them gathers the corpus in a task.
 
 N-grams that only one set has lead the order and can match nothing: a document with a prefix of such ones drops out here. The others meet
-at their shared prefix n-grams, where length, position and the number of shared zone n-grams rule most pairs out. Groups that the rest
+at their shared prefix n-grams, where length, position, the number of shared zone n-grams and 256 parities of their n-grams rule most pairs
+out. Sets that hold an n-gram which too many prefixes share meet by parts instead: sets that reach the threshold differ in few n-grams, so that of
+one more hash-chosen parts than that, one at least is equal in both (`pieces`). Groups that the rest
 connect are compared, in tiles of bounded size: at the first n-gram that a
 pair has in common, length and positional filters apply, then the suffix filter (overlap bounded by how many hashes
 fall into each of some ranges), then the sets themselves are compared, once for each pair. Links leave a tile as one label for each class, so
@@ -32,6 +34,7 @@ from .components import components
 
 SKETCH_BITS, BLOCK_BITS = 20, 12
 RANGES = 32  # of the suffix filter
+SIGN = ("s0", "s1", "s2", "s3")  # parities of a set
 TILE, TILE_GRAMS = 1024, 1 << 21  # classes and n-grams of a side of a tile, about
 
 
@@ -63,6 +66,13 @@ def digests(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.n
         return n, mix((one[ends[1:]] - one[ends[:-1]]) + n.astype(U64)), mix((two[ends[1:]] - two[ends[:-1]]) ^ n.astype(U64))
 
 
+def parities(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """Of each row's set, whether an odd number of n-grams falls into each of 256 hash ranges, as bits of four numbers. Two sets differ in as many n-grams, at least, as these in bits."""
+    out = np.zeros((rows, len(SIGN)), U64)
+    np.bitwise_xor.at(out, (row, ((h >> U64(46)) & U64(3)).astype(np.int64)), U64(1) << ((h >> U64(40)) & U64(63)))
+    return out
+
+
 def _buckets(h: np.ndarray) -> np.ndarray:
     return (h >> U64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -96,7 +106,7 @@ def sketch(rows: DataFrame, k: int) -> np.ndarray:
 
 
 ENTRIES = "token long, node long, aux long"
-MEMBERS = "k1 long, k2 long, id long, d1 long, d2 long, n int, prefix int, zone int"
+MEMBERS = "k1 long, k2 long, id long, d1 long, d2 long, n int, prefix int, zone int, s0 long, s1 long, s2 long, s3 long"
 LIGHT = -1  # aux of an n-gram of the zone; else bucket count and place in the prefix, in one number
 
 
@@ -121,7 +131,7 @@ def entries(rows: DataFrame, k: int, num: int, den: int, counts, members: bool)
                 zone = np.bincount(row[light], minlength=j - i)
                 if members:
                     arrays = [batch.column(c)[i:j] for c in ("k1", "k2", "id")] + [pa.array(signed(d1)), pa.array(signed(d2))]
-                    yield pa.RecordBatch.from_arrays(arrays + [pa.array(v.astype(np.int32)) for v in (n, prefix, zone)], [x.split()[0] for x in MEMBERS.split(", ")])
+                    yield pa.RecordBatch.from_arrays(arrays + [pa.array(v.astype(np.int32)) for v in (n, prefix, zone)] + [pa.array(v) for v in signed(parities(row, h, j - i)).T], [x.split()[0] for x in MEMBERS.split(", ")])
                     continue
                 order = np.lexsort((signed(h), rough, light, row))  # in each row the others, in the order in which compare() visits them, then the zone
                 place = np.arange(len(row)) - np.searchsorted(row, row, "left")
@@ -142,20 +152,23 @@ def entries(rows: DataFrame, k: int, num: int, den: int, counts, members: bool)
     return rows.select("k1", "k2", "id", "text").mapInArrow(of, MEMBERS if members else ENTRIES)
 
 
-MEETING = 1024  # members of an n-gram's group whose pairs are looked at; of larger groups all are joined
+MEETING = 1024  # prefixes that an n-gram may have for their pairs to be looked at there; the sets of more meet by parts
+JOINED = 1 << 13  # sets with an equal part whose pairs are looked at; more than that are joined, for the tiles to compare
+MET = "token long, node long, n int, pos int, rest int, known int, s0 long, s1 long, s2 long, s3 long"
 
 
 def _meet(batches, num: int, den: int):
-    """Edges between sets that meet at an n-gram (rows token, node, n, pos, rest, known; sorted) and that filters leave possible, as one label for each.
+    """Edges between sets that meet at an n-gram or part (rows of MET, sorted) and that filters leave possible, as one label for each.
 
     A pair overlaps by at most what is left of the shorter one from the n-gram on, and by at most the zone n-grams that either shares with
-    any set plus its n-grams outside of the zone.
+    any set plus its n-grams outside of the zone. It differs by at least the parities that differ.
     """
-    names = ("token", "node", "n", "pos", "rest", "known")
+    names = [x.split()[0] for x in MET.split(", ")]
     held: list[np.ndarray] | None = None
 
     def settle(cols: list[np.ndarray]):
-        token, node, n, pos, rest, known = cols
+        token, node, n, pos, rest, known = cols[:6]
+        sign = np.stack(cols[6:], 1).view(U64)
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(head, len(token)))
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -167,18 +180,32 @@ def _meet(batches, num: int, den: int):
             zone = np.minimum(known[x], known[y]) + np.minimum(rest[x], rest[y]) >= need
             return (similar & left & zone) | (n[x] < 0) | (n[y] < 0)
 
+        def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            differ = np.bitwise_count(sign[x] ^ sign[y]).sum(1, dtype=np.int64)
+            return ((den + num) * differ <= (den - num) * (n[x] + n[y])) | (n[x] < 0) | (n[y] < 0)
+
         two = head[size == 2]
         two = two[fine(two, two + 1)]
+        two = two[close(two, two + 1)]
         out.append((node[two], node[two + 1]))
         for h, k in zip(head[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if k > MEETING:
+            if k > JOINED:
                 out.append((node[h + 1 : h + k], np.full(k - 1, node[h])))
                 continue
-            i = np.arange(h, h + k)
-            a, b = np.nonzero(np.triu(fine(i[:, None], i[None, :]), 1))
-            label = local_labels(k, a, b)
+            i = h + np.argsort(n[h : h + k], kind="stable")
+            label = np.arange(k)
+            step = max(1, (1 << 20) // k)
+            for lo in range(0, k, step):  # a set against those that are not smaller, nor too large, nor connected with it by then
+                x = np.arange(lo, min(lo + step, k))
+                end = k if n[i[0]] < 0 else int(np.searchsorted(n[i], den * n[i[x[-1]]] // num, "right"))
+                y = np.arange(lo, end)
+                a, b = np.nonzero((label[x][:, None] != label[y][None, :]) & (x[:, None] < y[None, :]) & fine(i[x][:, None], i[y][None, :]))
+                a, b = x[a], y[b]
+                linked = close(i[a], i[b])
+                moved = np.flatnonzero(label != np.arange(k))
+                label = local_labels(k, np.concatenate([a[linked], moved]), np.concatenate([b[linked], label[moved]]))
             moved = np.flatnonzero(label != np.arange(k))
-            out.append((node[h + moved], node[h + label[moved]]))
+            out.append((node[i[moved]], node[i[label[moved]]]))
         a, b = (np.concatenate(v) for v in zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -196,6 +223,66 @@ def _meet(batches, num: int, den: int):
         yield settle(held)
 
 
+def part_keys(row: np.ndarray, h: np.ndarray, rows: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) such that rows with different sets that reach the threshold have a key in common.
+
+    Bounds of sizes grow so that such sets lie in the same span or in neighbouring ones; a set takes part in its own span and in the one below.
+    In a span, linked sets differ in at most `most` n-grams, so of `most` + 1 + spare parts, chosen by hash, more than `spare` are
+    equal. A set with at most `spare` empty parts shares one that is not empty; only of others do the empty parts count as well.
+    """
+    n = np.bincount(row, minlength=rows)
+    bounds = [1]
+    while bounds[-1] <= n.max(initial=0):
+        bounds.append(bounds[-1] * den // num + 1)
+    bounds.append(bounds[-1] * den // num + 1)
+    bound = np.array(bounds)
+    own = np.searchsorted(bound, n, "right") - 1
+    mixed, salted = mix(h ^ U64(BASE_A)) >> U64(32), mix(h ^ U64(BASE_B))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for span in (own, own - 1):
+        at = np.clip(span, 0, len(bound) - 3)
+        most = (den - num) * (bound[at + 1] + bound[at + 2] - 2) // (den + num)
+        spare = most // 8
+        parts = np.where((n > 0) & (span >= 0) & (most > 0), most + 1 + spare, 0)  # where no n-gram may differ, sets are equal
+        first = np.cumsum(parts) - parts
+        mine = parts[row] > 0
+        r = row[mine]
+        where = first[r] + ((mixed[mine] * parts[r].astype(U64)) >> U64(32)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[U64(0)], np.cumsum(salted[mine][order], dtype=U64)])
+        full, start = np.unique(where[order], return_index=True)
+        with np.errstate(over="ignore"):
+            total = sums[np.append(start[1:], len(order)).astype(np.int64)] - sums[start]
+        empty = np.ones(int(parts.sum()), bool)
+        empty[full] = False
+        of = np.repeat(np.arange(rows), parts)
+        empty &= (np.bincount(of[empty], minlength=rows) > spare)[of]
+        place = np.concatenate([full, np.flatnonzero(empty)])
+        whose = of[place]
+        with np.errstate(over="ignore"):
+            key = mix(np.concatenate([total, np.zeros(len(place) - len(full), U64)]) + mix((at[whose].astype(U64) << U64(40)) + (place - first[whose]).astype(U64)))
+        out.append((whose, key))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))  # type: ignore[return-value]
+
+
+def pieces(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Rows of MET for each part of the sets of `texts` (d1, text), the part as token."""
+
+    def of(batches):
+        for batch in batches:
+            raw, off = base.text_buffer(batch.column("text"))
+            node = batch.column("d1").to_numpy(zero_copy_only=False)
+            for i, j in base.row_runs(off):
+                row, h = shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], k)
+                n, sign = np.bincount(row, minlength=j - i).astype(np.int32), signed(parities(row, h, j - i))
+                who, key = part_keys(row, h, j - i, num, den)
+                none = np.zeros(len(who), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (signed(key), node[i + who], n[who], none, n[who], none, *sign[who].T)], [x.split()[0] for x in MET.split(", ")])
+
+    return texts.select("d1", "text").mapInArrow(of, MET)
+
+
 VERIFIED = "d1 long, d2 long, to1 long, to2 long, links long"
 
 
@@ -299,7 +386,7 @@ def _verify(batches, k: int, num: int, den: int):
         yield settle()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE, meeting: int = MEETING) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, k1, k2, r1, r2) for each row of `docs`.
 
     Two documents are linked when den * |intersection| >= num * |union| of their word `k`-grams (A-Z in lower case). component_id is the
@@ -314,7 +401,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     counts = spark.sparkContext.broadcast(sketch(rows, k))  # of fixed size
     members = stage(entries(rows, k, num, den, counts, members=True), "members")
     last = F.lit(2**63 - 1).cast("long")
-    classes = stage(members.filter("n > 0").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("id", last)).alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.first("prefix").alias("prefix"), F.first("zone").alias("zone"), F.first("n").alias("n")), "classes")
+    classes = stage(members.filter("n > 0").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("id", last)).alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.first("prefix").alias("prefix"), F.first("zone").alias("zone"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in SIGN)), "classes")
 
     # n-grams that two sets have, in the order (tier, c, token); of each set, those in its prefix
     at_token = Window.partitionBy("token")
@@ -323,23 +410,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     item = F.struct(F.when(light, 0).otherwise(1).alias("tier"), F.when(light, F.col("c")).otherwise(F.shiftright("aux", 24)).alias("c"), "token", F.when(light, -1).otherwise(F.col("aux").bitwiseAND((1 << 24) - 1)).cast("int").alias("pos"))
     lists = shared.groupBy("node").agg(F.sort_array(F.collect_set(item)).alias("tokens"))
     # should two classes ever share the first digest, n is null and no filter applies to them
-    of_node = classes.groupBy(F.col("d1").alias("node")).agg(F.max("prefix").alias("prefix"), F.max("zone").alias("zone"), F.when(F.count(F.lit(1)) == 1, F.max("n")).alias("n"))
+    of_node = classes.groupBy(F.col("d1").alias("node")).agg(F.max("prefix").alias("prefix"), F.max("zone").alias("zone"), F.when(F.count(F.lit(1)) == 1, F.max("n")).alias("n"), *(F.max(c).alias(c) for c in SIGN))
     known = F.size(F.filter("tokens", lambda t: t["tier"] == 0))
     placing = F.transform("tokens", lambda t, i: F.struct(t["tier"].alias("tier"), t["c"].alias("c"), t["token"].alias("token"), F.when(t["tier"] == 0, i + F.col("zone") - known).otherwise(t["pos"]).cast("int").alias("pos")))
-    placed = lists.join(of_node, "node").select("node", "prefix", "zone", "n", known.alias("known"), placing.alias("tokens")).select("node", "zone", "n", "known", F.filter("tokens", lambda t: t["pos"] < F.col("prefix")).alias("tokens")).filter(F.size("tokens") > 0)
+    placed = lists.join(of_node, "node").select("node", "prefix", "zone", "n", known.alias("known"), placing.alias("tokens"), *SIGN).select("node", "zone", "n", "known", *SIGN, F.filter("tokens", lambda t: t["pos"] < F.col("prefix")).alias("tokens")).filter(F.size("tokens") > 0)
     placed = stage(placed, "prefixes")
 
-    each = placed.select("node", "zone", "n", "known", F.explode("tokens").alias("t")).select("t.token", "node", "n", "t.pos", (F.col("n") - F.col("zone")).alias("rest"), "known")
-    edges = each.repartition("token").sortWithinPartitions("token", "node").mapInArrow(partial(_meet, num=num, den=den), "a long, b long")
-    groups = stage(components(edges), "groups")
+    each = placed.select("node", "zone", "n", "known", *SIGN, F.explode("tokens").alias("t")).select("t.token", "node", "n", "t.pos", (F.col("n") - F.col("zone")).alias("rest"), "known", *SIGN)
+
+    def met(rows_met: DataFrame) -> DataFrame:
+        return rows_met.repartition("token").sortWithinPartitions("token", "node").mapInArrow(partial(_meet, num=num, den=den), "a long, b long")
+
+    crowds = base.small_side(each.groupBy("token").count().filter(F.col("count") > meeting).select("token"), "crowds")
+    pairs = stage(met(each.join(crowds, "token", "left_anti")), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("crowd")).unionByName(each.join(crowds, "token", "left_semi").select("node", F.lit(True).alias("crowd")))
+    ends = ends.groupBy("node").agg(F.max("crowd").alias("crowd")).join(classes.select(F.col("d1").alias("node"), "d1", "d2", "one.k1", "one.k2"), "node").drop("node")
+    once = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("d1", "d2"))  # rows that are alike stand here together
+    texts = stage(rows.select("k1", "k2", "text").join(ends.hint("merge"), ["k1", "k2"]).withColumn("nth", once).filter("nth = 1").select("d1", "d2", "crowd", "text"), "texts")
+    groups = stage(components(pairs.unionByName(met(pieces(texts.filter("crowd"), k, num, den)))), "groups")
     of_root = groups.join(classes.select(F.col("d1").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams"))
     tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(tile)), F.ceil(F.col("grams") / F.lit(TILE_GRAMS))).cast("int")
     # written first, so that Spark can split a root that many classes have
     sizes = stage(of_root.select("root", tiles.alias("tiles")), "sizes")
     work = groups.join(sizes, "root").join(classes, groups["node"] == classes["d1"]).join(placed.select("node", "tokens"), "node")
-    work = work.select("root", "d1", "d2", "copies", "tokens", "one.k1", "one.k2", "tiles").withColumn("tile", F.pmod(F.xxhash64("d2"), F.col("tiles")).cast("int"))
-    once = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("d1", "d2"))  # rows that are alike stand here together
-    dealt = work.join(rows.select("k1", "k2", "text"), ["k1", "k2"]).withColumn("nth", once).filter("nth = 1")
+    work = work.select("root", "d1", "d2", "copies", "tokens", "tiles").withColumn("tile", F.pmod(F.xxhash64("d2"), F.col("tiles")).cast("int"))
+    dealt = work.join(texts.select("d1", "d2", "text"), ["d1", "d2"])
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "d1", "d2", "copies", "tokens", "text")
     verified = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(partial(_verify, k=k, num=num, den=den), VERIFIED)
     verified = stage(verified, "links")
