@@ -151,6 +151,20 @@ def test_crowded_anchors_are_widened(spark):
         assert key([tuple(r)[:5] for r in got]) == key(brute_bytes(rows, 24))
 
 
+@pytest.mark.parametrize("operator,brute,size,width", [(suffix_array_dedup, brute_bytes, 24, 6), (substring_dedup, brute_words, 12, 3)])
+def test_texts_are_not_moved_for_crowded_anchors(spark, monkeypatch, operator, brute, size, width):
+    """Texts are joined with what is wanted of them once, however often anchors are widened; after that contexts are."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices("ghi", k=15)) + " j k l m n o p q r s t u v w"[rng.randint(0, 5) * 2 :] + " " + " ".join(rng.choices("xyz", k=15))) for i in range(60)]
+    rows += [rows[3], (70, rows[4][1]), (None, rows[5][1]), (None, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    read, cut = [], repeats.contexts
+    monkeypatch.setattr(repeats, "contexts", lambda rows, kinds, units: read.append((units.width, rows.schema["text"].dataType.simpleString())) or cut(rows, kinds, units))
+    got = operator(df, size=size, width=width, crowd=30, texts=False).collect()
+    assert key([tuple(r) for r in got]) == key(brute(rows, size))
+    assert [kind for _, kind in read] == ["string"] + ["binary"] * (len(read) - 1) and len(read) > 1
+
+
 @pytest.mark.parametrize("name,operator", [("suffix_array", suffix_array_dedup), ("substring", substring_dedup)])
 def test_the_resolver_decides(spark, monkeypatch, name, operator):
     """Where an anchor has different contexts, nothing but the suffix array or the tree says which windows repeat."""
