@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm import jaccard
+from tidemark.llm import base, jaccard
 from tidemark.llm.components import components
 from tidemark.llm.jaccard import near_duplicates
 
@@ -83,6 +83,25 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_stage_tables_have_few_files(spark, monkeypatch, tmp_path):
+    """Where Spark does not join small partitions, tables of a narrow row for each class would get a file for each of them."""
+    monkeypatch.setattr(base, "shared_dir", lambda spark: str(tmp_path))
+    rows = [(i, f"{i // 2} a{i // 2} b{i // 2} c{i // 2} d{i // 2} e{i // 2}") for i in range(400)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("16", "false"), strict=True):
+            spark.conf.set(k, v)
+        rows += [(i, t + " new") for i, t in rows[:100]]
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=50, den=100)
+        assert got.count() == 500 and {r.component_id for r in got.collect()} == set(range(0, 400, 2))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [(t.name.partition("-")[0], len(list(t.glob("part-*")))) for t in (tmp_path / "stages").iterdir()]
+    assert {n for name, n in files if name in ("classes", "groups", "sizes", "verdicts")} == {1}
+    assert sum(n for name, n in files if name == "edges") <= 16 + sum(name == "edges" for name, _ in files)  # one round's count is not known before
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 1, 2)], "doc_id long, text string, node long, n int")

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from .base import stage
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, rows: int | None = None) -> DataFrame:
     """(node, root) for each node of `edges` (a, b), root the smallest node of its component. Nodes may be of any type that compares.
 
     Each round points the larger neighbours of each node at its smallest one, then the smaller ones; a few rounds make stars. Each
-    round is written to the shared folder. Only the count of changed edges comes to the driver.
+    round is written to the shared folder, in as few files as its edges need. Only the count of edges and one hash of them all come to the driver.
+    rows: how many `edges` has at most, if that is known.
     """
-    now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    state = lambda now: tuple(now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first())
+    now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
+    before = state(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -23,11 +25,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        now = stage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        n = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if before is not None and tuple(n) == before:
+        now = stage(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges", 2 * before[0])  # each edge gives two at most
+        after = state(now)
+        if after == before:
             break
-        before = tuple(n)
+        before = after
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct()

@@ -400,8 +400,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     rows = base.keyed(docs, id_col, text_col)
     counts = spark.sparkContext.broadcast(sketch(rows, k))  # of fixed size
     members = stage(entries(rows, k, num, den, counts, members=True), "members")
+    most = members.count()  # of classes, and of what has a row for each; read off the files' ends
     last = F.lit(2**63 - 1).cast("long")
-    classes = stage(members.filter("n > 0").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("id", last)).alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.first("prefix").alias("prefix"), F.first("zone").alias("zone"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in SIGN)), "classes")
+    classes = stage(members.filter("n > 0").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.coalesce("id", last)).alias("least"), F.min(F.struct("k1", "k2")).alias("one"), F.first("prefix").alias("prefix"), F.first("zone").alias("zone"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in SIGN)), "classes", most)
 
     # n-grams that two sets have, in the order (tier, c, token); of each set, those in its prefix
     at_token = Window.partitionBy("token")
@@ -427,11 +428,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     ends = ends.groupBy("node").agg(F.max("crowd").alias("crowd")).join(classes.select(F.col("d1").alias("node"), "d1", "d2", "one.k1", "one.k2"), "node").drop("node")
     once = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("d1", "d2"))  # rows that are alike stand here together
     texts = stage(rows.select("k1", "k2", "text").join(ends.hint("merge"), ["k1", "k2"]).withColumn("nth", once).filter("nth = 1").select("d1", "d2", "crowd", "text"), "texts")
-    groups = stage(components(pairs.unionByName(met(pieces(texts.filter("crowd"), k, num, den)))), "groups")
+    groups = stage(components(pairs.unionByName(met(pieces(texts.filter("crowd"), k, num, den)))), "groups", most)
     of_root = groups.join(classes.select(F.col("d1").alias("node"), "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("grams"))
     tiles = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(tile)), F.ceil(F.col("grams") / F.lit(TILE_GRAMS))).cast("int")
     # written first, so that Spark can split a root that many classes have
-    sizes = stage(of_root.select("root", tiles.alias("tiles")), "sizes")
+    sizes = stage(of_root.select("root", tiles.alias("tiles")), "sizes", most)
     work = groups.join(sizes, "root").join(classes, groups["node"] == classes["d1"]).join(placed.select("node", "tokens"), "node")
     work = work.select("root", "d1", "d2", "copies", "tokens", "tiles").withColumn("tile", F.pmod(F.xxhash64("d2"), F.col("tiles")).cast("int"))
     dealt = work.join(texts.select("d1", "d2", "text"), ["d1", "d2"])
@@ -440,14 +441,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     verified = stage(verified, "links")
 
     key, to = F.struct("d1", "d2"), F.struct(F.col("to1").alias("d1"), F.col("to2").alias("d2"))
-    labels = components(verified.select(key.alias("a"), to.alias("b")))
+    labels = components(verified.select(key.alias("a"), to.alias("b")), rows=verified.count())
     links = verified.groupBy("d1", "d2").agg(F.sum("links").alias("links"))
     joined = classes.join(labels.select("node.d1", "node.d2", "root"), ["d1", "d2"])
     least = joined.groupBy("root").agg(F.min("least").alias("reached"))
     linked = joined.join(least, "root").join(links, ["d1", "d2"]).select("d1", "d2", "reached", "links", F.col("root.d1").alias("r1"), F.col("root.d2").alias("r2"))
     verdicts = classes.join(linked, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("r1", "d1").alias("r1"), F.coalesce("r2", "d2").alias("r2"), F.coalesce("reached", "least").alias("reached"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     # written first, so that Spark can split a class that many rows share; empty sets, however many, need no verdict
-    verdicts = stage(verdicts, "verdicts")
+    verdicts = stage(verdicts, "verdicts", most)
     alone = members.filter("n = 0").select("*", *(F.lit(None).cast("long").alias(c) for c in ("r1", "r2", "reached", "links")))
     out = members.filter("n > 0").join(verdicts, ["d1", "d2"], "left").unionByName(alone)
     return out.select(
