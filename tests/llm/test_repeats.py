@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import base, repeats, substring, suffix_array
+from tidemark.llm import base, queries, repeats, substring, suffix_array
 from tidemark.llm.substring import substring_dedup
 from tidemark.llm.suffix_array import suffix_array_dedup
 
@@ -165,6 +165,21 @@ def test_texts_are_not_moved_for_crowded_anchors(spark, monkeypatch, operator, b
     assert [kind for _, kind in read] == ["string"] + ["binary"] * (len(read) - 1) and len(read) > 1
 
 
+@pytest.mark.parametrize("n_bytes,n_words", [(394, 59), (399, 60), (400, 60), (401, 60)])
+def test_passages_of_over_50_words_go_from_400_bytes_on(spark, tmp_path, n_bytes, n_words):
+    """The registered query, with its own parameters: what repeats goes by its bytes, not by its words, and what surrounds it stays."""
+    rng = random.Random(13)
+    passage = " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(n_words))
+    passage += "f" * (n_bytes - len(passage))
+    own = lambda: "".join(rng.choices("ghijkl", k=300))
+    rows = [(i, own() + " \t\n"[i] + passage + "\t\n "[i] + own()) for i in range(3)]
+    rows += [(3, "".join(rng.choices("mnopqr ", k=900))), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries.op1_suffix_array_dedup(spark, str(tmp_path)).collect()]
+    assert key(got) == key(brute_bytes(rows, 400))
+    assert {r[0]: r[2] for r in got} == {i: n_bytes if i < 3 and n_bytes >= 400 else 0 for i in range(5)}
+
+
 @pytest.mark.parametrize("name,operator", [("suffix_array", suffix_array_dedup), ("substring", substring_dedup)])
 def test_the_resolver_decides(spark, monkeypatch, name, operator):
     """Where an anchor has different contexts, nothing but the suffix array or the tree says which windows repeat."""
