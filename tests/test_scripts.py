@@ -56,3 +56,45 @@ def test_corpus_with_history(spark):
     events = spark.createDataFrame([("r", "tool.py", 1, "A", 100, None), ("r", "tool.py", 0, "M", 300, None)], "repo string, path string, pos long, kind string, epoch long, other string")
     known = Corpus(df, events=events, blobs=blobs, blame=blame).check(groups=["arguments"]).collect()
     assert {(r.rule, r.claim) for r in known} == {("flag-removed", "--was"), ("flag-missing", "--never"), ("subcommand-missing", "biuld"), ("subcommand-missing", "lost")}
+
+
+def test_places_say_what_scopes_say(spark):
+    names = [(r, p) for r in "rs" for p in [*FILES, "none.py", "app/none.py", "tool", "far/__init__.py", "__main__.py"]]
+    words = ["--near-miss", "--shared", "--packed", "--elsewhere", "--inner", "--dry-run", "--gone", "--help"]
+    df = spark.createDataFrame([(*n, w) for n in names for w in words], "repo string, script string, flag string")
+    calls = spark.createDataFrame([(*n, w) for n in names for w in ("build", "list", "undo", "biuld", "do_it")], "repo string, script string, word string")
+    rows = lambda found: sorted(map(str, found.collect()))
+    pairs, places = scripts.scopes(df, files(spark)), scripts.places(df)
+    assert rows(scripts.unknown_options(df, places, files(spark))) == rows(scripts.unknown_options(df, pairs, files(spark))) != []
+    assert rows(scripts.unknown_subcommands(calls, places, files(spark))) == rows(scripts.unknown_subcommands(calls, pairs, files(spark))) != []
+
+
+def test_a_folder_of_many_scripts_makes_no_pairs(spark):
+    """Before, each script of a folder met each module beside it."""
+    n = 3000
+    code = spark.range(n).selectExpr("'r' AS repo", "concat('s/t', id, '.py') AS path", "concat('import argparse\n\"--o', id % 5, '\" .add_parser(\"clean\") .add_parser(\"make', id % 3, '\")') AS text")
+    calls = code.selectExpr("repo", "path AS script", "'--o7' AS flag", "'make3' AS word")
+    lost, words = scripts.unknown_options(calls.drop("word"), scripts.places(calls), code), scripts.unknown_subcommands(calls.drop("flag"), scripts.places(calls), code)
+    for found in (lost, words):
+        found.write.format("noop").mode("overwrite").save()
+        assert found.count() == n
+        assert _most_rows(found) < 20 * n
+
+
+def _most_rows(df):
+    """The most rows that an operator of the plan as run put out."""
+    df.collect()
+    done, most = [df._jdf.queryExecution().executedPlan()], 0
+    while done:
+        plan = done.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            done.append(plan.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            done.append(plan.plan())
+            continue
+        found = plan.metrics().get("numOutputRows")
+        most = max(most, found.get().value() if found.isDefined() else 0)
+        done += [plan.children().apply(i) for i in range(plan.children().size())]
+    return most

@@ -275,9 +275,9 @@ class Corpus:
         code = self.files.filter("kind = 'code' AND text IS NOT NULL").select("repo", "path", "text")
         found = tried.join(code.select("repo", F.col("path").alias("candidate")), ["repo", "candidate"]).groupBy(*KEYS, "flags", "word").agg(F.min_by("candidate", "_rank").alias("script"))
         calls = staged(self._written(found), "calls")
-        scope = staged(scripts.scopes(calls, code), "scopes")
+        scope = scripts.places(calls)
         options = scripts.unknown_options(calls.select("*", F.explode("flags").alias("flag")).drop("flags", "word"), scope, code)
-        words = scripts.with_hints(staged(scripts.unknown_subcommands(calls.drop("flags"), scope, code), "words"))
+        words = scripts.with_hints(scripts.unknown_subcommands(calls.drop("flags"), scope, code))
         if self.blobs is None:
             options, words = options.withColumn("had", F.lit(False)), words.withColumn("had", F.lit(False))
         else:
