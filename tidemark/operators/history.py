@@ -28,13 +28,13 @@ def last_seen(events: DataFrame) -> DataFrame:
 
 
 def gone_by(questions: DataFrame, events: DataFrame) -> DataFrame:
-    """Questions (doc, line, path, written) with the first deletion of the path after `written`; those without one go. One window, as in `state_as_of`."""
+    """Questions (doc, line, path, written) with the first deletion of the path after `written`; those without one go. One window, as in `state_as_of`, from the latest to the first: a frame that grows is read once, one that shrinks anew for each row."""
     others = [c for c in questions.columns if c != "path"]
     e = events.filter("kind = 'D'").select("path", F.col("epoch").alias("_at"), F.lit(1).alias("_event"), "epoch", "commit", *(F.lit(None).cast(t).alias(c) for c, t in questions.dtypes if c != "path"))
     q = questions.select("path", F.col("written").alias("_at"), F.lit(0).alias("_event"), *(F.lit(None).cast(events.schema[c].dataType).alias(c) for c in ("epoch", "commit")), *others)
-    # a question comes after the events of its own second, so what follows it is later
-    after = Window.partitionBy("path").orderBy("_at", F.desc("_event"), "commit").rowsBetween(1, Window.unboundedFollowing)
-    first = F.first(F.when(F.col("_event") == 1, F.struct("epoch", "commit")), ignorenulls=True).over(after)
+    # a question comes before the events of its own second, so what stands above it is later
+    later = Window.partitionBy("path").orderBy(F.desc("_at"), "_event", F.desc("commit")).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.last(F.when(F.col("_event") == 1, F.struct("epoch", "commit")), ignorenulls=True).over(later)
     return e.unionByName(q).withColumn("m", first).filter("_event = 0 AND m IS NOT NULL").select(*questions.columns, F.col("m.epoch").alias("gone"), F.col("m.commit").alias("gone_commit"))
 
 
